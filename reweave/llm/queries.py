@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reweave.llm import chat_format, license_scan, packing, token_counts
 from reweave.llm import exact_dedup as exact
 
 
@@ -14,12 +15,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """The place of a public vocabulary file on this machine, which executors share."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_notices", F.size("spans")).drop("spans")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary=vocabulary())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary=vocabulary())
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    columns = "conv_id long, turn long, role string, text string"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], columns)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.digest(chat_format.format_conversations(chat_format.rows_as_events(rows)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op3_token_counts": op3_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_chat_format": op9_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +63,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY txt) AS keep_id, count(*) OVER (PARTITION BY txt) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY txt) AS kept, sha256(txt) AS text_sha256
         FROM t""",
+    "op9_chat_format": """
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(14 + length(replace(replace(role, '\\', '\\\\'), ':', '\\c'))
+                   + length(replace(replace(replace(text, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e')))::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
 }
