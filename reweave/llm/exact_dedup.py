@@ -97,6 +97,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = named.groupBy("rounds", "identity").agg(
         F.max(F.struct("doc_id", "row_id")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = written(groups, "groups")  # so that both sides of the join are shuffles, which Spark can split for a hot group
     return named.join(groups, ["rounds", "identity"]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
