@@ -88,8 +88,8 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     if len(hashes) < size:
         return np.zeros(0, U)
     total = np.zeros(len(hashes) - size + 1, U)
-    for j, weight in enumerate(powers(size, 0xD1342543DE82EF95)):
-        total += hashes[j : j + len(total)] * (weight * U(3) + U(2 * j))
+    for j in range(size):
+        total += hashes[j : j + len(total)] * U(pow(0xD1342543DE82EF95, 2 * j + 1, 1 << 64))
     return mix(total)
 
 
