@@ -103,3 +103,40 @@ def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+
+
+def whole_windows(at: np.ndarray, length: int, n: int) -> np.ndarray:
+    """For each of n places, whether `length` places from there on lie within one text."""
+    first, last = at[:-1], at[1:] - length + 1
+    long = last > first
+    step = np.zeros(n + 1, np.int8)
+    step[first[long]] += 1
+    step[last[long]] -= 1
+    return np.cumsum(step[:n], dtype=np.int8) > 0
+
+
+def winnow(grams: np.ndarray, width: int, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors: for each window of `width` grams that may start where `ok`, its least gram, the leftmost of equal ones.
+
+    Returns for each run of windows with the same anchor: the anchor's place, the first window's start, and how many
+    windows there are. The choice follows from the window's content alone.
+    """
+    n = len(grams)
+    starts = np.flatnonzero(ok)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3
+    packed = np.full(-(-n // width) * width + width, np.iinfo(np.uint64).max, U)
+    packed[:n] = (grams & U(0xFFFFFFFF00000000)) | np.arange(n, dtype=U)
+    blocks = packed.reshape(-1, width)
+    before = np.minimum.accumulate(blocks, axis=1).ravel()
+    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    anchors = (np.minimum(after[starts], before[starts + width - 1]) & U(0xFFFFFFFF)).astype(np.int64)
+    new = np.ones(len(starts), bool)
+    new[1:] = (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1)
+    runs = np.flatnonzero(new)
+    return anchors[runs], starts[runs], np.diff(np.append(runs, len(starts)))
+
+
+def lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """`values` cut into lists at `cuts`."""
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))

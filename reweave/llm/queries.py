@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reweave.llm import chat_format, decontaminate, license_scan, near_dedup, packing, quality, token_counts
+from reweave.llm import chat_format, decontaminate, license_scan, near_dedup, packing, quality, substring_dedup, token_counts
 from reweave.llm import exact_dedup as exact
 
 
@@ -59,6 +59,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(chat_format.rows_as_events(rows)))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_near_dedup": op2_near_dedup,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality": op8_quality,
     "op9_chat_format": op9_chat_format,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
