@@ -40,3 +40,18 @@ def ascii_lower(text: Column) -> Column:
 def own_columns(df: DataFrame, **columns: str) -> DataFrame:
     """`df` with only the named columns, renamed to our own names: extra columns with clashing names drop out."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether no two rows have the same id (nulls count as the same). Reads the id column only."""
+    return df.groupBy(id_col).count().filter("count > 1").isEmpty()
+
+
+def row_ids(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """`df` and a column of it that tells its rows apart: the id, or where ids repeat, a row number in a written copy."""
+    if unique_ids(df, id_col):
+        return df, id_col
+    name = "row_number"
+    while name in df.columns:
+        name = "_" + name
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reweave.llm import bytewords as bw
-from reweave.llm.common import own_columns, written
+from reweave.llm.common import own_columns, row_ids, written
 
 SEED_WORDS = 5
 
@@ -197,3 +197,11 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **opti
         F.coalesce("share", F.lit(0.0)).alias("share"),
         F.coalesce("items", F.lit("")).alias("items"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """`docs` without contaminated rows; columns unchanged."""
+    rows, key = row_ids(docs, id_col)
+    bad = decontaminate(rows, benchmark, key, text_col, **options).filter("contaminated").select("doc_id")
+    bad = written(bad, "contaminated")
+    return rows.join(bad, rows[key].eqNullSafe(bad["doc_id"]), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

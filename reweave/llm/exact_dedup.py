@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reweave.llm.common import ascii_lower, own_columns, written
+from reweave.llm.common import ascii_lower, own_columns, unique_ids, written
 
 
 def _blocks(text: Column, size: int) -> Column:
@@ -108,15 +108,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text another row keeps; columns unchanged. Ids must tell rows apart, but
-    rows repeated as a whole are reduced to one."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept")
-    ids = written(kept.select("doc_id", "text_sha256"), "kept-ids")
-    on = docs[id_col].eqNullSafe(ids["doc_id"])
-    out = docs.join(ids.select("doc_id"), on, "left_semi")
-    if ids.count() == ids.distinct().count() and ids.count() == docs.join(ids.select("doc_id").distinct(), on, "left_semi").count():
-        return out
-    sha = F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)
-    both = docs.withColumn("__sha", sha)
-    both = both.join(ids, both[id_col].eqNullSafe(ids["doc_id"]) & (both["__sha"] == ids["text_sha256"]), "left_semi")
+    """`docs` without the rows whose text another row keeps; columns unchanged. Where ids repeat, rows are told apart
+    by id and text, and rows repeated in both are reduced to one."""
+    kept = written(exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256"), "kept-ids")
+    if unique_ids(docs, id_col):
+        return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
+    both = docs.withColumn("__sha", F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
+    both = both.join(kept, both[id_col].eqNullSafe(kept["doc_id"]) & (both["__sha"] == kept["text_sha256"]), "left_semi")
     return both.dropDuplicates([id_col, "__sha"]).drop("__sha")

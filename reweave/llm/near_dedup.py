@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reweave.llm import bytewords as bw
-from reweave.llm.common import own_columns, written
+from reweave.llm.common import own_columns, row_ids, written
 from reweave.llm.components import components
 
 SIGN = ["sig_a", "sig_b", "n_shingles"]
@@ -185,3 +185,10 @@ def near_dedup(
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """`docs` with one row of each group of near-duplicates, that of the smallest id; columns unchanged."""
+    rows, key = row_ids(docs, id_col)
+    kept = near_dedup(rows, key, text_col, **options).filter("kept").select("doc_id")
+    return rows.join(kept, rows[key].eqNullSafe(kept["doc_id"]), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reweave.llm import bytewords as bw
 from reweave.llm.common import own_columns, written
@@ -84,18 +85,21 @@ def text_statistics(column: pa.Array) -> np.ndarray:
     return np.column_stack([out[s].astype(float) for s in STATISTICS])
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and STATISTICS of each row's whole text; null counts as empty."""
+def with_statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """`docs` with a column for each of STATISTICS of its whole text (null counts as empty), and the prefix of their
+    names, which no column of `docs` has."""
+    prefix = "stat_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + name, T.DoubleType()) for name in STATISTICS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bw.small(batches, "text"):
-            values = text_statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *(pa.array(v, pa.float64()) for v in values.T)], ["doc_id", *STATISTICS]
-            )
+        for batch in bw.small(batches, text_col):
+            values = text_statistics(batch.column(text_col))
+            columns = [*batch.columns, *(pa.array(v, pa.float64()) for v in values.T)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *(prefix + s for s in STATISTICS)])
 
-    schema = "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return own_columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), prefix
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold), all of which must hold
@@ -170,13 +174,13 @@ class RuleEnsemble:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.intercept + sum((w * holds(r, x) for r, w in self.rules), np.zeros(len(x))))))
 
-    def column(self) -> Column:
-        """The score as a Spark expression over columns named as STATISTICS."""
+    def column(self, prefix: str) -> Column:
+        """The score as a Spark expression over columns named as STATISTICS, after a prefix."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
             test = F.lit(True)
             for j, above, threshold in rule:
-                c = F.col(STATISTICS[j])
+                c = F.col(prefix + STATISTICS[j])
                 test = test & ((c > threshold) if above else (c <= threshold))
             total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
@@ -197,6 +201,29 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, label_col: str = "quality", max_rows: int = 20_000
+) -> RuleEnsemble:
+    """The model fitted to labelled rows that are not held out.
+
+    Of several labels for one document the mean decides, null labels don't count. Of the labelled documents in `docs`,
+    the `max_rows` with the smallest hash of their id train the model; only their texts are read for it.
+    """
+    rows = own_columns(docs, doc_id=id_col, text=text_col)
+    marks = own_columns(labels, doc_id=id_col, y=label_col).filter("y IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
+    chosen = (
+        marks.filter(~held_out(F.col("doc_id")))
+        .join(rows.select("doc_id"), "doc_id", "left_semi")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(max_rows)
+    )
+    chosen = written(chosen, "sample")
+    stats, prefix = with_statistics(rows.join(F.broadcast(chosen), "doc_id"))  # at most max_rows small rows
+    found = stats.select("y", *(prefix + s for s in STATISTICS)).collect()  # at most max_rows, for unique ids
+    known = np.array(sorted(tuple(map(float, r)) for r in found)).reshape(-1, 1 + len(STATISTICS))
+    return fit(known[:, 1:], (known[:, 0] >= 0.5).astype(float))
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -207,20 +234,16 @@ def classify(
     max_rows: int = 20_000,
     threshold: float = 0.7,
 ) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of `docs`.
-
-    Labels come from rows that are not held out; of several labels for one document the mean decides, null labels
-    don't count. `max_rows` bounds the labelled rows that train the model. Null texts count as empty.
-    """
-    stats = written(statistics(docs, id_col, text_col), "statistics")
-    marks = own_columns(labels, doc_id=id_col, y=label_col).filter("y IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
-    known = (
-        stats.filter(~held_out(F.col("doc_id")))
-        .join(marks, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS)
-        .limit(max_rows)
-    )
-    rows = np.array([[float(v) for v in r] for r in known.select("y", *STATISTICS).collect()]).reshape(-1, 1 + len(STATISTICS))
-    model = fit(rows[:, 1:], (rows[:, 0] >= 0.5).astype(float))
-    scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
+    """doc_id, held_out, score and predicted for each row of `docs`; null texts count as empty, and an empty table
+    gives no rows. See `learn` for what trains the model."""
+    model = learn(docs, labels, id_col, text_col, label_col=label_col, max_rows=max_rows)
+    stats, prefix = with_statistics(own_columns(docs, doc_id=id_col, text=text_col))
+    scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column(prefix).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", *, threshold: float = 0.7, **options: object) -> DataFrame:
+    """The rows of `docs` that the classifier predicts as good, with their columns unchanged."""
+    model = learn(docs, labels, text_col=text_col, **options)
+    stats, prefix = with_statistics(docs, text_col)
+    return stats.filter(model.column(prefix) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
