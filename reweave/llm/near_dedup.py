@@ -98,11 +98,13 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, keep: int) -> Da
     return both.filter(shared >= F.size(union) * (share - margin)).select("a", "b")
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, *, hot: int = 64, sample: int = 512) -> DataFrame:
     """All pairs (a, b) of nodes in different components that can have enough in common.
 
     nodes: cid, n_shingles, root. A shingle found in one component only can't be in such an intersection. Of the
-    others, two sets with enough in common share one among the rarest (n common - n needed + 1) of either.
+    others, two sets with enough in common share one among the rarest (n common - n needed + 1) of either. What two
+    sets share before and after that one's ranks bounds their intersection. Lists of more than `hot` nodes carry the
+    smallest `sample` shingles of each, so that pairs are decided (sets no larger than that) or estimated where they meet.
     """
     rows = nodes.join(sets, "cid").select("cid", "n_shingles", "root", F.explode("shingles").alias("sh"))
     spread = rows.groupBy("sh").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -116,11 +118,30 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= F.col("n_common") - needed + 1)
     )
-    prefix = written(prefix.select("sh", "cid", "n_shingles", "root"), "prefixes")
-    left = prefix.select("sh", F.col("cid").alias("a"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a"))
-    right = prefix.select("sh", F.col("cid").alias("b"), F.col("n_shingles").alias("n_b"), F.col("root").alias("root_b"))
-    met = left.join(right, "sh").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _close("n_a", "n_b", percent))
-    return met.select("a", "b").distinct()
+    prefix = written(prefix.select("sh", "cid", "n_shingles", "root", "n_common", "rank"), "prefixes")
+    lists = prefix.groupBy("sh").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    lists = written(lists.filter("lo <> hi").select("sh", "n"), "prefix-lists")
+    cold = prefix.join(lists.filter(F.col("n") <= hot), "sh", "left_semi")
+    few = sets.select("cid", F.transform(F.slice("shingles", 1, sample), lambda x: F.shiftright(x, 31).cast("int")).alias("few"))
+    busy = prefix.join(lists.filter(F.col("n") > hot), "sh", "left_semi").join(few, "cid")
+    c = F.col
+
+    def both(rows: DataFrame, more: Column | None = None) -> DataFrame:
+        left = rows.select("sh", *[c(x).alias(f"{x}_a") for x in rows.columns if x != "sh"])
+        right = rows.select("sh", *[c(x).alias(f"{x}_b") for x in rows.columns if x != "sh"])
+        most = F.least("rank_a", "rank_b") + F.least(c("n_common_a") - c("rank_a"), c("n_common_b") - c("rank_b"))
+        fits = (c("cid_a") < c("cid_b")) & (c("root_a") != c("root_b")) & _close("n_shingles_a", "n_shingles_b", percent)
+        fits = fits & (most * (100 + percent) >= (c("n_shingles_a") + c("n_shingles_b")) * percent)
+        met = left.join(right, (left["sh"] == right["sh"]) & (fits if more is None else fits & more))
+        return met.select(c("cid_a").alias("a"), c("cid_b").alias("b"))
+
+    shared = F.array_intersect("few_a", "few_b")
+    whole = F.size(shared) * (100 + percent) >= (c("n_shingles_a") + c("n_shingles_b")) * percent
+    union = F.slice(F.array_sort(F.array_union("few_a", "few_b")), 1, sample)
+    share = percent / 100
+    likely = F.size(F.array_intersect(union, shared)) >= F.size(union) * (share - 6 * (share * (1 - share) / sample) ** 0.5)
+    decided = F.when(F.greatest("n_shingles_a", "n_shingles_b") <= sample, whole).otherwise(likely)
+    return both(cold).unionByName(both(busy, decided)).distinct()
 
 
 def near_dedup(
