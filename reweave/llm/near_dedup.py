@@ -122,7 +122,7 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, *, hot: int =
     lists = prefix.groupBy("sh").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     lists = written(lists.filter("lo <> hi").select("sh", "n"), "prefix-lists")
     cold = prefix.join(lists.filter(F.col("n") <= hot), "sh", "left_semi")
-    few = sets.select("cid", F.transform(F.slice("shingles", 1, sample), lambda x: F.shiftright(x, 31).cast("int")).alias("few"))
+    few = sets.select("cid", F.transform(F.slice("shingles", 1, sample), lambda x: F.shiftright(x, 32).cast("int")).alias("few"))
     busy = prefix.join(lists.filter(F.col("n") > hot), "sh", "left_semi").join(few, "cid")
     c = F.col
 
