@@ -105,6 +105,26 @@ def non_negative_least_squares(bins: list[tuple[int, ...]], target: np.ndarray,
     return x
 
 
+def _best_fit(left: np.ndarray, first: int, capacity: int) -> dict[int, int]:
+    """One sequence from the lengths left: the longest, then one or two that fill it exactly, or else the longest that fits."""
+    times, room, own = {first: 1}, capacity - first, left.copy()
+    own[first] -= 1
+    while room and (fit := np.flatnonzero(own[: room + 1])).size:
+        larger = fit[(fit * 2 >= room) & (fit < room)]
+        exact = larger[(own[room - larger] > 0) & ((larger * 2 != room) | (own[larger] > 1))]
+        if own[room]:
+            chosen = [room]
+        elif exact.size:
+            chosen = [int(exact[-1]), room - int(exact[-1])]
+        else:
+            chosen = [int(fit[-1])]
+        for n in chosen:
+            times[n] = times.get(n, 0) + 1
+            own[n] -= 1
+            room -= n
+    return times
+
+
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Sequences for a histogram of lengths: [({length: times}, repeats)], which use up each length exactly."""
     left, out = counts.astype(np.int64).copy(), []
@@ -117,13 +137,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
             for n, k in times.items():
                 left[n] -= k * repeats
     while (have := np.flatnonzero(left)).size:
-        room, times = capacity, {}
-        for n in have[::-1].tolist():
-            if n <= room and (k := min(int(left[n]), room // n)):
-                times[n] = k
-                room -= n * k
-                if not room:
-                    break
+        times = _best_fit(left, int(have[-1]), capacity)
         repeats = min(int(left[n]) // k for n, k in times.items())
         out.append((times, repeats))
         for n, k in times.items():
