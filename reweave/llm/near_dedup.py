@@ -98,7 +98,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, keep: int) -> Da
     return both.filter(shared >= F.size(union) * (share - margin)).select("a", "b")
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, *, hot: int = 64, sample: int = 512) -> DataFrame:
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, *, hot: int = 12, sample: int = 256) -> DataFrame:
     """All pairs (a, b) of nodes in different components that can have enough in common.
 
     nodes: cid, n_shingles, root. A shingle found in one component only can't be in such an intersection. Of the
