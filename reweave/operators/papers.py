@@ -173,3 +173,20 @@ def author_counts(papers: DataFrame, column: str, most: int) -> DataFrame:
 def citations(pages: DataFrame, cap: int) -> DataFrame:
     """seed and the number of distinct works that cite it, at most `cap`."""
     return pages.dropDuplicates(["seed", "id"]).groupBy("seed").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("citation_count"))
+
+
+def of_interest(works: DataFrame, tokens: list[str], sites: list[str]) -> DataFrame:
+    """Works whose publisher or venue has one of `tokens`, or whose address has one of `sites`, in any case."""
+    has = lambda c, parts: F.exists(F.array(*[F.lit(t.lower()) for t in parts]), lambda t: F.contains(F.lower(F.coalesce(c, F.lit(""))), t))
+    return works.filter(has("publisher", tokens) | has("venue", tokens) | has("url", sites))
+
+
+def signal_rates(rows: DataFrame, flags: list[str]) -> DataFrame:
+    """signal, hits and rate of each 0/1 flag."""
+    long = rows.select(*[F.col(f).cast("long").alias(f) for f in flags]).unpivot([], flags, "signal", "hit")
+    return long.groupBy("signal").agg(F.sum("hit").alias("hits"), F.avg("hit").alias("rate"))
+
+
+def labels_by(rows: DataFrame, key: str, label: str, labels: list[str]) -> DataFrame:
+    """Counts of each label for each key, 0 where there is none; the labels are given, so columns don't depend on data."""
+    return rows.groupBy(key).pivot(label, labels).agg(F.count(F.lit(1))).na.fill(0, labels)

@@ -54,10 +54,20 @@ def histogram(df: DataFrame, column: str, edges: list[int]) -> DataFrame:
 def equal_width(df: DataFrame, column: str, bins: int) -> DataFrame:
     """bucket (from 1), count over equal parts of the range of values; the largest value is in the last part."""
     rows = df.filter(F.col(column).isNotNull())
-    ends = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    at = F.floor((F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1
-    bucket = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(F.least(at, F.lit(bins))).cast("int")
-    return rows.crossJoin(F.broadcast(ends)).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))  # ends is one row
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    width = (high - low) if low is not None and high != low else 1
+    at = F.floor((F.col(column) - F.lit(low)) / width * bins) + 1
+    return rows.groupBy(F.least(at, F.lit(bins if low != high else 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def pair_complexity(pairs: DataFrame, constructs: DataFrame) -> DataFrame:
+    """metric, value: pairs, and mean complexity and axioms of either side over all pairs."""
+    c = constructs.select("graph_id", "dl_complexity_score", "n_axioms")
+    for side in ("ontology", "pattern"):
+        pairs = pairs.join(c.toDF(f"{side}_id", f"{side}_constructs", f"{side}_axioms"), f"{side}_id", "left")
+    names = [f"{side}_{m}" for side in ("ontology", "pattern") for m in ("constructs", "axioms")]
+    out = pairs.agg(F.count(F.lit(1)).cast("double").alias("pairs"), *[F.avg(F.coalesce(n, F.lit(0))).alias(f"mean_{n}") for n in names])
+    return unpivot(out, [], out.columns, "metric", "value")
 
 
 def cumulative_share(df: DataFrame, column: str) -> DataFrame:

@@ -64,7 +64,22 @@ def ratio_of_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality"), F.avg("toxic").alias("toxic_rate")))
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.lower("text")
+    flags = {"license": F.contains(t, F.lit("license")), "pipe": F.contains(t, F.lit("|")), "rights": F.contains(t, F.lit("rights reserved"))}
+    rows = table(spark, sf_dir, "documents").select(*[f.cast("int").alias(n) for n, f in flags.items()])
+    return rounded(pa.signal_rates(rows, list(flags)))
+
+
+def interesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("publisher"), F.col("lang").alias("venue"), F.lit(None).cast("string").alias("url"))
+    return pa.of_interest(d, ["SRC1", "es"], ["x.org"]).select("doc_id")
+
+
 QUERIES = {
+    "papers_signal_rates": signals,
+    "papers_of_interest": interesting,
+    "papers_labels_by_year": lambda s, d: pa.labels_by(orders(s, d).withColumn("type", F.when(F.col("type").startswith("1"), "urgent").otherwise("other")), "year", "type", ["urgent", "other"]),
     "hits_iri_methods": lambda s, d: di.extract_iris(files(s, d), HREF).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("iri").alias("iris")),
     "hits_directory_summary": lambda s, d: di.directory_summary(files(s, d), di.extract_iris(files(s, d), HREF)),
     "hits_url_functions": url_functions,
@@ -91,6 +106,10 @@ c AS (SELECT a.k AS seed_id, b.k AS work_id, abs(a.y - b.y) AS dy, len(list_inte
 z AS (SELECT *, sim + year_bonus + evidence_bonus + hint_bonus AS score FROM c)
 """
 ORACLE_SQL = {
+    "papers_signal_rates": "WITH f AS (SELECT contains(lower(text), 'license')::INT AS license, contains(text, '|')::INT AS pipe, contains(lower(text), 'rights reserved')::INT AS rights FROM documents) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS signal, sum({n})::BIGINT AS hits, round(avg({n}), 6) AS rate FROM f" for n in ("license", "pipe", "rights")),
+    "papers_of_interest": "SELECT doc_id FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(source), 'es') OR contains(lower(lang), 'src1') OR contains(lower(lang), 'es')",
+    "papers_labels_by_year": "SELECT year(o_orderdate)::INT AS year, count(*) FILTER (starts_with(o_orderpriority, '1')) AS urgent, count(*) FILTER (NOT starts_with(o_orderpriority, '1')) AS other FROM orders GROUP BY 1",
     "hits_iri_methods": _F + "SELECT method, count(*) AS n, count(DISTINCT iri) AS iris FROM x GROUP BY method",
     "hits_directory_summary": _F + """SELECT f.dir, count(DISTINCT f.page_id) AS total_files, count(DISTINCT x.page_id) AS files_with_iri, count(DISTINCT f.page_id) - count(DISTINCT x.page_id) AS files_without_iri,
         count(DISTINCT x.iri) AS unique_iris FROM f LEFT JOIN x ON x.page_id = f.page_id GROUP BY f.dir""",

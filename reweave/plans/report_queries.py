@@ -48,6 +48,11 @@ def pair_construct_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rp.pair_constructs(g.pairs, written(co.constructs(g.triples, SHORT), "constructs")))
 
 
+def pair_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gq.Graphs(spark, sf_dir)
+    return rounded(rp.pair_complexity(g.pairs, co.constructs(g.triples, SHORT)))
+
+
 def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = pair_metrics(spark, sf_dir)
     return m.agg(
@@ -78,6 +83,7 @@ QUERIES = {
     "report_expressivity_by_reuse": lambda s, d: rp.expressivity_by_reuse(with_reuse(s, d)),
     "report_construct_differences": lambda s, d: rounded(rp.construct_differences(with_reuse(s, d))),
     "report_pair_constructs": pair_construct_table,
+    "report_pair_complexity": pair_complexity,
     "report_job_summary": job_summary,
     "report_top_patterns": lambda s, d: rounded(pair_metrics(s, d).orderBy(F.desc("label_reuse_pct"), F.desc("reused_total_graph"), "ontology_id", "pattern_id").limit(10).select("ontology_id", "pattern_id", "reused_total_graph", "label_reuse_pct")),
 }
@@ -120,6 +126,9 @@ ORACLE_SQL = {
     "report_construct_differences": _CR + f"SELECT construct, round(w, 6) AS pct_with, round(wo, 6) AS pct_without, round(w - wo, 6) AS diff_pp FROM (SELECT construct, avg(v) FILTER (reuse = 1) * 100 AS w, avg(v) FILTER (reuse = 0) * 100 AS wo FROM ({_CON_ROWS('cr', '{c}::INT AS v, reuse')}) GROUP BY construct)",
     "report_pair_constructs": _C + "SELECT construct, count(*) FILTER (o) AS ontology, count(*) FILTER (p) AS pattern, count(*) FILTER (o AND p) AS both, count(*) FILTER (o AND NOT p) AS only_ontology, count(*) FILTER (p AND NOT o) AS only_pattern, count(*) AS pairs, round(count(*) FILTER (o AND p) / count(*) * 100, 6) AS both_pct FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS construct, coalesce(a.\"{c}\", false) AS o, coalesce(b.\"{c}\", false) AS p FROM pr LEFT JOIN cs a ON a.graph_id = ontology_id LEFT JOIN cs b ON b.graph_id = pattern_id" for c in CONSTRUCTS) + ") GROUP BY construct",
+    "report_pair_complexity": _C + """, x AS (SELECT count(*)::DOUBLE AS pairs, avg(a.dl_complexity_score) AS mean_ontology_constructs, avg(a.n_axioms) AS mean_ontology_axioms,
+        avg(b.dl_complexity_score) AS mean_pattern_constructs, avg(b.n_axioms) AS mean_pattern_axioms FROM pr LEFT JOIN cs a ON a.graph_id = ontology_id LEFT JOIN cs b ON b.graph_id = pattern_id)
+        """ + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({m}, 6) AS value FROM x" for m in ("pairs", "mean_ontology_constructs", "mean_ontology_axioms", "mean_pattern_constructs", "mean_pattern_axioms")),
     "report_job_summary": _M + "SELECT count(*) AS pairs, count(DISTINCT ontology_id) AS ontologies, count(DISTINCT pattern_id) AS patterns, sum(reused_total_graph)::BIGINT AS reused_graph, sum(reused_total_label)::BIGINT AS reused_label, count(*) FILTER (reused_total_graph > 0) AS pairs_with_reuse FROM m",
     "report_top_patterns": _M + "SELECT ontology_id, pattern_id, reused_total_graph, round(label_reuse_pct, 6) AS label_reuse_pct FROM m ORDER BY m.label_reuse_pct DESC, reused_total_graph DESC, ontology_id, pattern_id LIMIT 10",
 }
