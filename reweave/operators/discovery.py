@@ -101,9 +101,10 @@ def containing_files(patterns: DataFrame, files: DataFrame) -> DataFrame:
     Files are cut into what could be addresses; each is met by all its own prefixes that some pattern's length has,
     so the join is on equality.
     """
-    lengths = patterns.select(F.char_length("pattern_iri").alias("n")).distinct()
+    lengths = patterns.select(F.char_length("pattern_iri").alias("n")).distinct().collect()  # no more than the longest IRI has characters
     words = files.select("file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(https?://[^\s<>\"']+)"), 1))).alias("word"))
-    heads = words.join(lengths, F.col("n") <= F.char_length("word")).withColumn("pattern_iri", F.expr("left(word, n)"))
+    sizes = F.filter(F.array(*[F.lit(r["n"]) for r in lengths]).cast("array<int>"), lambda n: n <= F.char_length("word"))
+    heads = words.withColumn("n", F.explode(sizes)).withColumn("pattern_iri", F.expr("left(word, n)"))
     met = heads.join(patterns.select("pattern_iri").distinct(), "pattern_iri").select("pattern_iri", "file").distinct()
     return met.groupBy("pattern_iri").agg(F.min_by("file", F.struct(F.char_length("file"), F.col("file"))).alias("file"), F.count(F.lit(1)).alias("n_files"))
 

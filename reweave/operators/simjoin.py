@@ -71,8 +71,10 @@ def edit_join(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     mine = left.filter(length > most).select(F.col("label").alias("left_label"), F.explode(pieces).alias("x")).select("left_label", "x.*")
     shifted = F.explode(F.array(*[F.col("at") + s for s in range(-most, most + 1)]))
     mine = mine.withColumn("at", shifted).filter("at >= 0").withColumn("n", F.char_length("piece"))
-    sizes = mine.select("n").distinct()
-    theirs = right.join(sizes, F.col("n") <= length)  # piece lengths: at most as many as label lengths
+    # a left string within reach has at most `most` characters more or fewer, which bounds its pieces' lengths
+    least, largest = F.floor((length - most) / (most + 1)), F.ceil((length + most) / (most + 1))
+    sizes = F.sequence(F.greatest(F.lit(1), least).cast("int"), F.least(largest, length).cast("int"))
+    theirs = right.filter(length >= 1).withColumn("n", F.explode(F.filter(sizes, lambda n: n <= length)))
     theirs = theirs.withColumn("at", F.explode(F.sequence(F.lit(0), length - F.col("n"))))
     theirs = theirs.select(F.col("label").alias("right_label"), "at", "n", F.substring("label", F.col("at") + 1, F.col("n")).alias("piece"))
     met = mine.join(theirs, ["piece", "n", "at"]).select("left_label", "right_label")
