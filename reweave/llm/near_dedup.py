@@ -98,13 +98,13 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, keep: int) -> Da
     return both.filter(shared >= F.size(union) * (share - margin)).select("a", "b")
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, *, hot: int = 12, sample: int = 256) -> DataFrame:
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, *, hot: int = 12, sample: int = 256, block: int = 1024) -> DataFrame:
     """All pairs (a, b) of nodes in different components that can have enough in common.
 
     nodes: cid, n_shingles, root. A shingle found in one component only can't be in such an intersection. Of the
     others, two sets with enough in common share one among the rarest (n common - n needed + 1) of either. What two
     sets share before and after that one's ranks bounds their intersection. Lists of more than `hot` nodes carry the
-    smallest `sample` shingles of each, so that pairs are decided (sets no larger than that) or estimated where they meet.
+    smallest `sample` shingles of each, so that pairs are decided (sets no larger than that) or estimated in blocks.
     """
     rows = nodes.join(sets, "cid").select("cid", "n_shingles", "root", F.explode("shingles").alias("sh"))
     spread = rows.groupBy("sh").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -122,26 +122,85 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, *, hot: int =
     lists = prefix.groupBy("sh").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     lists = written(lists.filter("lo <> hi").select("sh", "n"), "prefix-lists")
     cold = prefix.join(lists.filter(F.col("n") <= hot), "sh", "left_semi")
-    few = sets.select("cid", F.transform(F.slice("shingles", 1, sample), lambda x: F.shiftright(x, 32).cast("int")).alias("few"))
-    busy = prefix.join(lists.filter(F.col("n") > hot), "sh", "left_semi").join(few, "cid")
     c = F.col
-
-    def both(rows: DataFrame, more: Column | None = None) -> DataFrame:
-        left = rows.select("sh", *[c(x).alias(f"{x}_a") for x in rows.columns if x != "sh"])
-        right = rows.select("sh", *[c(x).alias(f"{x}_b") for x in rows.columns if x != "sh"])
-        most = F.least("rank_a", "rank_b") + F.least(c("n_common_a") - c("rank_a"), c("n_common_b") - c("rank_b"))
-        fits = (c("cid_a") < c("cid_b")) & (c("root_a") != c("root_b")) & _close("n_shingles_a", "n_shingles_b", percent)
-        fits = fits & (most * (100 + percent) >= (c("n_shingles_a") + c("n_shingles_b")) * percent)
-        met = left.join(right, (left["sh"] == right["sh"]) & (fits if more is None else fits & more))
-        return met.select(c("cid_a").alias("a"), c("cid_b").alias("b"))
-
-    shared = F.array_intersect("few_a", "few_b")
-    whole = F.size(shared) * (100 + percent) >= (c("n_shingles_a") + c("n_shingles_b")) * percent
-    union = F.slice(F.array_sort(F.array_union("few_a", "few_b")), 1, sample)
-    share = percent / 100
-    likely = F.size(F.array_intersect(union, shared)) >= F.size(union) * (share - 6 * (share * (1 - share) / sample) ** 0.5)
-    decided = F.when(F.greatest("n_shingles_a", "n_shingles_b") <= sample, whole).otherwise(likely)
-    return both(cold).unionByName(both(busy, decided)).distinct()
+    left = cold.select("sh", *[c(x).alias(f"{x}_a") for x in cold.columns if x != "sh"])
+    right = cold.select("sh", *[c(x).alias(f"{x}_b") for x in cold.columns if x != "sh"])
+    most = F.least("rank_a", "rank_b") + F.least(c("n_common_a") - c("rank_a"), c("n_common_b") - c("rank_b"))
+    fits = (c("cid_a") < c("cid_b")) & (c("root_a") != c("root_b")) & _close("n_shingles_a", "n_shingles_b", percent)
+    fits = fits & (most * (100 + percent) >= (c("n_shingles_a") + c("n_shingles_b")) * percent)
+    met = left.join(right, (left["sh"] == right["sh"]) & fits).select(c("cid_a").alias("a"), c("cid_b").alias("b"))
+
+    # long lists are split into blocks; a row goes to every pair of blocks with its own, and a task holds one pair
+    few = sets.select("cid", F.slice("shingles", 1, sample).alias("few"))
+    blocks = F.ceil(c("n") / block).cast("int")
+    busy = prefix.join(lists.filter(c("n") > hot), "sh").withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, c("own")).alias("i"), F.greatest(o, c("own")).alias("j")))
+    busy = busy.withColumn("x", F.explode(pairs)).select("sh", "x.i", "x.j", "cid", "n_shingles", "root", "n_common", "rank")
+    busy = busy.join(few, "cid").repartition("sh", "i", "j").sortWithinPartitions("sh", "i", "j")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, ["sh", "i", "j"]):
+            x, y = _similar(group, percent, sample)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return met.unionByName(busy.mapInArrow(decide, "a long, b long")).distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows with equal keys, which follow one another."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        values = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        cuts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and values[a] != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = values[a]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _similar(rows: pa.Table, percent: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of cid in different components that are similar, or may be: sets of at most `sample` shingles are
+    compared whole, larger ones on what both samples cover, less six standard errors."""
+    cid, n, root, common, rank = (rows.column(k).to_numpy() for k in ("cid", "n_shingles", "root", "n_common", "rank"))
+    x, y = np.triu_indices(len(cid), 1)
+    bound = np.minimum(rank[x], rank[y]) + np.minimum((common - rank)[x], (common - rank)[y])
+    ok = (root[x] != root[y]) & (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent)
+    ok &= bound * (100 + percent) >= (n[x] + n[y]) * percent
+    x, y = x[ok], y[ok]
+    if not len(x):
+        return x, y
+    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    lists = rows.column("few").combine_chunks()
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy()
+    own = [values[offsets[k] : offsets[k + 1]] for k in used.tolist()]
+    distinct, inverse, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    place = np.full(len(distinct), -1)
+    place[shared] = np.arange(len(shared))
+    holder, column = np.repeat(np.arange(len(own)), [len(o) for o in own]), place[inverse]
+    matrix = np.zeros((len(own), len(shared)), np.float32)
+    matrix[holder[column >= 0], column[column >= 0]] = 1
+    p, q = at[: len(x)], at[len(x) :]
+    inter = (matrix @ matrix.T)[p, q]
+    size = np.array([len(o) for o in own])
+    whole = np.maximum(n[x], n[y]) <= sample
+    good = whole & (inter * (100 + percent) >= (n[x] + n[y]) * percent)
+    for k in np.flatnonzero(~whole).tolist():
+        a, b = own[p[k]], own[q[k]]
+        end = min(a[-1] if size[p[k]] < n[x[k]] else np.iinfo(np.int64).max, b[-1] if size[q[k]] < n[y[k]] else np.iinfo(np.int64).max)
+        union = np.searchsorted(a, end, "right") + np.searchsorted(b, end, "right") - inter[k]
+        share = percent / 100
+        good[k] = inter[k] >= union * (share - 6 * (share * (1 - share) / max(union, 1)) ** 0.5)
+    return cid[x[good]], cid[y[good]]
 
 
 def near_dedup(
