@@ -92,13 +92,17 @@ def patterns(counts: np.ndarray, capacity: int, most: int = 6000) -> list[tuple[
 
 
 def non_negative_least_squares(bins: list[tuple[int, ...]], target: np.ndarray, sweeps: int = 25) -> np.ndarray:
-    """x >= 0 that brings the sum of x[i] for each mention of a bin in bins[i] closest to `target`, by coordinate descent."""
+    """x >= 0 that brings the sum of x[i] for each mention of a bin in bins[i] closest to `target`, by coordinate descent.
+
+    A bin weighs as much as its length squared: a long piece left over needs room that short ones can share.
+    """
     x, left = np.zeros(len(bins)), target.astype(float).copy()
     uses = [np.unique(p, return_counts=True) for p in bins]
-    norms = [float((m * m).sum()) for _, m in uses]
+    weighed = [m * (a / len(target)) ** 4 for a, m in uses]
+    norms = [float((m * w).sum()) for (_, m), w in zip(uses, weighed)]
     for _ in range(sweeps):
         for i, (at, times) in enumerate(uses):
-            new = max(0.0, x[i] + float(left[at] @ times) / norms[i])
+            new = max(0.0, x[i] + float(left[at] @ weighed[i]) / norms[i])
             if new != x[i]:
                 left[at] -= (new - x[i]) * times
                 x[i] = new
