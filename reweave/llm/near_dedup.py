@@ -4,7 +4,7 @@
    128-bit signature. Rows with equal sets form a class at once and go on as one.
 2. Inverted lists: runs of two neighbouring retained values are the keys. Two sets with a Jaccard similarity of 0.8 share
    such a run with a chance of failure below 1e-9 for 32 retained values, and always if the sets are retained whole.
-3. Each list gives the pairs of its first member with all others, which is linear. The similarity estimated from the
+3. Each list gives the pairs of its leader, the set that shares most runs, with all others, which is linear. The similarity estimated from the
    sketch of the union drops hopeless pairs, with a margin of six standard errors; the full sets decide.
 4. Lists whose members are then still in different components are settled by an exact prefix join over the full
    sets of those documents, on their rarest shingles, between different components only. So groups of near copies never
@@ -200,7 +200,22 @@ def _similar(rows: pa.Table, percent: int, sample: int) -> tuple[np.ndarray, np.
         union = np.searchsorted(a, end, "right") + np.searchsorted(b, end, "right") - inter[k]
         share = percent / 100
         good[k] = inter[k] >= union * (share - 6 * (share * (1 - share) / max(union, 1)) ** 0.5)
-    return cid[x[good]], cid[y[good]]
+    # of pairs compared whole, those that connect what they link are enough
+    x, y, sure = x[good], y[good], whole[good]
+    root_of = list(range(len(cid)))
+
+    def find(k: int) -> int:
+        while root_of[k] != k:
+            root_of[k] = root_of[root_of[k]]
+            k = root_of[k]
+        return k
+
+    keep = ~sure
+    for k in np.flatnonzero(sure).tolist():
+        a, b = find(int(x[k])), find(int(y[k]))
+        if a != b:
+            root_of[b], keep[k] = a, True
+    return cid[x[keep]], cid[y[keep]]
 
 
 def near_dedup(
@@ -231,14 +246,15 @@ def near_dedup(
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = written(keys.join(several, "key"), "lists")
     # similar sets share two runs at least, by the same argument
-    listed = members.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cid")
+    listed = members.groupBy("cid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = written(members.join(listed, "cid"), "lists")
-    leaders = members.groupBy("key").agg(F.min(F.struct("cid", "n_shingles")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # the set that shares most runs leads: it is nearest to the middle of a group of near copies
+    leaders = members.groupBy("key").agg(F.max(F.struct("m", "cid", "n_shingles")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     leaders = written(leaders.select("key", F.col("first.cid").alias("a"), F.col("first.n_shingles").alias("n_a")), "leaders")
     stars = members.join(leaders, "key").filter((F.col("cid") != F.col("a")) & _close("n_shingles", "n_a", percent))
     stars = written(_estimated(stars.select("a", F.col("cid").alias("b")).distinct(), reps, percent, sketch_size), "pairs")
 
-    chosen = written(reps.join(listed, "cid").select("cid", "rep_id", *SIGN), "chosen")
+    chosen = written(reps.join(listed.select("cid"), "cid").select("cid", "rep_id", *SIGN), "chosen")
     texts = rows.join(chosen.select(F.col("rep_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = _per_text(texts, shingle_words, None).groupBy(*SIGN).agg(F.first("sketch").alias("shingles"))
     sets = written(chosen.join(sets, SIGN).select("cid", "shingles"), "sets")
