@@ -78,9 +78,10 @@ def edit_join(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     theirs = theirs.withColumn("at", F.explode(F.sequence(F.lit(0), length - F.col("n"))))
     theirs = theirs.select(F.col("label").alias("right_label"), "at", "n", F.substring("label", F.col("at") + 1, F.col("n")).alias("piece"))
     met = mine.join(theirs, ["piece", "n", "at"]).select("left_label", "right_label")
-    short = left.filter(length <= most).select(F.col("label").alias("left_label"))
-    near = right.filter(length <= 2 * most).select(F.col("label").alias("right_label"))
-    met = met.unionByName(short.withColumn("k", F.lit(1)).join(near.withColumn("k", F.lit(1)), "k").drop("k")).distinct()
+    reach = F.explode(F.sequence(F.greatest(F.lit(0), length - most), length + most))
+    short = left.filter(length <= most).select(F.col("label").alias("left_label"), reach.alias("n"))
+    near = right.filter(length <= 2 * most).select(F.col("label").alias("right_label"), length.alias("n"))
+    met = met.unionByName(short.join(near, "n").select("left_label", "right_label")).distinct()
     return met.withColumn("distance", F.levenshtein("left_label", "right_label", most)).filter("distance >= 0")
 
 
