@@ -44,6 +44,10 @@ def import_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.imports(triples(spark, sf_dir), "promo", 500, SHORT)
 
 
+def all_import_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.imports(triples(spark, sf_dir), "promo", None, SHORT)
+
+
 def entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graphs(spark, sf_dir).labels
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from reweave.plans import graph_queries, paper_queries, report_queries, stats_queries, text_queries
+from reweave.plans import bindings, graph_queries, paper_queries, report_queries, stats_queries, text_queries
 
 MODULES = [graph_queries, report_queries, stats_queries, text_queries, paper_queries]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
+
+#: The queries over the triples view once more, as NAME_whole, over all rows of its tables; they have no SQL of their own.
+OVER_TRIPLES = [name for m in (graph_queries, report_queries, stats_queries) for name in m.QUERIES]
+QUERIES |= {f"{name}_whole": bindings.whole(QUERIES[name]) for name in OVER_TRIPLES}
+QUERIES["graph_import_hits_whole"] = bindings.whole(graph_queries.all_import_hits)

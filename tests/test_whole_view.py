@@ -1,0 +1,48 @@
+"""The queries over all rows of `part` and `lineitem`, against SQL over the same view."""
+
+import os
+import pathlib
+
+import pytest
+from test_queries import rows
+
+from reweave.plans import bindings, registry
+
+DATA = "/root/testdata/sf0.001"
+NAMES = ["graph_coverage", "graph_constructs", "graph_namespace_terms", "graph_import_hits", "stats_enriched", "report_histogram"]
+needs_tables = pytest.mark.skipif(not pathlib.Path(DATA).exists(), reason="needs the tables")
+
+
+@pytest.fixture(scope="module")
+def db():
+    import duckdb
+
+    found = duckdb.connect()
+    for f in os.listdir(DATA):
+        found.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{DATA}/{f}')")
+    return found
+
+
+@needs_tables
+def test_every_row_becomes_triples(spark, db):
+    view = bindings.whole(bindings.triples)(spark, DATA).toPandas()
+    got = {(g, s.rsplit("#", 1)[-1]) for g, s in zip(view["graph_id"], view["s"])}
+    parts = db.sql("SELECT 'pat_'||lower(p_type), replace(p_name, ' ', '_') FROM part").fetchall()
+    lines = db.sql("SELECT 'ont_'||l_suppkey, replace(p_name, ' ', '_') FROM lineitem JOIN part ON l_partkey = p_partkey").fetchall()
+    assert len(parts) == 200 and set(parts) <= got and set(lines) <= got
+
+
+@needs_tables
+@pytest.mark.parametrize("name", NAMES)
+def test_query_equals_sql_over_the_whole_view(spark, db, name):
+    names = {n: n for n in ("part", "lineitem", "supplier")}
+    sql = registry.ORACLE_SQL[name].replace(bindings.TRIPLES.format(**names), bindings.WHOLE_TRIPLES.format(**names)).replace("ORDER BY 1, 2 LIMIT 500", "")
+    assert "p_size <= 3" not in sql
+    got = rows(registry.QUERIES[f"{name}_whole"](spark, DATA).toPandas())
+    assert got == rows(db.sql(sql).df()) and len(got[1]) > 0
+
+
+def test_whole_view_is_set_for_its_own_query_only():
+    seen = bindings.whole(lambda spark, sf_dir: bindings.VIEW.get())(None, "")
+    assert seen == bindings.WHOLE_TRIPLES and bindings.VIEW.get() == bindings.TRIPLES
+    assert {f"{name}_whole" for name in registry.OVER_TRIPLES} <= set(registry.QUERIES)
