@@ -26,11 +26,12 @@ def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, ratio: bool = False) -> DataFrame:
+    """All candidates of the seeds. The SQL can only say the score by words; `ratio` makes it the whole score."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), (F.lit(1990) + F.col("p_size") % 10).alias("year"), F.col("p_brand").alias("venue"))
     seeds = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed_id"), "title", "year", F.lit("#3").alias("hint"))
     works = part.filter("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("work_id"), "title", "year", "venue")
-    return pa.linkage_candidates(seeds, works, "#1", ratio=False)
+    return pa.linkage_candidates(seeds, works, "#1", ratio=ratio)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,8 @@ QUERIES = {
     "hits_url_functions": url_functions,
     "papers_linkage": lambda s, d: rounded(pa.best_matches(scored(s, d), 0.82, 1).select("seed_id", "work_id", "score")),
     "papers_linkage_ranked": lambda s, d: rounded(pa.ranked(scored(s, d), 3).select("seed_id", "work_id", "rank", "sim", "year_bonus", "evidence_bonus", "hint_bonus", "score")),
+    "papers_linkage_whole": lambda s, d: rounded(pa.best_matches(scored(s, d, True), 0.82, 1).select("seed_id", "work_id", "score")),
+    "papers_linkage_ranked_whole": lambda s, d: rounded(pa.ranked(scored(s, d, True), 3).select("seed_id", "work_id", "rank", "sim", "year_bonus", "evidence_bonus", "hint_bonus", "score")),
     "papers_merged": merged,
     "papers_per_year": lambda s, d: pa.per_year(orders(s, d), 1990, 2001, "urgent"),
     "papers_authors": lambda s, d: pa.author_counts(orders(s, d), "authors", 50),
