@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +29,22 @@ from reweave.llm.common import own_columns, written
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def encoding(path: str):
-    """The byte-level BPE whose pieces and ranks are in the file at `path`."""
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that the `tokenizers` form of the vocabulary, if it lies beside the file at `path`, finds in text before any merge."""
+    whole = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(whole):
+        return {}
+    with open(whole, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoding(path: str, added: dict[str, int] | None = None):
+    """The byte-level BPE whose pieces and ranks are in the file at `path`, with added tokens."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -54,13 +65,15 @@ def pieces(
     if with_ids:
         schema, fields = schema + ", ids array<int>", [*fields, ("ids", pa.list_(pa.int32()))]
 
+    added = added_tokens(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = encoding(vocabulary), TaskContext.get().partitionId()
+        encoder, part = encoding(vocabulary, added), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in bw.small(batches, "text"):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(np.asarray(encoder.encode_to_numpy(text or "", disallowed_special=()), "<u4"), np.uint32(end_id))
+                ids = np.append(np.asarray(encoder.encode_to_numpy(text or "", allowed_special="all", disallowed_special=()), "<u4"), np.uint32(end_id))
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
                     row = (doc, k, start, length, zlib.crc32(own.tobytes()), part, int(seen[length]))
