@@ -232,21 +232,28 @@ def near_dedup(
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets (A-Z lower-cased words
     between white space); component_id is the smallest doc_id reachable. Texts without words, or null, are linked
-    with nothing. Null ids are ignored where another id names the component. Empty tables give no rows.
+    with nothing. Null ids are ignored where another id names the component; a component without any other id has a null
+    component_id, and one row of it is kept. Empty tables give no rows. With `percent` below 80 lists are keyed by single
+    retained values; similar sets larger than `list_size` then share none with a chance of (1 - percent / 100) **
+    list_size at most.
     """
+    # of two different sets, the smaller one has at least so many shingles if they are similar
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+    # a shingle of one set only breaks one run of the other at most: two runs of similar sets are left if percent >= 80
+    pairwise = percent >= 80
     rows = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketched = written(_per_text(rows, shingle_words, sketch_size), "sketches")
-    reps = sketched.filter("n_shingles > 0").groupBy(*SIGN).agg(F.min("doc_id").alias("rep_id"), F.min_by("sketch", "doc_id").alias("sketch"))
+    sketched = written(_per_text(rows, shingle_words, sketch_size).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    reps = sketched.filter("n_shingles > 0").groupBy(*SIGN).agg(F.min("doc_id").alias("rep_id"), F.min("row").alias("first_row"), F.min_by("sketch", "row").alias("sketch"))
     reps = written(reps.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    # sets with fewer than five shingles are similar only if they are equal
     low = F.slice("sketch", 1, list_size)
     runs = F.zip_with(F.slice(low, 1, F.size(low) - 1), F.slice(low, 2, F.size(low) - 1), lambda x, y: F.xxhash64(x, y))
-    keys = reps.filter("n_shingles >= 4").filter(F.size("sketch") > 1).select("cid", "n_shingles", F.explode(runs).alias("key"))
+    keys = reps.filter(F.col("n_shingles") >= least)
+    keys = keys.filter(F.size("sketch") > 1).select("cid", "n_shingles", F.explode(runs).alias("key")) if pairwise else keys.select("cid", "n_shingles", F.explode(low).alias("key"))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = written(keys.join(several, "key"), "lists")
-    # similar sets share two runs at least, by the same argument
-    listed = members.groupBy("cid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # similar sets share two runs at least, or one single value
+    listed = members.groupBy("cid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1" if pairwise else "m > 0")
     members = written(members.join(listed, "cid"), "lists")
     # the set that shares most runs leads: it is nearest to the middle of a group of near copies
     leaders = members.groupBy("key").agg(F.max(F.struct("m", "cid", "n_shingles")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -256,6 +263,8 @@ def near_dedup(
 
     chosen = written(reps.join(listed.select("cid"), "cid").select("cid", "rep_id", *SIGN), "chosen")
     texts = rows.join(chosen.select(F.col("rep_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    if not chosen.filter("rep_id IS NULL").isEmpty():  # texts without an id are told apart by their signatures
+        texts = texts.unionByName(rows.filter("doc_id IS NULL"))
     sets = _per_text(texts, shingle_words, None).groupBy(*SIGN).agg(F.first("sketch").alias("shingles"))
     sets = written(chosen.join(sets, SIGN).select("cid", "shingles"), "sets")
     links = written(_verified(stars, sets, percent), "links")
@@ -272,14 +281,16 @@ def near_dedup(
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    homes = placed(reps.select("cid", "rep_id", *SIGN), roots)
-    named = homes.join(homes.groupBy("root").agg(F.min("rep_id").alias("component_id")), "root").select(*SIGN, "component_id")
+    homes = placed(reps.select("cid", "rep_id", "first_row", *SIGN), roots)
+    names = homes.groupBy("root").agg(F.min("rep_id").alias("component_id"), F.min("first_row").alias("first_row"))
+    named = homes.select(*SIGN, "root").join(names, "root").select(*SIGN, "component_id", "first_row")
     named = written(named, "components")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull() | F.col("first_row").isNull() | (F.col("row") == F.col("first_row")))
     return (
-        sketched.select("doc_id", *SIGN)
+        sketched.select("doc_id", "row", *SIGN)
         .join(named, SIGN, "left")
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
     )
 
 
