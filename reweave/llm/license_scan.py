@@ -74,13 +74,18 @@ class Fuzzy:
         return merged
 
     def search(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of each occurrence in text order."""
+        """(start, end, edits) of each occurrence in text order: the best of a window, then those before and after it."""
         out = []
         for a, b in self.windows(text):
-            while m := self.pattern.search(text, a, min(b, len(text))):
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                a = max(m.end(), m.start() + 1)
-        return out
+            todo = [(a, min(b, len(text)))]
+            while todo:
+                a, b = todo.pop()
+                if m := self.pattern.search(text, a, b):
+                    out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                    todo.append((max(m.end(), m.start() + 1), b))
+                    if m.start() - 1 - a >= len(self.notice) - self.edits:
+                        todo.append((a, m.start() - 1))  # up to the space before it
+        return sorted(out)
 
 
 def license_scan(
