@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 Five-word seeds of the benchmark are looked up in every whole text where it is read. A text and an item that share a
-seed are tiled: rolling (Karp-Rabin) hashes give all places where their word sequences agree, and the longest match of
-words not yet marked is marked again and again until none of five words is left. The share of the item's words that
+seed are tiled: an index of word tuples, not rolling (Karp-Rabin) hashes, gives all places where their word sequences
+agree, and the longest match of words not yet marked is marked again and again until none of five words is left. The share of the item's words that
 is marked is its coverage, whatever the order of the tiles, so that reordered passages are caught.
 
 The seed table goes to the tasks only as long as it has at most `max_seeds` rows. A larger benchmark is split into parts
