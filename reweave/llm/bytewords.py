@@ -1,7 +1,7 @@
-"""Words and rolling hashes of many texts at once, as numpy arrays.
+"""Words and hashes of many texts at once, as numpy arrays.
 
-A batch of texts is one byte array with offsets. Words are runs of bytes of a class, never across texts. Hashes of
-byte ranges come from one running sum of `value[byte] * BASE**position` modulo 2**64, so a range costs O(1).
+A batch of texts is one byte array with offsets. Words are runs of bytes of a class, never across texts. Every step of
+a hash ends in a mix that is not linear: sums of powers modulo 2**64 would take some regular texts for one another.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-#: A value for each byte; fixed, so that hashes agree between tasks.
-VALUES = np.random.RandomState(20240611).randint(1, 2**63 - 1, 256).astype(U) * U(2) + U(1)
+#: Odd multipliers; fixed, so that hashes agree between tasks.
+FACTORS = np.random.RandomState(20240611).randint(1, 2**63 - 1, 256).astype(U) * U(2) + U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Whitespace words: everything but space and \t to \r.
@@ -35,29 +34,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    out = np.ones(1, U)
-    step = base
-    while len(out) < n:
-        out = np.concatenate([out, out * U(step)])
-        step = step * step % (1 << 64)
-    return out[:n]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer, zeros after the end; one place more than data has."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-class Rolling:
-    """Hashes of ranges of one byte array."""
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, short: int = 64) -> np.ndarray:
+    """A hash of each byte range: eight bytes at a time for all ranges together, ranges above `short` bytes one by one."""
+    at, size = _eights(data), ends - starts
+    out = mix(size.astype(U) * FACTORS[0] + FACTORS[1])
+    todo, k = np.flatnonzero((size > 0) & (size <= short)), 0
+    while len(todo):
+        chunk, rest = at[starts[todo] + k], size[todo] - k
+        tail = np.flatnonzero(rest < 8)
+        chunk[tail] &= (U(1) << (rest[tail] * 8).astype(U)) - U(1)
+        out[todo] = mix(out[todo] ^ (chunk * FACTORS[2]))
+        todo, k = todo[rest > 8], k + 8
+    if len(long := np.flatnonzero(size > short)):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
 
-    _up = _down = np.ones(1, U)
 
-    def __init__(self, data: np.ndarray):
-        if len(Rolling._up) <= len(data):
-            size = 1 << (len(data) + 1).bit_length()
-            Rolling._up, Rolling._down = powers(size, BASE), powers(size, INVERSE)
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(VALUES[data] * Rolling._up[: len(data)], out=self.sums[1:])
+class Spans:
+    """Hashes of spans of places: a table of spans of 1, 2, 4, ... leaves, each the mix of its halves.
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * Rolling._down[start])
+    A leaf stands for `unit` places. Any span of at least `unit` places is covered by the two largest spans of the
+    table that begin and end with it, so it costs two look-ups, whatever its length.
+    """
+
+    def __init__(self, leaves: np.ndarray, unit: int = 1):
+        self.unit, self.levels = unit, [leaves]
+
+    @classmethod
+    def of_bytes(cls, data: np.ndarray) -> Spans:
+        return cls(mix(_eights(data)[: max(0, len(data) - 7)] * FACTORS[2] + FACTORS[3]), 8)
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, step = self.levels[-1], self.unit << (len(self.levels) - 1)
+            n, odd = max(0, len(last) - step), FACTORS[4 + 2 * len(self.levels) : 6 + 2 * len(self.levels)]
+            self.levels.append(mix(last[:n] * odd[0] + last[step : step + n] * odd[1]))
+        return self.levels[k]
+
+    def __call__(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The hash of the span of lengths[i] places from starts[i] on; all must lie inside."""
+        out, longest = np.zeros(len(starts), U), int(lengths.max()) if len(lengths) else 0
+        k = 0
+        while self.unit << k <= longest:
+            own = np.flatnonzero((lengths >= self.unit << k) & (lengths < self.unit << (k + 1)))
+            if len(own):
+                level, a, n = self._level(k), starts[own], lengths[own]
+                out[own] = mix(level[a] * FACTORS[0] + level[a + n - (self.unit << k)] * FACTORS[1] + n.astype(U) * FACTORS[2])
+            k += 1
+        return out
+
+    def all(self, length: int) -> np.ndarray:
+        """The hash of `length` places from each place on where they fit."""
+        if length < self.unit:
+            raise ValueError(f"spans must have {self.unit} places at least")
+        k = (length // self.unit).bit_length() - 1
+        level, step = self._level(k), length - (self.unit << k)
+        n = max(0, len(level) - step)
+        return mix(level[:n] * FACTORS[0] + level[step : step + n] * FACTORS[1] + U(length * int(FACTORS[2]) % (1 << 64)))
 
 
 def texts(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +126,7 @@ def words(data: np.ndarray, at: np.ndarray, member: np.ndarray) -> tuple[np.ndar
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash for each `size` consecutive hashes (across texts too: the caller takes those within a text)."""
-    if len(hashes) < size:
-        return np.zeros(0, U)
-    total = np.zeros(len(hashes) - size + 1, U)
-    for j in range(size):
-        total += hashes[j : j + len(total)] * U(pow(0xD1342543DE82EF95, 2 * j + 1, 1 << 64))
-    return mix(total)
+    return Spans(hashes).all(size)
 
 
 def small(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

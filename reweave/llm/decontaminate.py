@@ -112,7 +112,7 @@ def _cover(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
         if size:
             data, at = bw.texts(pa.array([b" ".join(words)], pa.large_binary()), lower=True)
             starts, ends, _ = bw.words(data, at, bw.WORDLIKE)
-            for h in set(bw.shingles(bw.Rolling(data)(starts, ends), size).tolist()):
+            for h in set(bw.shingles(bw.range_hashes(data, starts, ends), size).tolist()):
                 seeds.setdefault(size, {}).setdefault(h, []).append(k)
     shared = docs.sparkSession.sparkContext.broadcast((items, seeds))  # at most max_seeds rows
 
@@ -127,7 +127,7 @@ def _cover(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
         for batch in bw.small(batches, "text"):
             data, at = bw.texts(batch.column("text"), lower=True)
             starts, ends, first = bw.words(data, at, bw.WORDLIKE)
-            hashes = bw.Rolling(data)(starts, ends)
+            hashes = bw.range_hashes(data, starts, ends)
             pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
             for size, (known, flags) in tables.items():
                 own = bw.shingles(hashes, size)

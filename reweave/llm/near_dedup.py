@@ -3,12 +3,16 @@
 1. Each whole text becomes its set of word shingles, and of that set the k smallest hash values (the sketch) and a
    128-bit signature. Rows with equal sets form a class at once and go on as one.
 2. Inverted lists: runs of two neighbouring retained values are the keys. Two sets with a Jaccard similarity of 0.8 share
-   such a run with a chance of failure below 1e-9 for 32 retained values, and always if the sets are retained whole.
-3. Each list gives the pairs of its leader, the set that shares most runs, with all others, which is linear. The similarity estimated from the
-   sketch of the union drops hopeless pairs, with a margin of six standard errors; the full sets decide.
-4. Lists whose members are then still in different components are settled by an exact prefix join over the full
-   sets of those documents, on their rarest shingles, between different components only. So groups of near copies never
-   expand into all their pairs, and no link between different components is lost.
+   two such runs, as is asked of them, with a chance of failure of at most 1.6e-8 for 32 retained values, and always if
+   the sets are retained whole.
+3. Each list gives the pairs of its leader, the set that shares most runs, with all others, which is linear. The similarity
+   estimated from the sketch of the union drops hopeless pairs, with a margin of six standard errors (a chance of 3.4e-8
+   for a pair at 0.8); the full sets decide. Linked sets are contracted to components.
+4. In a second round each list gives one set of each component, against one of the largest component there.
+5. What is then still apart in some list is compared whole. Components that meet in a list form a family; families
+   larger than a block are first taken apart by an exact prefix filter. The sets of a family are dealt into blocks, and every pair of blocks that can hold a link between components is compared in one task, on full
+   sets, for exact counts. A task returns links that join components only, fewer than there are components in it, so the
+   output never grows with the pairs of a group, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingles of each text, as positive 63-bit hashes of `size` words (or of all, if fewer)."""
     data, at = bw.texts(column, lower=True)
     starts, ends, first = bw.words(data, at, bw.NOT_SPACE)
-    hashes = bw.Rolling(data)(starts, ends)
+    hashes = bw.range_hashes(data, starts, ends)
     full = (bw.shingles(hashes, size) >> bw.U(1)).astype(np.int64)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -98,53 +102,130 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int, keep: int) -> Da
     return both.filter(shared >= F.size(union) * (share - margin)).select("a", "b")
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, *, hot: int = 12, sample: int = 256, block: int = 1024) -> DataFrame:
-    """All pairs (a, b) of nodes in different components that can have enough in common.
+def _second_round(known: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """For each open list pairs (a, b) of a set of the component with most sets there and one of each other component."""
+    picks = known.join(ends.select("key"), "key").groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("cid", "n_shingles"), F.xxhash64("key", "cid")).alias("one")
+    )
+    picks = written(picks.select("key", "root", "n", "one.cid", "one.n_shingles"), "picks")
+    largest = picks.groupBy("key").agg(F.max(F.struct("n", "root", "cid", "n_shingles")).alias("top"))
+    largest = largest.select("key", F.col("top.root").alias("root_a"), F.col("top.cid").alias("a"), F.col("top.n_shingles").alias("n_a"))
+    pairs = picks.join(largest, "key").filter((F.col("root") != F.col("root_a")) & _close("n_shingles", "n_a", percent))
+    return pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
+
+
+def _families(known: DataFrame, ends: DataFrame) -> DataFrame:
+    """The sets of open lists with their component and family: components that meet in a list are of one family."""
+    own = known.join(ends.select("key", "a"), "key")
+    families = components(own.select("a", F.col("root").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    return own.select("cid", "n_shingles", "root").distinct().join(families, "root")
+
 
-    nodes: cid, n_shingles, root. A shingle found in one component only can't be in such an intersection. Of the
-    others, two sets with enough in common share one among the rarest (n common - n needed + 1) of either. What two
-    sets share before and after that one's ranks bounds their intersection. Lists of more than `hot` nodes carry the
-    smallest `sample` shingles of each, so that pairs are decided (sets no larger than that) or estimated in blocks.
+def _narrowed(nodes: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """`nodes` with families of more than `most` shingles taken apart by an exact prefix filter on their full sets.
+
+    A shingle of one component only is in no link. Of the others, two sets with enough in common share one among the
+    rarest (n common - n needed + 1) of either; so components that share none of these can't be linked. A passage that
+    many texts quote is frequent and keeps them together no more.
     """
-    rows = nodes.join(sets, "cid").select("cid", "n_shingles", "root", F.explode("shingles").alias("sh"))
+    weight = nodes.groupBy("family").agg(F.sum(F.col("n_shingles") + 64).alias("w")).filter(F.col("w") > most).select("family")
+    heavy = written(weight, "heavy")
+    if heavy.isEmpty():
+        return nodes
+    asked = written(nodes.join(heavy, "family").drop("family"), "heavy-nodes")
+    rows = asked.join(sets, "cid").select("cid", "n_shingles", "root", F.explode("shingles").alias("sh"))
     spread = rows.groupBy("sh").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    common = rows.join(spread.filter("lo <> hi").select("sh", "df"), "sh")
+    spread = written(spread.filter("lo <> hi").select("sh", "df"), "spread")
     needed = F.ceil(F.col("n_shingles") * percent / 100)
-    counts = common.groupBy("cid").agg(F.count(F.lit(1)).alias("n_common"))
-    alive = nodes.join(counts, "cid").filter(F.col("n_common") >= needed).select("cid", "n_common")
-    order = Window.partitionBy("cid").orderBy("df", "sh")
-    prefix = (
-        common.join(alive, "cid")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= F.col("n_common") - needed + 1)
-    )
-    prefix = written(prefix.select("sh", "cid", "n_shingles", "root", "n_common", "rank"), "prefixes")
-    lists = prefix.groupBy("sh").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    lists = written(lists.filter("lo <> hi").select("sh", "n"), "prefix-lists")
-    cold = prefix.join(lists.filter(F.col("n") <= hot), "sh", "left_semi")
-    c = F.col
-    left = cold.select("sh", *[c(x).alias(f"{x}_a") for x in cold.columns if x != "sh"])
-    right = cold.select("sh", *[c(x).alias(f"{x}_b") for x in cold.columns if x != "sh"])
-    most = F.least("rank_a", "rank_b") + F.least(c("n_common_a") - c("rank_a"), c("n_common_b") - c("rank_b"))
-    fits = (c("cid_a") < c("cid_b")) & (c("root_a") != c("root_b")) & _close("n_shingles_a", "n_shingles_b", percent)
-    fits = fits & (most * (100 + percent) >= (c("n_shingles_a") + c("n_shingles_b")) * percent)
-    met = left.join(right, (left["sh"] == right["sh"]) & fits).select(c("cid_a").alias("a"), c("cid_b").alias("b"))
-
-    # long lists are split into blocks; a row goes to every pair of blocks with its own, and a task holds one pair
-    few = sets.select("cid", F.slice("shingles", 1, sample).alias("few"))
-    blocks = F.ceil(c("n") / block).cast("int")
-    busy = prefix.join(lists.filter(c("n") > hot), "sh").withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, c("own")).alias("i"), F.greatest(o, c("own")).alias("j")))
-    busy = busy.withColumn("x", F.explode(pairs)).select("sh", "x.i", "x.j", "cid", "n_shingles", "root", "n_common", "rank")
-    busy = busy.join(few, "cid").repartition("sh", "i", "j").sortWithinPartitions("sh", "i", "j")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, ["sh", "i", "j"]):
-            x, y = _similar(group, percent, sample)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    return met.unionByName(busy.mapInArrow(decide, "a long, b long")).distinct()
+    common = written(rows.join(spread, "sh"), "common")
+    alive = common.groupBy("cid").agg(F.count(F.lit(1)).alias("n_common"))
+    ranked = common.join(alive, "cid").filter(F.col("n_common") >= needed)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy("df", "sh")))
+    prefix = written(ranked.filter(F.col("rank") <= F.col("n_common") - needed + 1).select("sh", "root", "cid", "n_shingles"), "prefixes")
+    ends = prefix.groupBy("sh").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(F.col("sh").alias("key"), "a")
+    light = nodes.join(heavy, "family", "left_anti")
+    return light.unionByName(_families(prefix.withColumnRenamed("sh", "key"), written(ends, "prefix-lists")).select(*light.columns))
+
+
+def _dealt(nodes: DataFrame, sets: DataFrame, *, most: int, slice_size: int = 1024) -> DataFrame:
+    """The sets of all nodes, in slices, for each pair of blocks that they are to be compared in.
+
+    nodes: cid, n_shingles, root, family. A block holds about `most` shingles. Blocks of one large component only are
+    not compared with each other. Returns pair, side (0 and 1; 2 if a block meets itself), cid, n_shingles, root, part.
+    """
+    weight, c = F.sum(F.col("n_shingles") + 64).alias("w"), F.col  # a set costs some shingles more than it has
+    sizes = nodes.groupBy("family", "root").agg(weight).withColumn("own", F.when(c("w") >= most, c("root")).otherwise(F.lit(-1)))
+    parts = sizes.groupBy("family", "own").agg(F.ceil(F.sum("w") / most).cast("int").alias("parts"))
+    placed = nodes.join(sizes.select("root", "own"), "root").join(parts, ["family", "own"])
+    placed = placed.withColumn("no", F.pmod(F.xxhash64("cid"), c("parts")).cast("int")).drop("parts")
+    placed = written(placed, "placed")
+    blocks = parts.select("family", "own", F.explode(F.sequence(F.lit(0), c("parts") - 1)).alias("no"))
+    left = blocks.select("family", c("own").alias("own_a"), c("no").alias("no_a"))
+    right = blocks.select("family", c("own").alias("own_b"), c("no").alias("no_b"))
+    after = (c("own_a") < c("own_b")) | ((c("own_a") == -1) & (c("own_b") == -1) & (c("no_a") <= c("no_b")))
+    pairs = written(left.join(right, "family").filter(after).withColumn("pair", F.monotonically_increasing_id()), "block-pairs")
+    itself = (c("own_a") == c("own_b")) & (c("no_a") == c("no_b"))
+    ends = pairs.select("family", "pair", c("own_a").alias("own"), c("no_a").alias("no"), F.when(itself, 2).otherwise(0).alias("side"))
+    ends = ends.unionByName(pairs.filter(~itself).select("family", "pair", c("own_b").alias("own"), c("no_b").alias("no"), F.lit(1).alias("side")))
+    cut = F.transform(F.sequence(F.lit(1), c("n_shingles"), F.lit(slice_size)), lambda i: F.slice("shingles", i, slice_size))
+    sliced = placed.join(sets, "cid").select("family", "own", "no", "cid", "n_shingles", "root", F.explode(cut).alias("part"))
+    return sliced.join(ends, ["family", "own", "no"]).drop("family", "own", "no")
+
+
+def _compared(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each pair of blocks wherever any two of their sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, ["pair"]):
+            if found := joining_links(rows, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return dealt.repartition("pair").sortWithinPartitions("pair", "cid").mapInArrow(run, "a long, b long")
+
+
+def joining_links(rows: pa.Table, percent: int, step: int = 4 << 20) -> list[tuple[int, int]]:
+    """Pairs of similar sets, one at least for each two components of which any sets are similar, and never one within
+    components that earlier pairs have joined. A set is counted against all others by its shingles' own lists."""
+    ids, first, of = np.unique(rows.column("cid").to_numpy(), return_index=True, return_inverse=True)
+    n, label, side = (rows.column(k).to_numpy()[first] for k in ("n_shingles", "root", "side"))
+    label = label.copy()
+    lists = rows.column("part").combine_chunks()
+    holder = np.repeat(of, np.diff(lists.offsets.to_numpy()))
+    values = lists.flatten().to_numpy()
+    order = np.argsort(values, kind="stable")
+    new = np.ones(len(values), bool)
+    new[1:] = values[order][1:] != values[order][:-1]
+    begin = np.flatnonzero(new)
+    times = np.diff(np.append(begin, len(values)))
+    held, column = holder[order], np.empty(len(values), np.int64)
+    column[order] = np.cumsum(new) - 1
+    shared = np.flatnonzero(times[column] > 1)  # a shingle of one set alone is in no intersection
+    by_set = shared[np.argsort(holder[shared], kind="stable")]
+    cuts = np.searchsorted(holder[by_set], np.arange(len(ids) + 1))
+    lone = side == 2
+    turn = np.flatnonzero(lone | (side == (0 if (side == 0).sum() <= (side == 1).sum() else 1)))
+    out = []
+    for s in turn.tolist():
+        asked = (label != label[s]) & (n * 100 >= n[s] * percent) & (n[s] * 100 >= n * percent)
+        asked[: s + 1 if lone[s] else 0] = False  # within a block each pair once
+        if not lone[s]:
+            asked &= side != side[s]
+        if not asked.any():
+            continue
+        mine = column[by_set[cuts[s] : cuts[s + 1]]]
+        common, sums = np.zeros(len(ids), np.int64), np.cumsum(times[mine])
+        part = (sums - 1) // step if len(sums) else sums
+        for k in range(int(part[-1]) + 1 if len(part) else 0):
+            own = mine[part == k] if part[-1] else mine
+            long = times[own]
+            at = np.repeat(begin[own] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
+            common += np.bincount(held[at], minlength=len(ids))
+        good = np.flatnonzero(asked & (common * (100 + percent) >= (n + n[s]) * percent))
+        for other in good.tolist():
+            if label[other] != label[s]:
+                out.append((int(ids[s]), int(ids[other])))
+                label[label == label[other]] = label[s]
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -166,58 +247,6 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _similar(rows: pa.Table, percent: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of cid in different components that are similar, or may be: sets of at most `sample` shingles are
-    compared whole, larger ones on what both samples cover, less six standard errors."""
-    cid, n, root, common, rank = (rows.column(k).to_numpy() for k in ("cid", "n_shingles", "root", "n_common", "rank"))
-    x, y = np.triu_indices(len(cid), 1)
-    bound = np.minimum(rank[x], rank[y]) + np.minimum((common - rank)[x], (common - rank)[y])
-    ok = (root[x] != root[y]) & (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent)
-    ok &= bound * (100 + percent) >= (n[x] + n[y]) * percent
-    x, y = x[ok], y[ok]
-    if not len(x):
-        return x, y
-    used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-    lists = rows.column("few").combine_chunks()
-    offsets = lists.offsets.to_numpy()
-    values = lists.values.to_numpy()
-    own = [values[offsets[k] : offsets[k + 1]] for k in used.tolist()]
-    distinct, inverse, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    place = np.full(len(distinct), -1)
-    place[shared] = np.arange(len(shared))
-    holder, column = np.repeat(np.arange(len(own)), [len(o) for o in own]), place[inverse]
-    matrix = np.zeros((len(own), len(shared)), np.float32)
-    matrix[holder[column >= 0], column[column >= 0]] = 1
-    p, q = at[: len(x)], at[len(x) :]
-    inter = (matrix @ matrix.T)[p, q]
-    size = np.array([len(o) for o in own])
-    whole = np.maximum(n[x], n[y]) <= sample
-    good = whole & (inter * (100 + percent) >= (n[x] + n[y]) * percent)
-    for k in np.flatnonzero(~whole).tolist():
-        a, b = own[p[k]], own[q[k]]
-        end = min(a[-1] if size[p[k]] < n[x[k]] else np.iinfo(np.int64).max, b[-1] if size[q[k]] < n[y[k]] else np.iinfo(np.int64).max)
-        union = np.searchsorted(a, end, "right") + np.searchsorted(b, end, "right") - inter[k]
-        share = percent / 100
-        good[k] = inter[k] >= union * (share - 6 * (share * (1 - share) / max(union, 1)) ** 0.5)
-    # of pairs compared whole, those that connect what they link are enough
-    x, y, sure = x[good], y[good], whole[good]
-    root_of = list(range(len(cid)))
-
-    def find(k: int) -> int:
-        while root_of[k] != k:
-            root_of[k] = root_of[root_of[k]]
-            k = root_of[k]
-        return k
-
-    keep = ~sure
-    for k in np.flatnonzero(sure).tolist():
-        a, b = find(int(x[k])), find(int(y[k]))
-        if a != b:
-            root_of[b], keep[k] = a, True
-    return cid[x[keep]], cid[y[keep]]
-
-
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -227,6 +256,7 @@ def near_dedup(
     percent: int = 80,
     sketch_size: int = 48,
     list_size: int = 32,
+    block_shingles: int = 500_000,
 ) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -273,13 +303,23 @@ def near_dedup(
     def placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         return nodes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
-    known = placed(members, roots)
-    open_keys = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    nodes = known.join(open_keys, "key").select("cid", "n_shingles", "root").distinct()
-    met = _estimated(_prefix_pairs(written(nodes, "open"), sets, percent), reps, percent, sketch_size)
-    more = written(_verified(met, sets, percent), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    def open_lists(roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        known = placed(members, roots)
+        ends = known.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+        return known, written(ends, "open")
+
+    known, ends = open_lists(roots)
+    if not ends.isEmpty():
+        more = written(_verified(_estimated(_second_round(known, ends, percent), reps, percent, sketch_size), sets, percent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
+            known, ends = open_lists(roots)
+        nodes = written(_families(known, ends), "nodes")
+        nodes = written(_narrowed(nodes, sets, percent, block_shingles), "nodes")
+        last = written(_compared(_dealt(nodes, sets, most=block_shingles), percent), "links")
+        if not last.isEmpty():
+            roots = components(links.unionByName(last))
 
     homes = placed(reps.select("cid", "rep_id", "first_row", *SIGN), roots)
     names = homes.groupBy("root").agg(F.min("rep_id").alias("component_id"), F.min("first_row").alias("first_row"))

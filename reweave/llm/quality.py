@@ -57,8 +57,8 @@ def text_statistics(column: pa.Array) -> np.ndarray:
     lengths = ends - starts
     sums = np.concatenate([[0], np.cumsum(lengths)])
     out["mean_word"] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, count)
-    rolling = bw.Rolling(bw.LOWER[data])
-    hashes = rolling(starts, ends)
+    low = bw.LOWER[data]
+    hashes = bw.range_hashes(low, starts, ends)
     triples = bw.shingles(hashes, 3)
     same = np.zeros(len(hashes), bool)
     same[1:] = hashes[1:] == hashes[:-1]
@@ -69,7 +69,7 @@ def text_statistics(column: pa.Array) -> np.ndarray:
         a, b = first[i], first[i + 1]
         inside = breaks[split[i] : split[i + 1]]
         edges = np.concatenate([[at[i] - 1], inside, [at[i + 1]]])
-        lines = np.unique(rolling(edges[:-1] + 1, np.maximum(edges[1:], edges[:-1] + 1)))
+        lines = np.unique(bw.range_hashes(low[at[i] : at[i + 1]], edges[:-1] + 1 - at[i], np.maximum(edges[1:], edges[:-1] + 1) - at[i]))
         more[i, 4:] = len(inside) + 1, len(lines) / (len(inside) + 1), (b - a) / (len(inside) + 1)
         more[i, 1] = more[i, 3] = 1
         if b > a:
