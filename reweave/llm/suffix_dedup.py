@@ -4,11 +4,10 @@ A suffix array of every byte of the corpus would move many times its size. Here
 suffixes at content-chosen anchors, of which every window of `window` bytes has one, at the same place in equal windows.
 
 1. Anchors that occur once anywhere are dropped, and with them all windows around them: they can't occur twice.
-2. The stretch of windows around each anchor left is counted as a whole, by a 64-bit hash. Those that occur twice are done.
+2. The stretch of windows around each anchor left is counted as a whole. Those that occur twice are done.
 3. The other stretches are decided byte by byte. The suffixes at one anchor are sorted with their common prefixes by
    deep-shallow sorting; prefixes to the right and to the left of the anchor give how far any two of them agree.
-4. Where more than `most` different stretches share an anchor (a passage in very many contexts), their windows are
-   counted by hash in an ordinary aggregation instead, so that no task or pair list grows with such a group.
+4. Where more than `most` different stretches share an anchor, their windows are counted (see `repeats`).
 """
 
 from __future__ import annotations
@@ -19,24 +18,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from reweave.llm import bytewords as bw
 from reweave.llm import deep_shallow
-from reweave.llm.common import written
-from reweave.llm.repeats import assembled, cut_out, surveyed, with_repeated_anchors
+from reweave.llm.repeats import STRETCHES, Units, assembled, cut_out, kept_anchors, repeated_ranges, surveyed, with_repeated_anchors
 
 GRAM = 128
 BATCH = 2 << 20
 
 
 def _anchors(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple:
-    rolling = bw.Rolling(data)
-    n = max(0, len(data) - gram + 1)
-    grams = bw.mix((rolling.sums[gram : gram + n] - rolling.sums[:n]) * bw.Rolling._down[:n])
-    ok = bw.whole_windows(at, window, len(data))[:n]
+    spans = bw.Spans.of_bytes(data)
+    grams = spans.all(gram)
+    ok = bw.whole_windows(at, window, len(data))[: len(grams)]
     place, starts, counts = bw.winnow(grams, window - gram + 1, ok)
-    return grams[place], place, starts, counts, rolling
+    return grams[place], place, starts, counts, spans
+
+
+def _digest(text: bytes) -> str:
+    return hashlib.sha256(text).hexdigest()
+
+
+def _window_hashes(text: bytes, starts: np.ndarray, window: int) -> np.ndarray:
+    return bw.Spans.of_bytes(np.frombuffer(text, np.uint8))(starts, np.full(len(starts), window))
+
+
+BYTES = Units(bytes, bytes, bytes, b"", _window_hashes, _digest)
 
 
 def group_ranges(rows: list[tuple], window: int) -> list[tuple[int, int, int]]:
@@ -70,130 +77,41 @@ def suffix_dedup(
 
     Removed is each byte of the UTF-8 text covered by a string of `window` bytes that also starts anywhere else, in the
     same text or another; a match never crosses texts. n_spans counts maximal removed runs, kept_sha256 is of the bytes
-    left. Null counts as empty; empty tables give no rows.
+    left. Null counts as empty; empty tables give no rows. Rows may share an id or have none: each is judged by its own
+    text, and rows with equal texts repeat as a whole. A text is held whole in one task, with some tens of its size.
     """
 
     def survey(column: pa.Array) -> tuple:
         data, at = bw.texts(column, lower=False)
         raw = memoryview(np.ascontiguousarray(data))
-        sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        found = [_anchors(data[a:b], c, window, gram) for a, b, c in _parts(at)]
+        sha = [_digest(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        parts = _parts(at)
+        found = [_anchors(data[a:b], c, window, gram)[:3] for a, b, c in parts]
         anchors = np.concatenate([f[0] for f in found]) if found else np.zeros(0, bw.U)
-        begin = np.concatenate([f[2] + a for f, (a, _, _) in zip(found, _parts(at))]) if found else np.zeros(0, np.int64)
+        begin = np.concatenate([f[2] + a for f, (a, _, _) in zip(found, parts)]) if found else np.zeros(0, np.int64)
         return sha, np.diff(at), anchors, np.searchsorted(begin, at)
 
-    rows, heads, classes = surveyed(docs, id_col, text_col, survey)
-    texts = with_repeated_anchors(rows, classes)
-
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.small(batches, "text", BATCH):
             data, at = bw.texts(batch.column("text"), lower=False)
-            anchors, place, starts, counts, rolling = _anchors(data, at, window, gram)
+            anchors, place, starts, counts, spans = _anchors(data, at, window, gram)
             row = np.searchsorted(at, starts, side="right") - 1
-            cuts = np.searchsorted(row, np.arange(len(at)))
-            keep = np.zeros(len(anchors), bool)
-            for i, wanted in enumerate(batch.column("wanted")):
-                a, b = cuts[i], cuts[i + 1]
-                keep[a:b] = np.isin(anchors[a:b].view(np.int64), wanted.values.to_numpy())
+            keep = kept_anchors(batch.column("wanted"), anchors, row, len(at) - 1)
             if keep.any():
                 anchors, place, starts, counts, row = (v[keep] for v in (anchors, place, starts, counts, row))
-                whole = rolling(starts, starts + counts - 1 + window) ^ bw.mix((place - starts).astype(bw.U))
-                names = ["rid", "h", "whole", "place", "start", "n_windows"]
+                whole = bw.mix(spans(starts, counts - 1 + window) + (place - starts).astype(bw.U))
                 values = [anchors.view(np.int64), whole.view(np.int64), place - at[row], starts - at[row], counts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rid").take(pa.array(row)), *(pa.array(v, pa.int64()) for v in values)], names
+                    [batch.column("rid").take(pa.array(row)), *(pa.array(v, pa.int64()) for v in values)],
+                    ["rid", "h", "whole", "place", "start", "n_windows"],
                 )
 
-    schema = "rid long, h long, whole long, place long, start long, n_windows long"
-    found = written(texts.mapInArrow(stretches, schema), "stretches")
-    counted = found.groupBy("h", "whole").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place", "start", "n_windows")).alias("one")
-    )
-    counted = written(counted, "counted")
-    mixed = counted.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    mixed = written(mixed.filter("kinds > 1 AND least = 1").select("h", "kinds"), "mixed")
-    twice = counted.filter("n > 1").select("h", "whole")
-    complete = found.join(twice, ["h", "whole"], "left_semi").select(
-        "rid", F.col("start").alias("a"), (F.col("start") + F.col("n_windows") - 1 + window).alias("b")
-    )
-    asked = counted.join(mixed, "h").select(
-        "one.rid",
-        F.struct("h", "one.place", "one.start", "one.n_windows", (F.col("n") == 1).alias("lone"), (F.col("kinds") > most).alias("hot")).alias("ask"),
-    )
-    asked = asked.groupBy("rid").agg(F.collect_list("ask").alias("asks"))
-    asked = written(asked, "asked")
-    reach = window - gram
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-        for batch in batches:
-            out = []
-            for rid, text, asks in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "asks"))):
-                data = (text or "").encode()
-                for ask in asks:
-                    if not ask["hot"]:
-                        p = ask["place"]
-                        out.append((ask["h"], rid, p, ask["lone"], data[max(0, p - reach) : p][::-1], data[p : p + window]))
-                    if len(out) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), fields)], names)
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), fields)], names)
-
-    names = ["h", "rid", "place", "lone", "left", "right"]
-
-    def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rid, text, asks in zip(*(batch.column(c).to_pylist() for c in ("rid", "text", "asks"))):
-                own = [a for a in asks if a["hot"]]
-                if own:
-                    rolling = bw.Rolling(np.frombuffer((text or "").encode(), np.uint8))
-                    starts = [np.arange(a["start"], a["start"] + a["n_windows"]) for a in own]
-                    hashes = [rolling(s, s + window).view(np.int64) for s in starts]
-                    cuts = np.concatenate([[0], np.cumsum([len(s) for s in starts])])
-                    columns = [pa.array([rid] * len(own), pa.int64()), pa.array([a["start"] for a in own], pa.int64())]
-                    columns += [pa.array([a["lone"] for a in own]), bw.lists(np.concatenate(hashes), cuts, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["rid", "start", "lone", "windows"])
-
-    asking = texts.select("rid", "text").join(asked, "rid")
-    around = asking.mapInArrow(contexts, "h long, rid long, place long, lone boolean, left binary, right binary")
-    around = around.repartition("h").sortWithinPartitions("h")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        for batch in batches:
-            out: list[tuple] = []
-            for h, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if h != now:
-                    out += group_ranges(group, window)
-                    now, group = h, []
-                group.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["rid", "a", "b"])
-        if out := group_ranges(group, window):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["rid", "a", "b"])
-
-    near = around.mapInArrow(pairs, "rid long, a long, b long")
-    hot = written(asking.filter(F.exists("asks", lambda a: a["hot"])).mapInArrow(hot_windows, "rid long, start long, lone boolean, windows array<long>"), "hot")
-    each = hot.select("rid", "start", "lone", F.posexplode("windows").alias("i", "w"))
-    # a stretch that is not lone stands for two at least
-    often = each.groupBy("w").agg(F.sum(F.when(F.col("lone"), 1).otherwise(2)).alias("n")).filter("n > 1").select("w")
-    often = written(often, "windows")
-    frequent = each.filter("lone").join(often, "w", "left_semi").select(
-        "rid", (F.col("start") + F.col("i")).alias("a"), (F.col("start") + F.col("i") + window).alias("b")
+    rows, heads, classes = surveyed(docs, id_col, text_col, survey, _digest)
+    texts = with_repeated_anchors(rows, classes)
+    ranges = repeated_ranges(
+        texts, texts.mapInArrow(stretches, STRETCHES), BYTES, lambda group: group_ranges(group, window), window=window, reach=window - gram, most=most
     )
-
-    def remove(text: bytes, spans: list[list[int]], sha: str) -> tuple[int, bytes] | None:
-        if hashlib.sha256(text).hexdigest() != sha:
-            return None
-        kept, last, gone = [], 0, 0
-        for a, b in spans:
-            kept.append(text[last:a])
-            gone, last = gone + b - a, b
-        return gone, b"".join([*kept, text[last:]])
-
-    ranges = complete.unionByName(near).unionByName(frequent)
-    return assembled(heads, classes, cut_out(texts, ranges, classes, remove), window).withColumnRenamed("n", "n_bytes")
+    return assembled(heads, classes, cut_out(texts, ranges, classes, BYTES), window).withColumnRenamed("n", "n_bytes")
 
 
 def _parts(at: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
