@@ -34,3 +34,20 @@ def row_ids(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     while name in df.columns:
         name = "_" + name
     return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def maybe_among(rows: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """The rows whose `column` is among `ids` (one column; null is an id too), and some others, without a shuffle of `rows`.
+
+    The ids are marked in a bitmap of `bits` bits in pieces of 4 KB, so what is broadcast has at most 4 MB at any size. The
+    fuller the map, the more other rows stay: the caller's own join must drop them.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits)) + 1
+    name = ids.columns[0]
+    maps = ids.select(place(name).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")
+    )
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(column)) == F.col("piece"))
+    return joined.filter(F.bit_get(byte, (at % 8).cast("int")) == 1).select(*[F.col(c) for c in rows.columns])

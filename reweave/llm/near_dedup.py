@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reweave.llm import bytewords as bw
-from reweave.llm.common import own_columns, row_ids, written
+from reweave.llm.common import maybe_among, own_columns, row_ids, written
 from reweave.llm.components import components
 
 SIGN = ["sig_a", "sig_b", "n_shingles"]
@@ -289,14 +289,13 @@ def near_dedup(
     leaders = members.groupBy("key").agg(F.max(F.struct("m", "cid", "n_shingles")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     leaders = written(leaders.select("key", F.col("first.cid").alias("a"), F.col("first.n_shingles").alias("n_a")), "leaders")
     stars = members.join(leaders, "key").filter((F.col("cid") != F.col("a")) & _close("n_shingles", "n_a", percent))
-    stars = written(_estimated(stars.select("a", F.col("cid").alias("b")).distinct(), reps, percent, sketch_size), "pairs")
+    chosen = written(reps.join(listed.select("cid"), "cid").select("cid", "rep_id", *SIGN, "sketch"), "chosen")
+    stars = written(_estimated(stars.select("a", F.col("cid").alias("b")).distinct(), chosen, percent, sketch_size), "pairs")
 
-    chosen = written(reps.join(listed.select("cid"), "cid").select("cid", "rep_id", *SIGN), "chosen")
-    texts = rows.join(chosen.select(F.col("rep_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    if not chosen.filter("rep_id IS NULL").isEmpty():  # texts without an id are told apart by their signatures
-        texts = texts.unionByName(rows.filter("doc_id IS NULL"))
+    # the text is read a second time, for the sets of documents in lists, and not shuffled: the join on signatures decides
+    texts = maybe_among(rows, "doc_id", chosen.select("rep_id"))
     sets = _per_text(texts, shingle_words, None).groupBy(*SIGN).agg(F.first("sketch").alias("shingles"))
-    sets = written(chosen.join(sets, SIGN).select("cid", "shingles"), "sets")
+    sets = written(chosen.select("cid", *SIGN).join(sets, SIGN).select("cid", "shingles"), "sets")
     links = written(_verified(stars, sets, percent), "links")
     roots = components(links)
 
@@ -310,7 +309,7 @@ def near_dedup(
 
     known, ends = open_lists(roots)
     if not ends.isEmpty():
-        more = written(_verified(_estimated(_second_round(known, ends, percent), reps, percent, sketch_size), sets, percent), "links")
+        more = written(_verified(_estimated(_second_round(known, ends, percent), chosen, percent, sketch_size), sets, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links)
