@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reweave.llm import bytewords as bw
-from reweave.llm.common import own_columns, unique_ids, written
+from reweave.llm.common import maybe_among, own_columns, unique_ids, written
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 STRETCHES = "rid long, h long, whole long, place long, start long, n_windows long"
@@ -82,6 +82,7 @@ def with_repeated_anchors(rows: DataFrame, classes: DataFrame) -> DataFrame:
     repeated = written(repeated, "repeated")
     wanted = anchors.join(repeated, "h").groupBy("rid").agg(F.collect_set("h").alias("wanted"))
     wanted = written(classes.select("rid", "rep_id", F.col("sha").alias("rep_sha")).join(wanted, "rid"), "wanted")
+    rows = maybe_among(rows, "doc_id", wanted.select("rep_id"))
     same = rows["doc_id"].eqNullSafe(wanted["rep_id"])
     if "sha" not in rows.columns:
         return written(rows.join(wanted, same).select("rid", "text", "wanted"), "texts")
@@ -122,7 +123,7 @@ def repeated_ranges(
         F.struct("h", "one.place", "one.start", "one.n_windows", (F.col("n") == 1).alias("lone"), (F.col("kinds") > most).alias("hot")).alias("ask"),
     )
     asked = asked.groupBy("rid").agg(F.collect_list("ask").alias("asks"))
-    asking = written(texts.select("rid", "text").join(asked, "rid"), "asked")
+    asking = texts.select("rid", "text").join(written(asked, "asked"), "rid")
 
     names, fields = ["h", "rid", "place", "lone", "left", "right"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
 
