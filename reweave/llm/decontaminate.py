@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
-Five-word seeds of the benchmark are looked up in every whole text where it is read. A text and an item that share a
-seed are tiled: an index of word tuples, not rolling (Karp-Rabin) hashes, gives all places where their word sequences
-agree, and the longest match of words not yet marked is marked again and again until none of five words is left. The share of the item's words that
-is marked is its coverage, whatever the order of the tiles, so that reordered passages are caught.
+Five-word seeds of the benchmark are joined with every whole text where it is read. A text and an item that share a
+seed are tiled by running Karp-Rabin: at a falling match length, rolling hashes over the item's unmarked words are looked
+up with those over the text's, hits are checked and extended on words, and the longest match is marked again and again
+until none of five words is left. The share of the item's words that is marked is its coverage, whatever the order of the
+tiles, so that reordered passages are caught.
 
 The seed table goes to the tasks only as long as it has at most `max_seeds` rows. A larger benchmark is split into parts
 by a hash of the item, each within that bound, and the texts are scanned once for each part; nothing is dropped.
@@ -34,45 +35,87 @@ def word_list(data: bytes) -> list[bytes]:
 _SPACE = bytes(b if bw.WORDLIKE[b] else 32 for b in range(256))
 
 
-def tile(item: list, text: list, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
+_PRIME, _BASE = (1 << 61) - 1, 0x1F35C9A7D1E3B5
+
+
+def _rolled(words: list, marked: bytearray, size: int, number: dict) -> Iterator[tuple[int, int, object]]:
+    """(place, hash of `size` words from it on, the unmarked word before it or None) of each run of unmarked words."""
+    top = pow(_BASE, size - 1, _PRIME)
+    a, end = 0, len(words)
+    while a < end:
+        if marked[a]:
+            a += 1
+            continue
+        b = marked.find(b"\1", a)
+        b = end if b < 0 else b
+        if b - a >= size:
+            h = 0
+            for w in words[a : a + size]:
+                h = (h * _BASE + number[w]) % _PRIME
+            yield a, h, None
+            for k in range(a + 1, b - size + 1):
+                h = ((h - number[words[k - 1]] * top) * _BASE + number[words[k + size - 1]]) % _PRIME
+                yield k, h, words[k - 1]
+        a = b
+
+
+def _matches(item: list, text: list, in_item: bytearray, in_text: bytearray, size: int, number: dict) -> list[tuple[int, int, int]]:
+    """(-length, start in item, start in text) of all matches of at least `size` unmarked words that can't be extended.
+
+    A hit counts only where the words before differ, so that a text of one repeated word has few of them."""
+    places: dict[int, dict] = defaultdict(lambda: defaultdict(list))
+    for i, h, before in _rolled(item, in_item, size, number):
+        places[h][before].append(i)
+    out = []
+    for j, h, before in _rolled(text, in_text, size, number):
+        for other, starts in places.get(h, {}).items():
+            if other is not None and other == before:
+                continue
+            for i in starts:
+                if item[i : i + size] == text[j : j + size]:
+                    n = size
+                    while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and not in_item[i + n] and not in_text[j + n]:
+                        n += 1
+                    out.append((-n, i, j))
+    return out
+
+
+def tile(item: list, text: list, least: int = SEED_WORDS, first: int = 20) -> list[tuple[int, int, int]]:
     """(start in item, start in text, length) of greedy tiles, longest first; ties go to the smaller starts.
 
-    Only maximal runs of equal words at the places that share a window of `least` words are looked at, which loses
-    no tile of that length.
+    None in `text` stands for a gap and matches nothing.
     """
-    places = defaultdict(list)
-    for i in range(len(item) - least + 1):
-        places[tuple(item[i : i + least])].append(i)
-    runs: dict[int, list[list[int]]] = defaultdict(list)  # by diagonal
-    for j in range(len(text) - least + 1):
-        for i in places.get(tuple(text[j : j + least]), ()):
-            own = runs[j - i]
-            if own and i <= own[-1][0] + own[-1][1]:
-                own[-1][1] = i + least - own[-1][0]
-            else:
-                own.append([i, least])
-    heap = [(-n, i, i + d) for d, own in runs.items() for i, n in own]
-    heapq.heapify(heap)
-    in_item, in_text, out = bytearray(len(item)), bytearray(len(text)), []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        free = [not (in_item[i + k] or in_text[j + k]) for k in range(n)]
-        if all(free):
-            out.append((i, j, n))
-            in_item[i : i + n] = in_text[j : j + n] = b"\1" * n
+    number = {w: k + 1 for k, w in enumerate(dict.fromkeys([*item, *text]))}
+    in_item, in_text = bytearray(len(item)), bytearray(w is None for w in text)
+    out: list[tuple[int, int, int]] = []
+    size = max(least, first)
+    while True:
+        heap = _matches(item, text, in_item, in_text, size, number)
+        if heap and -min(heap)[0] > 2 * size:  # begin again at the length of the longest match
+            size = -min(heap)[0]
             continue
-        k = 0
-        while k < n:  # what is left of the match between marked words
-            if not free[k]:
-                k += 1
+        heapq.heapify(heap)
+        while heap:
+            n, i, j = heapq.heappop(heap)
+            n = -n
+            free = [not (in_item[i + k] or in_text[j + k]) for k in range(n)]
+            if all(free):
+                out.append((i, j, n))
+                in_item[i : i + n] = in_text[j : j + n] = b"\1" * n
                 continue
-            a = k
-            while k < n and free[k]:
-                k += 1
-            if k - a >= least:
-                heapq.heappush(heap, (a - k, i + a, j + a))
-    return out
+            k = 0
+            while k < n:  # what is left of the match between marked words
+                if not free[k]:
+                    k += 1
+                    continue
+                a = k
+                while k < n and free[k]:
+                    k += 1
+                if k - a >= size:
+                    heapq.heappush(heap, (a - k, i + a, j + a))
+        if size == least:
+            return out
+        size = max(least, size // 2)
 
 
 def near_seeds(hits: np.ndarray, n_words: int, reach: int) -> list[tuple[int, int]]:
@@ -91,7 +134,8 @@ def coverage(docs: DataFrame, benchmark: DataFrame, *, max_seeds: int = 1_000_00
     """doc_id, item_id, covered, item_words, tiles and share for each pair of rows that shares a seed.
 
     Both tables have the columns doc_id or item_id, and text. Items of fewer than five words count as one seed of
-    that length; items without words match nothing.
+    that length; items without words match nothing. The join with the seeds is a look-up in a table of at most
+    `max_seeds` rows that each task holds.
     """
     total = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.count(F.lit(1)).alias("k")).first()
     parts = max(1, -(-(int(total["n"] or 0) // 2 + int(total["k"])) // max_seeds))
@@ -185,7 +229,8 @@ def decontaminate(
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """`decontaminate` with a row for every id of `docs`, also those that share no seed."""
+    """`decontaminate` with a row for every id of `docs`, also those that share no seed. Rows that share an id are one:
+    it is contaminated if any of them is. Empty tables give no rows."""
     found = written(decontaminate(docs, benchmark, id_col, **options), "coverage")
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id")).distinct()
     named = found.withColumnRenamed("doc_id", "found_id")
