@@ -33,6 +33,15 @@ NOTICES = {
     "permission is hereby granted free of charge": "notice-mit",
     "redistribution and use in source and binary forms": "notice-bsd",
     "mozilla public license": "notice-mpl",
+    "eclipse public license": "notice-epl",
+    "boost software license": "notice-boost",
+    "gnu lesser general public license": "notice-lgpl",
+    "gnu affero general public license": "notice-agpl",
+    "the software is provided as is without warranty of any kind": "notice-mit",
+    "permission to use copy modify and or distribute this software": "notice-isc",
+    "this is free and unencumbered software released into the public domain": "notice-unlicense",
+    "neither the name of the copyright holder nor the names of its contributors": "notice-bsd",
+    "unless required by applicable law or agreed to in writing": "notice-apache",
     "creative commons attribution": "notice-cc",
     "all rights reserved": "notice-reserved",
 }
@@ -99,7 +108,8 @@ def license_scan(
 ) -> DataFrame:
     """One row for each row of `docs`, with the places of phrases and the spans of notices.
 
-    Null texts count as empty: no words, no labels, score 0. A notice may have one edit for each `letters_per_edit`
+    Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned each for itself; empty tables give no
+    rows. A notice may have one edit for each `letters_per_edit`
     letters. The score is 1 with a phrase, else the best 1 - edits / letters of a notice, else 0.
     """
     exact = [
