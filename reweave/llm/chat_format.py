@@ -1,7 +1,7 @@
 """Chat formatting by event-sourced reconstruction.
 
-A log of events (delta, edit, regenerate) is dealt out by conversation and message, sorted by sequence number and folded
-into final messages, which are rendered with a template and a loss mask. Deltas append; an edit replaces all that was
+A log of events (delta, edit, regenerate) is dealt out by conversation and, within it, by message, sorted by sequence
+number and folded into final messages (events of one message change no other, so a conversation need not be one group), which are rendered with a template and a loss mask. Deltas append; an edit replaces all that was
 said so far; a regeneration empties the message, so that what follows starts afresh.
 
 Messages fold and render on their own, so one very long conversation spreads over many tasks. Only the digest of a
@@ -131,6 +131,25 @@ def rows_as_events(conversations: DataFrame, *, conv="conv_id", turn="turn", rol
     )
 
 
+def rows_as_log(conversations: DataFrame, *, piece: int = 400, **columns: str) -> DataFrame:
+    """A table with one row for each turn as a log of what a client would have streamed: a draft that an assistant's row
+    regenerates and another's row edits, and then the text in deltas of `piece` characters.
+
+    Folding gives the rows back: repeated rows and rows that share a turn stay separate messages.
+    """
+    whole = rows_as_events(conversations, **columns)
+    text, c = F.coalesce("text", F.lit("")), F.col
+    many = F.ceil(F.char_length(text) / piece).cast("int")
+    event = lambda seq, kind, said: F.struct(seq.cast("long").alias("seq"), kind.alias("kind"), said.alias("text"))
+    deltas = F.transform(F.sequence(F.lit(1), many), lambda i: event(i + 1, F.lit("delta"), F.substring(text, (i - 1) * piece + 1, F.lit(piece))))
+    renewed = F.when(c("role") == "assistant", F.lit("regenerate")).otherwise(F.lit("edit"))
+    start = F.array(event(F.lit(0), F.lit("delta"), F.lit("draft")), event(F.lit(1), renewed, F.lit("")))
+    events = F.concat(start, F.when(many > 0, deltas).otherwise(F.slice(start, 1, 0)))
+    return whole.select("conv_id", "turn", "message", "role", F.explode(events).alias("e")).select(
+        "conv_id", "turn", "message", "e.seq", "e.kind", "role", "e.text"
+    )
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     """What a formatted conversation says, read back from it: a row for each conversation."""
     order = ["conv_id", "turn", "formatted", "message"]

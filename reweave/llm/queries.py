@@ -24,7 +24,8 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.license_scan(table(spark, sf_dir, "documents"))
-    return found.withColumn("n_notices", F.size("spans")).drop("spans")
+    each = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first_word"], s["n_words"], s["edits"]))
+    return found.withColumn("n_notices", F.size("spans")).withColumn("spans", F.array_join(each, ";"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "conv_id long, turn long, role string, text string"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], columns)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat_format.digest(chat_format.format_conversations(chat_format.rows_as_events(rows)))
+    return chat_format.digest(chat_format.format_conversations(chat_format.rows_as_log(rows)))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
