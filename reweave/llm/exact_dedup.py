@@ -108,11 +108,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose text another row keeps; columns unchanged. Where ids repeat, rows are told apart
-    by id and text, and rows repeated in both are reduced to one."""
-    kept = written(exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256"), "kept-ids")
+    """`docs` without the rows whose text another keeps; columns unchanged, whatever their names. Where ids repeat, rows are
+    told apart by id and text; of rows repeated in both any one stays."""
+    kept = written(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256"), "kept-ids")
+    key = F.col(f"`{id_col}`")
     if unique_ids(docs, id_col):
-        return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
-    both = docs.withColumn("__sha", F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256))
-    both = both.join(kept, both[id_col].eqNullSafe(kept["doc_id"]) & (both["__sha"] == kept["text_sha256"]), "left_semi")
-    return both.dropDuplicates([id_col, "__sha"]).drop("__sha")
+        return docs.join(kept.select("kept_id"), key.eqNullSafe(kept["kept_id"]), "left_semi")
+    name = "sha"
+    while name in docs.columns:
+        name = "_" + name
+    both = docs.withColumn(name, F.sha2(ascii_lower(F.col(f"`{text_col}`")).cast("binary"), 256))
+    both = both.join(kept, both[id_col].eqNullSafe(kept["kept_id"]) & (both[name] == kept["text_sha256"]), "left_semi")
+    return both.dropDuplicates([id_col, name]).drop(name)
