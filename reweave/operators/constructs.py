@@ -34,7 +34,9 @@ def constructs(triples: DataFrame, v: Vocabulary = IRIS) -> DataFrame:
         return p.isin(v(*names))
 
     def typed(*names: str) -> Column:
-        return (p == v.one("rdf:type")) & o.isin(v(*names))
+        return (p == v.one("rdf:type")) & (kind == "iri") & o.isin(v(*names))
+
+    thing, any_literal = (kind == "iri") & (o == v.one("owl:Thing")), (kind == "iri") & (o == v.one("rdfs:Literal"))
 
     qualified = has("owl:minQualifiedCardinality", "owl:qualifiedCardinality", "owl:maxQualifiedCardinality")
     different = has("owl:differentFrom", "owl:disjointUnionOf") | typed("owl:AllDifferent")
@@ -44,8 +46,8 @@ def constructs(triples: DataFrame, v: Vocabulary = IRIS) -> DataFrame:
         "CONCEPT_INTERSECTION": has("owl:intersectionOf"),
         "CONCEPT_UNION": has("owl:unionOf") | different,
         "CONCEPT_COMPLEX_NEGATION": has("owl:complementOf", "owl:disjointWith") | typed("owl:AllDisjointClasses") | different,
-        "FULL_EXISTENTIAL": (has("owl:someValuesFrom") & (o != v.one("owl:Thing"))) | (has("owl:hasValue") & (kind == "iri")),
-        "LIMITED_EXISTENTIAL": has("owl:someValuesFrom") & (o == v.one("owl:Thing")),
+        "FULL_EXISTENTIAL": (has("owl:someValuesFrom") & ~thing) | (has("owl:hasValue") & (kind == "iri")),
+        "LIMITED_EXISTENTIAL": has("owl:someValuesFrom") & thing,
         "UNIVERSAL_RESTRICTION": has("owl:allValuesFrom"),
         "NOMINALS": (has("owl:hasValue") & (kind == "iri")) | has("owl:differentFrom", "owl:sameAs") | typed("owl:AllDifferent"),
         "N": has("owl:minCardinality", "owl:cardinality", "owl:maxCardinality"),
@@ -57,8 +59,8 @@ def constructs(triples: DataFrame, v: Vocabulary = IRIS) -> DataFrame:
         "F": typed("owl:FunctionalProperty", "owl:InverseFunctionalProperty"),
         "ROLE_TRANSITIVE": typed("owl:TransitiveProperty"),
         "_qualified": qualified,
-        "_filler": (has("owl:onClass") & (o != v.one("owl:Thing"))) | (has("owl:onDataRange") & (o != v.one("rdfs:Literal"))),
-        "_trivial": (has("owl:onClass") & (o == v.one("owl:Thing"))) | (has("owl:onDataRange") & (o == v.one("rdfs:Literal"))),
+        "_filler": (has("owl:onClass") & ~thing) | (has("owl:onDataRange") & ~any_literal),
+        "_trivial": (has("owl:onClass") & thing) | (has("owl:onDataRange") & any_literal),
         "_on_datatype": has("owl:onDatatype"),
         "_restrictions": has("owl:withRestrictions"),
     }

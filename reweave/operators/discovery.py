@@ -69,6 +69,26 @@ def sanitize(label: Column, default: str = "unknown") -> Column:
     return F.coalesce(F.nullif(F.btrim(F.regexp_replace(s, "_+", "_"), F.lit("_.")), F.lit("")), F.lit(default))
 
 
+def slug(name: Column) -> Column:
+    """The last part of a path without its extension, white space as underscores."""
+    base = F.regexp_extract(name, r"([^/]*)$", 1)
+    return F.regexp_replace(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), r"(?U)\s+", "_")
+
+
+def as_hits(found: DataFrame, source: str) -> DataFrame:
+    """Import rows (ontology, imported) in the shape of hits."""
+    return found.select(F.lit(source).alias("source"), F.lit("").alias("pattern_label"), F.col("imported").alias("pattern_iri"),
+                        F.col("ontology").alias("match_label"), F.col("ontology").alias("url"), F.lit("owl:imports").alias("details"))
+
+
+def methods_summary(files: DataFrame, found: DataFrame) -> DataFrame:
+    """kind, name, n: how often each method found an IRI, and directories and files without any."""
+    by_method = found.groupBy("method").agg(F.count(F.lit(1)).alias("n")).select(F.lit("method").alias("kind"), F.col("method").alias("name"), "n")
+    bare = files.join(found.select("file").distinct(), "file", "left_anti").select(F.lit("file without").alias("kind"), F.col("file").alias("name"), F.lit(0).cast("long").alias("n"))
+    dirs = directory_summary(files, found).filter("files_with_iri = 0").select(F.lit("directory without").alias("kind"), F.col("dir").alias("name"), F.col("total_files").alias("n"))
+    return by_method.unionByName(bare).unionByName(dirs)
+
+
 def extension(url: Column, details: Column) -> Column:
     """The first known extension in url, then in details; `.owl` without any."""
     of = lambda c: F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"\.([A-Za-z0-9]{2,6})(?:$|[?#])", 1))

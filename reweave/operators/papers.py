@@ -37,10 +37,10 @@ def normal_doi(doi: Column) -> Column:
 
 
 def clean_title(title: Column) -> Column:
-    t = F.regexp_replace(squeeze(F.coalesce(title, F.lit(""))), r"(?i)https?://\S+", "")
+    t = F.regexp_replace(squeeze(F.coalesce(title, F.lit(""))), r"(?iU)https?://\S+", "")
     for phrase in TITLE_NOISE:
         t = F.regexp_replace(t, "(?i)" + phrase.replace(".", r"\."), "")
-    return F.btrim(F.regexp_replace(t, r"\s+", " "), F.lit(" :;-"))
+    return F.btrim(F.regexp_replace(t, r"(?U)\s+", " "), F.lit(" :;-"))
 
 
 def file_name(text: Column, most: int = 120) -> Column:
@@ -48,6 +48,12 @@ def file_name(text: Column, most: int = 120) -> Column:
     return F.coalesce(F.nullif(F.replace(F.trim(F.left(t, F.lit(most))), F.lit(" "), F.lit("_")), F.lit("")), F.lit("paper"))
 
 
+def download_name(text: Column, most: int = 140) -> Column:
+    """`text` as the name of a downloaded file: ASCII letters, digits, dots and dashes, else underscores."""
+    t = F.left(F.regexp_replace(text, r"[^a-zA-Z0-9._\-]+", "_"), F.lit(most))
+    return F.coalesce(F.nullif(F.btrim(t, F.lit("_")), F.lit("")), F.lit("file"))
+
+
 def year_bonus(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.when(d == 0, 0.15).when(d == 1, 0.10).when(d == 2, 0.05).when(d.isNotNull(), -0.10).otherwise(0.0)
@@ -59,18 +65,20 @@ def linkage_candidates(seeds: DataFrame, works: DataFrame, venue_pattern: str, r
     seeds: seed_id, title, year, hint; works: work_id, title, year, venue. Without a shared word no pair can reach a
     threshold above 0.7. With `ratio=False` the similarity is the word Jaccard alone.
     """
-    words = lambda df, i: df.select(i, F.explode(F.array_distinct(word_tokens(F.col("title")))).alias("word"))
-    met = words(seeds, "seed_id").join(words(works, "work_id"), "word").select("seed_id", "work_id").distinct()
-    s = seeds.select("seed_id", F.col("title").alias("seed_title"), F.col("year").alias("seed_year"), "hint")
-    w = works.select("work_id", "title", "year", "venue")
-    rows = met.join(s, "seed_id").join(w, "work_id")
-    a, b = F.lower(squeeze(F.col("seed_title"))), F.lower(squeeze(F.col("title")))
+    plain = F.lower(squeeze(F.col("title")))
+    s = seeds.select("seed_id", F.col("title").alias("seed_title"), plain.alias("seed_plain"), F.col("year").alias("seed_year"), "hint")
+    w = works.select("work_id", "title", plain.alias("plain"), "year", "venue")
+    # distinct titles meet and are scored once, however many rows have them
+    words = lambda df, t: df.select(t).distinct().select(t, F.explode(F.array_distinct(word_tokens(F.col(t)))).alias("word"))
+    met = words(s, "seed_plain").join(words(w, "plain"), "word").select("seed_plain", "plain").distinct()
+    a, b = F.col("seed_plain"), F.col("plain")
     sim = jaccard(F.array_distinct(word_tokens(a)), F.array_distinct(word_tokens(b)))
+    met = met.withColumn("sim", sim * 0.6 + sequence_ratio(a, b) * 0.4 if ratio else sim)
+    rows = s.join(met, "seed_plain").join(w, "plain").drop("plain", "seed_plain")
     evidence = F.col("venue").rlike("(?i)" + venue_pattern)
     hinted = (F.coalesce("hint", F.lit("")) != "") & F.contains(F.lower("venue"), F.lower("hint"))
     rows = rows.withColumns(
         {
-            "sim": sim * 0.6 + sequence_ratio(a, b) * 0.4 if ratio else sim,
             "year_bonus": year_bonus(F.col("seed_year"), F.col("year")),
             "evidence_bonus": F.when(evidence, 0.10).otherwise(0.0),
             "hint_bonus": F.when(hinted, 0.05).otherwise(0.0),
@@ -80,7 +88,11 @@ def linkage_candidates(seeds: DataFrame, works: DataFrame, venue_pattern: str, r
 
 
 def best_matches(scored: DataFrame, threshold: float, year_tolerance: int, need_evidence: bool = False) -> DataFrame:
-    """The best acceptable work of each seed: within the years, with evidence if asked for, and by total score."""
+    """The best acceptable work of each seed: within the years, with evidence if asked for, and by total score.
+
+    The threshold must be above 0.7: below it works that share no title word, which are no candidates, could do."""
+    if threshold <= 0.7:
+        raise ValueError("candidates are complete for thresholds above 0.7 only")
     ok = F.coalesce(F.abs(F.col("year") - F.col("seed_year")) <= year_tolerance, F.lit(True)) & (F.col("score") >= threshold)
     ok = ok & (F.col("evidence_bonus") > 0) if need_evidence else ok
     rank = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("score"), "work_id"))
@@ -93,6 +105,49 @@ def ranked(scored: DataFrame, most: int = 10) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
+def phrase_candidates(scored: DataFrame) -> DataFrame:
+    """The candidates whose title holds the seed's whole title: the strict round."""
+    return scored.filter(F.contains(F.lower(squeeze(F.col("title"))), F.lower(squeeze(F.col("seed_title")))))
+
+
+def matched_in_rounds(first: DataFrame, second: DataFrame, threshold: float, year_tolerance: int, need_evidence: bool = False) -> DataFrame:
+    """The best match of each seed, with its round: the second round counts only for seeds that the first one leaves."""
+    best = lambda scored, n: best_matches(scored, threshold, year_tolerance, need_evidence).withColumn("round", F.lit(n))
+    one = best(first, 1)
+    return one.unionByName(best(second, 2).join(one.select("seed_id"), "seed_id", "left_anti"))
+
+
+def ranked_in_rounds(first: DataFrame, second: DataFrame, most: int = 10) -> DataFrame:
+    """The `most` best candidates of each seed and round."""
+    return ranked(first, most).withColumn("round", F.lit(1)).unionByName(ranked(second, most).withColumn("round", F.lit(2)))
+
+
+def audited(seeds: DataFrame, matches: DataFrame, cited: DataFrame) -> DataFrame:
+    """Every seed with its match (id, title, year, score to three places, evidence flag) and citation counts.
+
+    cited: work_id, citation_count, total. Seeds without a match have empty texts and no citations."""
+    own = matches.select("seed_id", "work_id", F.col("title").alias("matched_title"), F.col("year").alias("matched_year"),
+                         F.format_string("%.3f", "score").alias("match_score"), (F.col("evidence_bonus") > 0).cast("int").alias("evidence"))
+    rows = seeds.join(own, "seed_id", "left").join(cited, "work_id", "left")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return rows.select(
+        *[c for c in seeds.columns], F.coalesce("citation_count", F.lit(0)).alias("citation_count"), said("work_id").alias("matched_id"),
+        said("matched_title").alias("matched_title"), said("matched_year").alias("matched_year"), said("match_score").alias("match_score"), said("total").alias("total"),
+        F.coalesce("evidence", F.lit(0)).alias("evidence"),
+    )
+
+
+def citing_rows(works: DataFrame) -> DataFrame:
+    """Citing works for export: empty titles dropped, titles squeezed, DOIs as addresses. works: seed_id, seed_year, title,
+    url, year, doi, id, venue, is_oa, oa_status. Write it partitioned by seed_year."""
+    doi = F.when(F.lower("doi").startswith("http") | (F.coalesce("doi", F.lit("")) == ""), F.coalesce("doi", F.lit(""))).otherwise(F.concat(F.lit("https://doi.org/"), F.col("doi")))
+    rows = works.withColumn("title", squeeze(F.coalesce("title", F.lit("")))).filter("title <> ''")
+    return rows.select(
+        "seed_id", "seed_year", F.col("title").alias("citing_title"), F.col("url").alias("citing_url"), F.col("year").alias("citing_year"),
+        doi.alias("citing_doi"), F.col("id").alias("citing_id"), F.col("venue").alias("venue_name"), "is_oa", "oa_status",
+    )
+
+
 def merged_works(works: DataFrame, order: str, fields: list[str]) -> DataFrame:
     """One row for each work, keyed by DOI, else id, else lower-cased title; each field is the first, by `order`, that
     is not null (empty lists and false count as null)."""
@@ -172,6 +227,62 @@ def author_counts(papers: DataFrame, column: str, most: int) -> DataFrame:
     return names.groupBy("author").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "author").limit(most)
 
 
+def in_years(papers: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Papers whose year, read as a number, lies in the window; unreadable years are dropped."""
+    y = F.col("year").try_cast("int")
+    return papers.filter(y.isNotNull() & (F.lit(True) if first is None else y >= first) & (F.lit(True) if last is None else y <= last))
+
+
+def availability(papers: DataFrame, flag_: str) -> DataFrame:
+    """year and the number of papers with the flag; years without any are left out."""
+    return papers.filter(F.col(flag_)).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_counts(rows: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """value and n, most frequent first; ties by the first seen if `order` tells rows apart, else by value. Null is empty."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    tie = F.min(order) if order else F.min(value)
+    return rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"), tie.alias("tie")).orderBy(F.desc("n"), "tie").drop("tie")
+
+
+def citation_stats(papers: DataFrame, key: str) -> DataFrame:
+    """total, mean, median, least and most citations for each key."""
+    c = F.col("citations")
+    return papers.groupBy(key).agg(F.sum(c).alias("total"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("least"), F.max(c).alias("most"))
+
+
+def classification_summary(rows: DataFrame, key: str) -> DataFrame:
+    """num_citing, num_possibly and num_unlikely of each seed's file."""
+    of = lambda label: F.count_if(F.col("label") == label)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("num_citing"), of("Possibly").alias("num_possibly"), of("Unlikely").alias("num_unlikely"))
+
+
+def matched_name_counts(rows: DataFrame, most: int, column: str = "matched_names") -> DataFrame:
+    """The `most` names that occur most often among lists joined by `;`."""
+    names = rows.select(F.explode(F.split(column, ";")).alias("name")).withColumn("name", F.trim("name")).filter("name <> ''")
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(most)
+
+
+def overview(rows: DataFrame, file: str, label: str, labels: list[str]) -> DataFrame:
+    """metric, value: files, rows, and rows with each label."""
+    out = rows.agg(
+        F.count_distinct(file).alias("n_classified_files"), F.count(F.lit(1)).alias("n_total_citing_rows"),
+        *[F.count_if(F.col(label) == name).alias(f"count_{name.lower()}") for name in labels],
+    )
+    return out.unpivot([], out.columns, "metric", "value")
+
+
+def statistics(named_tables: dict[str, DataFrame]) -> DataFrame:
+    """One table of metric, key and value from tables of (key, value): what a statistics object holds."""
+    parts = [df.toDF("key", "value").select(F.lit(n).alias("metric"), F.col("key").cast("string"), F.col("value").cast("double")) for n, df in named_tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def contains_folded(text: Column, part: Column) -> Column:
+    """Whether `text` holds `part`, without regard to case and accents."""
+    return F.contains(F.collate(text, "UNICODE_CI_AI"), F.collate(part, "UNICODE_CI_AI"))
+
+
 def citations(pages: DataFrame, cap: int) -> DataFrame:
     """seed and the number of distinct works that cite it, at most `cap`."""
     return pages.dropDuplicates(["seed", "id"]).groupBy("seed").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("citation_count"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reweave.functions.labels import percent
 from reweave.operators.constructs import CONSTRUCTS
+from reweave.storage import written
 
 THRESHOLDS = [100, 90, 80, 70, 60, 50, 25, 10]
 BANDS = [("eq_100", 100, None), ("ge95_lt100", 95, 100), ("ge90_lt95", 90, 95), ("ge85_lt90", 85, 90), ("ge80_lt85", 80, 85)]
@@ -39,6 +40,12 @@ def threshold_datasets(df: DataFrame, column: str, thresholds: list[float]) -> D
     return df.withColumn("dataset", F.explode(reached))
 
 
+def dataset_members(datasets: DataFrame, triples: DataFrame) -> DataFrame:
+    """The triples of both graphs of each dataset's pairs, once for each dataset."""
+    ids = datasets.select("dataset", F.explode(F.array("ontology_id", "pattern_id")).alias("graph_id")).distinct()
+    return triples.join(ids, "graph_id")
+
+
 def threshold_token(value: Column) -> Column:
     """Two digits of ten times the value, from 00 to 10."""
     return F.lpad(F.greatest(F.lit(0), F.least(F.lit(10), F.bround(value * 10).cast("int"))).cast("string"), 2, "0")
@@ -70,11 +77,67 @@ def pair_complexity(pairs: DataFrame, constructs: DataFrame) -> DataFrame:
     return unpivot(out, [], out.columns, "metric", "value")
 
 
+def _ranked(df: DataFrame, column: str) -> DataFrame:
+    """`df` in order of `column`, with `before`, the sum of `n` in partitions before, and `own`, that up to the row in its
+    own: rows are dealt by ranges and only one number for each partition meets in one place."""
+    dealt = written(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("of_part"))
+    before = F.coalesce(F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("part", before.alias("before"), F.sum("of_part").over(Window.partitionBy()).alias("all"))  # a row for each partition
+    return dealt.join(F.broadcast(sums), "part").withColumn("own", F.sum("n").over(Window.partitionBy("part").orderBy(column)))
+
+
 def cumulative_share(df: DataFrame, column: str) -> DataFrame:
-    """Each distinct value with the share of values up to it: counts for each value first, so the window is small."""
+    """Each distinct value with its count and the share of values up to it."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return _ranked(counts, column).select(column, "n", ((F.col("before") + F.col("own")) / F.col("all")).alias("share"))
+
+
+def empirical_cdf(df: DataFrame, column: str) -> DataFrame:
+    """A row for each value, ties too, with its rank / n."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    up_to = F.sum("n").over(Window.orderBy(column))
-    return counts.select(column, "n", (up_to / F.sum("n").over(Window.partitionBy())).alias("share"))
+    rows = _ranked(counts, column).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return rows.select(column, ((F.col("before") + F.col("own") - F.col("n") + F.col("k")) / F.col("all")).alias("share"))
+
+
+def figure_bins(n: Column) -> Column:
+    """How many bins a figure of n values has: the root of n, at least 5 and at most 20."""
+    return F.greatest(F.lit(5), F.least(F.lit(20), F.floor(F.sqrt(n)))).cast("int")
+
+
+def usage_averages(df: DataFrame, forms: list[str]) -> DataFrame:
+    """metric, value: the mean of every numeric column but keys, and each form's percentage of all uses."""
+    numbers = [c for c, t in df.dtypes if t in ("int", "bigint", "double")]
+    total = reduce(lambda a, b: a + b, (F.coalesce(F.sum(f), F.lit(0)) for f in forms))
+    of_all = F.when(total == 0, 1).otherwise(total)
+    out = df.agg(
+        *[F.avg(c).alias(f"avg_{c}") for c in numbers],
+        *[(F.coalesce(F.sum(f), F.lit(0)) / of_all * 100).cast("double").alias(f"{f}_pct") for f in forms],
+    )
+    return unpivot(out, [], out.columns, "metric", "value")
+
+
+def reuse_summary(extent: DataFrame) -> DataFrame:
+    """One row over the ontologies of `reuse_extent`: how many, how many with reuse and in percent, and mean patterns."""
+    n, hit = F.count(F.lit(1)), F.count_if(F.col("any_reuse_label"))
+    return extent.agg(
+        n.alias("ontologies"), hit.alias("ontologies_with_reuse"), F.coalesce(hit / F.nullif(n, F.lit(0)) * 100, F.lit(0.0)).alias("pct_with_reuse"),
+        F.coalesce(F.avg("n_patterns"), F.lit(0.0)).alias("avg_patterns"), F.coalesce(F.avg("n_label"), F.lit(0.0)).alias("avg_patterns_with_reuse"),
+    )
+
+
+def pair_summary(pairs: DataFrame, constructs: DataFrame) -> DataFrame:
+    """metric, value over all pairs: mean complexity of both sides, mean axioms of the ontology, and for each construct the
+    percentage of pairs whose ontology or pattern uses it (null as false)."""
+    for side in ("ontology", "pattern"):
+        mine = constructs.select(F.col("graph_id").alias(f"{side}_id"), F.struct("dl_complexity_score", "n_axioms", *CONSTRUCTS).alias(side))
+        pairs = pairs.join(mine, f"{side}_id", "left")
+    share = lambda side, c: (F.avg(F.coalesce(f"{side}.{c}", F.lit(False)).cast("int")) * 100).alias(f"{c}_{side}_pct")
+    out = pairs.agg(
+        F.avg("ontology.dl_complexity_score").alias("mean_ontology_constructs"), F.avg("pattern.dl_complexity_score").alias("mean_pattern_constructs"),
+        F.avg("ontology.n_axioms").alias("mean_ontology_axioms"), *[share(side, c) for c in CONSTRUCTS for side in ("ontology", "pattern")],
+    )
+    return unpivot(out, [], out.columns, "metric", "value")
 
 
 def five_numbers(df: DataFrame, column: str) -> DataFrame:

@@ -7,11 +7,9 @@ match, and scores each candidate pair once. Thresholds must be above 0.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -27,19 +25,33 @@ def _positive(threshold: float) -> float:
 def cosine_join(left: DataFrame, right: DataFrame, grams: Column, threshold: float) -> DataFrame:
     """left_label, right_label, similarity of pairs whose gram counts have a cosine of `threshold` or more.
 
-    `grams` is an array expression over `label`. Pairs must share a gram, so the inverted index finds all.
+    `grams` is an array expression over `label`. Grams are ordered from rare to frequent. The first gram that two labels
+    share leaves either of them at least `threshold` of its norm from there on, or the rest could not add up to it; so
+    labels meet on these rare grams only, and frequent grams make no pairs.
     """
+    t = _positive(threshold)
 
-    def counted(df: DataFrame, side: str) -> DataFrame:
-        c = df.select("label", F.explode(grams).alias("gram")).groupBy("label", "gram").agg(F.count(F.lit(1)).alias("n"))
-        norm = c.groupBy("label").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"{side}_norm"))
-        return c.join(norm, "label").select("gram", F.col("label").alias(f"{side}_label"), F.col("n").alias(f"{side}_n"), f"{side}_norm")
+    def counted(df: DataFrame) -> DataFrame:
+        return df.select("label", F.explode(grams).alias("gram")).groupBy("label", "gram").agg(F.count(F.lit(1)).alias("n"))
 
-    pairs = counted(left, "left").join(counted(right, "right"), "gram")
-    dots = pairs.groupBy("left_label", "right_label").agg(
-        (F.sum(F.col("left_n") * F.col("right_n")) / (F.first("left_norm") * F.first("right_norm"))).alias("similarity")
-    )
-    return dots.filter(F.col("similarity") >= _positive(threshold) - 1e-12)
+    sides = {"left": counted(left), "right": counted(right)}
+    often = sides["left"].unionByName(sides["right"]).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+    def rare(side: str) -> DataFrame:
+        own, square = Window.partitionBy("label").orderBy("df", "gram"), F.col("n") * F.col("n")
+        rest = F.sum(square).over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        rows = sides[side].join(often, "gram").withColumns({"rest": rest, "all": F.sum(square).over(Window.partitionBy("label"))})
+        return rows.filter(F.col("rest") >= F.col("all") * (t * t - 1e-9)).select("gram", F.col("label").alias(f"{side}_label"))
+
+    def counts(side: str) -> DataFrame:
+        entries = F.map_from_entries(F.collect_list(F.struct("gram", "n")))
+        return sides[side].groupBy(F.col("label").alias(f"{side}_label")).agg(entries.alias(f"{side}_n"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"{side}_norm"))
+
+    met = rare("left").join(rare("right"), "gram").select("left_label", "right_label").distinct()
+    pairs = met.join(counts("left"), "left_label").join(counts("right"), "right_label")
+    dot = F.aggregate(F.map_entries("left_n"), F.lit(0).cast("long"), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("right_n", e["key"]), F.lit(0).cast("long")))
+    score = dot / (F.col("left_norm") * F.col("right_norm"))
+    return pairs.select("left_label", "right_label", score.alias("similarity")).filter(F.col("similarity") >= t - 1e-12)
 
 
 def char_join(left: DataFrame, right: DataFrame, threshold: float, n: int = 3) -> DataFrame:
@@ -111,9 +123,14 @@ def label_join(left: DataFrame, right: DataFrame, threshold: float, edits: int =
     """The best of word Jaccard, sequence ratio and 1 - distance / length, at `threshold` or more; up to `edits` edits
     count as equal."""
     found = jaccard_join(left, right, threshold).select("left_label", "right_label").unionByName(ratio_join(left, right, threshold).select("left_label", "right_label"))
-    longest = left.unionByName(right).agg(F.max(F.char_length("label"))).first()[0] or 0
-    for most in {edits, int((1 - threshold) * longest)}:  # at most so many edits leave 1 - distance / length at the threshold
-        found = found.unionByName(edit_join(left, right, most).select("left_label", "right_label"))
+    length = F.char_length("label")
+    longest, at = left.agg(F.max(length)).first()[0] or 0, 1
+    if edits:
+        found = found.unionByName(edit_join(left, right, edits).select("left_label", "right_label"))
+    while at <= longest:  # labels of like length take as many edits as leave 1 - distance / length at the threshold
+        band = left.filter((length >= at) & (length < 2 * at))
+        found = found.unionByName(edit_join(band, right, int((1 - threshold) * (2 * at - 1) / threshold)).select("left_label", "right_label"))
+        at *= 2
     found = found.distinct()
     distance = F.levenshtein("left_label", "right_label")
     edit = 1 - distance / F.greatest(F.char_length("left_label"), F.char_length("right_label"))
@@ -122,30 +139,28 @@ def label_join(left: DataFrame, right: DataFrame, threshold: float, edits: int =
     return found.withColumn("similarity", score).filter(F.col("similarity") >= threshold)
 
 
-def vector_join(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
-    """query_id, vec_id, similarity of query vectors and vectors with a cosine of `threshold` or more.
+def vector_join(queries: DataFrame, vectors: DataFrame, threshold: float, *, key: str = "vec_id", block: int = 2048, chunk: int = 32_768) -> DataFrame:
+    """query_id, `key`, similarity of query vectors and vectors with a cosine of `threshold` or more.
 
-    Both sides have vec_id and embedding. Queries go to the tasks in blocks of at most `block` rows, each against all
-    vectors where they are read; more queries mean more blocks, not larger ones.
+    Both sides have `key` and embedding. Queries are dealt into blocks of about `block` rows and vectors into chunks of
+    about `chunk`, by hash; each block meets each chunk in a task of its own, so vectors move once for every block of queries
+    and nothing passes through the driver. Vectors without length or null match nothing.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    found = None
-    for k in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).select("vec_id", "embedding").collect()  # about `block` rows
-        ids = np.array([r["vec_id"] for r in own], np.int64)
-        matrix = _unit(np.array([r["embedding"] for r in own], float).reshape(len(own), -1))
-
-        def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(ids):
-                    sims = matrix @ _unit(np.stack(batch["embedding"].to_numpy()).astype(float)).T
-                    q, v = np.nonzero(sims >= threshold)
-                    yield pd.DataFrame({"query_id": ids[q], "vec_id": batch["vec_id"].to_numpy()[v], "similarity": sims[q, v]})
-
-        one = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, similarity double")
-        found = one if found is None else found.unionByName(one)
-    return found
+    parts = lambda df, most: max(1, -(-df.count() // most))
+    blocks, chunks = parts(queries, block), parts(vectors, chunk)
+    own, all_of = (lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    q = queries.filter("embedding IS NOT NULL").select(F.col(key).alias("query_id"), F.col("embedding").alias("query"), own(blocks).alias("i")).withColumn("j", all_of(chunks))
+    v = vectors.filter("embedding IS NOT NULL").select(F.col(key).alias(key), F.col("embedding").alias("vector"), own(chunks).alias("j")).withColumn("i", all_of(blocks))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left["query_id"][:0], key: right[key][:0], "similarity": pd.Series([], dtype=float)})
+        sims = _unit(np.stack(left["query"].to_numpy()).astype(float)) @ _unit(np.stack(right["vector"].to_numpy()).astype(float)).T
+        x, y = np.nonzero(sims >= threshold)
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[x], key: right[key].to_numpy()[y], "similarity": sims[x, y]})
+
+    kind = dict(vectors.dtypes)[key]
+    return q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInPandas(meet, f"query_id {kind}, {key} {kind}, similarity double")
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:

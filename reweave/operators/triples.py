@@ -6,10 +6,13 @@ pairs: ontology_id, pattern_id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reweave.functions.labels import base_namespace, local_name, normalize_label, normalize_label_unicode
+from reweave.operators import simjoin
 from reweave.vocab import IRIS, Vocabulary
 
 
@@ -90,6 +93,60 @@ def label_reuse(pairs: DataFrame, named: DataFrame, by_kind: bool = False) -> Da
     return mine.join(theirs, keys, "left_semi").select("ontology_id", "pattern_id", "kind", "iri").distinct()
 
 
+SIMILARITIES = ("exact", "char", "word", "label", "vector", "hybrid", "auto")
+
+
+def similar_labels(left: DataFrame, right: DataFrame, similarity: str, threshold: float, *, vectors: DataFrame | None = None, prefilter: float = 0.75, edits: int = 0) -> DataFrame:
+    """left_label and right_label of labels that count as the same under `similarity`, equal ones among them.
+
+    left, right: label. `vector`, `hybrid` and `auto` take vectors of labels (label, embedding); without any, hybrid and
+    auto go on with characters. hybrid asks vectors only where characters come near (`gated_join`)."""
+    if similarity not in SIMILARITIES or similarity == "vector" and vectors is None:
+        raise ValueError(f"no similarity {similarity!r}" if similarity not in SIMILARITIES else "the vector similarity needs vectors")
+    left, right = left.select("label").distinct(), right.select("label").distinct()
+    same = left.join(right, "label").select(F.col("label").alias("left_label"), F.col("label").alias("right_label"))
+    pair = lambda df: df.select("left_label", "right_label")
+
+    def by_vector(own: DataFrame) -> DataFrame:
+        return simjoin.vector_join(own.join(vectors, "label"), right.join(vectors, "label"), threshold, key="label").toDF("left_label", "right_label", "similarity")
+
+    if similarity == "exact":
+        return same
+    if similarity == "word":
+        found = pair(simjoin.word_join(left, right, threshold))
+    elif similarity == "label":
+        found = pair(simjoin.label_join(left, right, threshold, edits))
+    elif similarity in ("vector", "auto") and vectors is not None:
+        found = pair(by_vector(left))
+    else:
+        found = pair(simjoin.char_join(left, right, threshold))
+        if similarity == "hybrid" and vectors is not None:
+            best = simjoin.char_join(left, right, prefilter - 0.05).groupBy("left_label").agg(F.max("similarity").alias("best"))
+            gate = best.filter(F.col("best") < threshold).select(F.col("left_label").alias("label"))
+            found = found.unionByName(pair(by_vector(left.join(gate, "label", "left_semi"))))
+    return same.unionByName(found).distinct()
+
+
+def similar_label_reuse(pairs: DataFrame, named: DataFrame, alike: DataFrame, by_kind: bool = False) -> DataFrame:
+    """As `label_reuse`, where labels count as equal that `alike` (left_label of the pattern, right_label) names together."""
+    keys = ["ontology_id", "label"] + (["kind"] if by_kind else [])
+    theirs = named.withColumnRenamed("graph_id", "ontology_id").select(*keys).distinct()
+    mine = pairs.join(named.withColumnRenamed("graph_id", "pattern_id"), "pattern_id").withColumnRenamed("label", "left_label")
+    mine = mine.join(alike, "left_label").withColumnRenamed("right_label", "label")
+    return mine.join(theirs, keys, "left_semi").select("ontology_id", "pattern_id", "kind", "iri").distinct()
+
+
+def coverage_by_backend(pairs: DataFrame, found: DataFrame, by_graph: DataFrame, named: DataFrame, backends: dict[str, dict]) -> DataFrame:
+    """`coverage` under each backend, in the column `backend`. backends: similarity -> options of `similar_labels`."""
+    mine = named.join(pairs.select(F.col("pattern_id").alias("graph_id")), "graph_id", "left_semi")
+    theirs = named.join(pairs.select(F.col("ontology_id").alias("graph_id")), "graph_id", "left_semi")
+    out = [
+        coverage(pairs, found, by_graph, similar_label_reuse(pairs, named, similar_labels(mine, theirs, name, **options))).withColumn("backend", F.lit(name))
+        for name, options in backends.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def coverage(pairs: DataFrame, found: DataFrame, by_graph: DataFrame, by_label: DataFrame) -> DataFrame:
     """pattern_total, reused_total_graph, reused_total_label and their shares for each pair; 0 without entities.
 

@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 
 from reweave.storage import written
 
+#: Every row of `part` and `lineitem` becomes triples; an ontology imports the patterns of all parts that its supplier delivers.
 TRIPLES = """
-WITH pat AS (
-  SELECT DISTINCT 'pat_'||lower(p_type) AS g, 'http://ex.org/'||lower(p_type)||'#' AS ns,
-         replace(p_name,' ','_') AS nm, p_name AS lbl, 'hasB'||replace(p_brand,'Brand#','') AS pr, p_size AS sz
-  FROM {part} WHERE p_size <= 3),
-ont AS (
-  SELECT DISTINCT 'ont_'||CAST(l_suppkey AS STRING) AS g, 'http://ex.org/'||lower(p_type)||'#' AS ns,
-         'http://own.org/s'||CAST(l_suppkey AS STRING)||'#' AS own, replace(p_name,' ','_') AS nm, p_name AS lbl,
-         'hasB'||replace(p_brand,'Brand#','') AS pr, l_returnflag AS f, l_linenumber AS ln
-  FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity >= 48)
-SELECT g AS graph_id, ns||nm AS s, 'iri' AS s_kind, 'rdf:type' AS p, 'owl:Class' AS o, 'iri' AS o_kind FROM pat
-UNION SELECT g, ns||nm, 'iri', 'rdfs:label', lbl, 'literal' FROM pat
-UNION SELECT g, ns||pr, 'iri', 'rdf:type', CASE WHEN sz=1 THEN 'owl:DatatypeProperty' ELSE 'owl:ObjectProperty' END, 'iri' FROM pat
-UNION SELECT g, ns||nm, 'iri', ns||pr, ns||nm, 'iri' FROM pat
-UNION SELECT g, ns||nm, 'iri', 'rdf:type', 'owl:Class', 'iri' FROM ont WHERE f='A'
-UNION SELECT g, ns||nm, 'iri', ns||pr, ns||nm, 'iri' FROM ont WHERE f='A'
-UNION SELECT g, own||nm, 'iri', 'rdfs:subClassOf', ns||nm, 'iri' FROM ont WHERE f='N' AND ln <= 2
-UNION SELECT g, own||nm, 'iri', 'rdf:type', 'owl:Class', 'iri' FROM ont WHERE f<>'A'
-UNION SELECT g, own||nm, 'iri', CASE ln WHEN 1 THEN 'owl:inverseOf' WHEN 2 THEN 'owl:unionOf' WHEN 3 THEN 'owl:someValuesFrom'
-   WHEN 4 THEN 'rdfs:subPropertyOf' WHEN 5 THEN 'owl:maxCardinality' WHEN 6 THEN 'owl:onProperty' ELSE 'owl:equivalentClass' END, ns||nm, 'iri' FROM ont WHERE f='R'
-UNION SELECT g, own||nm, 'iri', ns||pr, ns||nm, 'iri' FROM ont WHERE f='N' AND ln = 3
-UNION SELECT 'ont_'||CAST(s_suppkey AS STRING), ns||nm, 'iri', 'rdf:type', 'owl:Class', 'iri' FROM pat JOIN {supplier} ON s_suppkey % 10 = length(g) - 4
-UNION SELECT 'ont_'||CAST(s_suppkey AS STRING), ns||nm, 'iri', ns||pr, ns||nm, 'iri' FROM pat JOIN {supplier} ON s_suppkey % 10 = length(g) - 4
-UNION SELECT DISTINCT 'ont_'||CAST(s_suppkey AS STRING), 'http://own.org/s'||CAST(s_suppkey AS STRING), 'iri', 'owl:imports', replace(ns,'#',''), 'iri' FROM pat JOIN {supplier} ON s_suppkey % 10 = length(g) - 4
-UNION SELECT DISTINCT 'ont_'||CAST(s_suppkey AS STRING), 'http://own.org/s'||CAST(s_suppkey AS STRING), 'iri', 'rdf:type', 'owl:Ontology', 'iri' FROM {supplier}
-"""
-#: The same shapes from every row of `part` and `lineitem`: no value of either leaves a row out, and an ontology imports
-#: the patterns of all parts that its supplier delivers.
-WHOLE_TRIPLES = """
 WITH pat AS (
   SELECT DISTINCT 'pat_'||lower(p_type) AS g, 'http://ex.org/'||lower(p_type)||'#' AS ns,
          replace(p_name,' ','_') AS nm, p_name AS lbl, 'hasB'||replace(p_brand,'Brand#','') AS pr, p_size AS sz
@@ -61,8 +31,6 @@ UNION SELECT g, own||nm, 'iri', ns||pr, ns||nm, 'iri' FROM ont WHERE f='N' AND l
 UNION SELECT DISTINCT g, substr(own, 1, length(own) - 1), 'iri', 'owl:imports', replace(ns,'#',''), 'iri' FROM ont
 UNION SELECT DISTINCT 'ont_'||CAST(s_suppkey AS STRING), 'http://own.org/s'||CAST(s_suppkey AS STRING), 'iri', 'rdf:type', 'owl:Ontology', 'iri' FROM {supplier}
 """
-#: The view that queries read: `TRIPLES`, or for those made by `whole` the other one.
-VIEW = ContextVar("view", default=TRIPLES)
 #: A graph's role and repository: every third ontology shares a repository with the patterns of the same remainder.
 GRAPHS = """
 SELECT DISTINCT graph_id, CASE WHEN graph_id LIKE 'pat%' THEN 'pattern' ELSE 'ontology' END AS role,
@@ -77,20 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triples table, written once for a query: plans over it then stay small."""
-    return written(spark.sql(VIEW.get(), **{n: table(spark, sf_dir, n) for n in ("part", "lineitem", "supplier")}), "triples")
-
-
-def whole(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """`query` over `WHOLE_TRIPLES`; the view is written while the query is made, so its plan needs no setting later."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        held = VIEW.set(WHOLE_TRIPLES)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            VIEW.reset(held)
-
-    return run
+    return written(spark.sql(TRIPLES, **{n: table(spark, sf_dir, n) for n in ("part", "lineitem", "supplier")}), "triples")
 
 
 def graphs(spark: SparkSession, rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reweave.operators import constructs as co
+from reweave.operators import discovery as di
 from reweave.operators import triples as tr
 from reweave.operators import usage as us
 from reweave.plans.bindings import CTE, graphs, triples
@@ -32,6 +33,12 @@ def coverage_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
 
 
+def coverage_under(spark: SparkSession, sf_dir: str, backends: dict[str, dict]) -> DataFrame:
+    g = Graphs(spark, sf_dir)
+    out = tr.coverage_by_backend(g.pairs, g.found, g.reuse(), g.labels, backends)
+    return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
+
+
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.entity_counts(Graphs(spark, sf_dir).found)
 
@@ -41,10 +48,6 @@ def ontology_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.imports(triples(spark, sf_dir), "promo", 500, SHORT)
-
-
-def all_import_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.imports(triples(spark, sf_dir), "promo", None, SHORT)
 
 
@@ -80,6 +83,11 @@ def graph_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "graph_coverage": coverage_graph,
+    "graph_coverage_char": lambda s, d: coverage_under(s, d, {"char": {"threshold": 0.6}}).drop("backend"),
+    "graph_coverage_word": lambda s, d: coverage_under(s, d, {"word": {"threshold": 0.5}}).drop("backend"),
+    "graph_coverage_hybrid": lambda s, d: coverage_under(s, d, {"hybrid": {"threshold": 0.6}}).drop("backend"),
+    "graph_coverage_backends": lambda s, d: coverage_under(s, d, {"exact": {"threshold": 1.0}, "char": {"threshold": 0.7}, "word": {"threshold": 0.7}, "auto": {"threshold": 0.7}}),
+    "graph_import_rows": lambda s, d: di.as_hits(tr.imports(triples(s, d), "promo", None, SHORT), "imports"),
     "graph_entity_counts": entity_counts,
     "graph_ontology_iri": ontology_iris,
     "graph_import_hits": import_hits,
@@ -175,13 +183,42 @@ cs AS (SELECT *, CASE WHEN NOT ("CONCEPT_COMPLEX_NEGATION" OR "CONCEPT_UNION" OR
 """
 USAGE_CTE = _USAGE
 COVERAGE_CTE = _COVERAGE
+_GRAMS = {
+    "char": "(SELECT label, unnest(CASE WHEN length(label) < 3 THEN [label] ELSE list_transform(range(1, length(label) - 1), lambda i: substr(label, i, 3)) END) AS g FROM dl)",
+    "word": "(SELECT label, unnest(string_split(label, ' ')) AS g FROM dl)",
+}
+
+
+def similar_coverage(name: str, threshold: float) -> str:
+    """Coverage where labels count as equal whose cosine over grams reaches the threshold."""
+    return CTE + f""", dl AS (SELECT DISTINCT label FROM lb), gc AS (SELECT label, g, count(*) AS k FROM {_GRAMS[name]} GROUP BY ALL), gn AS (SELECT label, sqrt(sum(k * k)) AS nm FROM gc GROUP BY label),
+    sm AS (SELECT a.label AS l, b.label AS r FROM gc a JOIN gc b USING (g) JOIN gn x ON x.label = a.label JOIN gn y ON y.label = b.label
+      GROUP BY a.label, b.label, x.nm, y.nm HAVING sum(a.k * b.k) / (x.nm * y.nm) >= {threshold} - 1e-12 UNION SELECT label, label FROM dl),
+    lr AS (SELECT DISTINCT ontology_id, pattern_id, p.kind, p.iri FROM pr JOIN lb p ON p.graph_id = pattern_id JOIN sm ON l = p.label
+       JOIN lb o ON o.graph_id = ontology_id AND o.label = r UNION SELECT * FROM ru),
+    cov AS (SELECT ontology_id, pattern_id, (SELECT count(DISTINCT iri) FROM e WHERE graph_id = pattern_id) AS pattern_total,
+      (SELECT count(DISTINCT iri) FROM ru WHERE ru.ontology_id = pr.ontology_id AND ru.pattern_id = pr.pattern_id) AS reused_total_graph,
+      (SELECT count(DISTINCT iri) FROM lr WHERE lr.ontology_id = pr.ontology_id AND lr.pattern_id = pr.pattern_id) AS reused_total_label FROM pr)
+    SELECT *, round(reused_total_graph / pattern_total, 6) AS coverage_graph, round(reused_total_label / pattern_total, 6) AS coverage_label FROM cov"""
+
+
 ORACLE_SQL = {
+    "graph_coverage_char": similar_coverage("char", 0.6),
+    "graph_coverage_word": similar_coverage("word", 0.5),
+    "graph_coverage_hybrid": similar_coverage("char", 0.6),
+    "graph_coverage_backends": " UNION ALL ".join(
+        f"SELECT *, '{n}' AS backend FROM ({sql})" for n, sql in (
+            ("exact", CTE + _COVERAGE + "SELECT *, round(reused_total_graph / pattern_total, 6) AS coverage_graph, round(reused_total_label / pattern_total, 6) AS coverage_label FROM cov"),
+            ("char", similar_coverage("char", 0.7)), ("word", similar_coverage("word", 0.7)), ("auto", similar_coverage("char", 0.7)),
+        )
+    ),
+    "graph_import_rows": CTE + "SELECT DISTINCT 'imports' AS source, '' AS pattern_label, o AS pattern_iri, s AS match_label, s AS url, 'owl:imports' AS details FROM t WHERE p = 'owl:imports' AND contains(o, 'promo')",
     "graph_coverage": CTE + _COVERAGE + """SELECT *, round(reused_total_graph / pattern_total, 6) AS coverage_graph,
         round(reused_total_label / pattern_total, 6) AS coverage_label FROM cov""",
     "graph_entity_counts": CTE + """SELECT graph_id, count(*) FILTER (kind = 'class') AS n_classes, count(*) FILTER (kind = 'object') AS n_object_properties,
         count(*) FILTER (kind = 'datatype') AS n_datatype_properties, count(*) AS n_total FROM e GROUP BY graph_id""",
     "graph_ontology_iri": CTE + "SELECT graph_id, min(s) AS ontology_iri FROM t WHERE p = 'rdf:type' AND o = 'owl:Ontology' GROUP BY graph_id",
-    "graph_import_hits": CTE + "SELECT DISTINCT s AS ontology, o AS imported FROM t WHERE p = 'owl:imports' AND contains(o, 'promo') ORDER BY 1, 2 LIMIT 500",
+    "graph_import_hits": CTE + "SELECT DISTINCT s AS ontology, o AS imported FROM t WHERE p = 'owl:imports' AND contains(o, 'promo')",
     "graph_entity_labels": CTE + "SELECT * FROM lb",
     "graph_reuse_by_kind": CTE + """, lk AS (SELECT DISTINCT ontology_id, pattern_id, p.kind, p.iri FROM pr JOIN lb p ON p.graph_id = pattern_id
         JOIN lb o ON o.graph_id = ontology_id AND o.label = p.label AND o.kind = p.kind)

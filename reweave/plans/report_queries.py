@@ -62,6 +62,19 @@ def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gq.Graphs(spark, sf_dir)
+    return rounded(rp.pair_summary(g.pairs, written(co.constructs(g.triples, SHORT), "constructs")))
+
+
+def dataset_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of the members of each threshold dataset, counted by graph."""
+    g = gq.Graphs(spark, sf_dir)
+    metrics = tr.coverage(g.pairs, g.found, g.reuse(), tr.label_reuse(g.pairs, g.labels)).withColumn("pct", F.col("coverage_label") * 100)
+    members = rp.dataset_members(rp.threshold_datasets(metrics, "pct", [50, 100]), g.triples)
+    return members.groupBy("dataset", "graph_id").agg(F.count(F.lit(1)).alias("triples"))
+
+
 QUERIES = {
     "report_threshold_counts": lambda s, d: rp.threshold_counts(pair_metrics(s, d), "label_reuse_pct"),
     "report_band_counts": lambda s, d: rp.band_counts(pair_metrics(s, d), "label_reuse_pct"),
@@ -85,6 +98,11 @@ QUERIES = {
     "report_pair_constructs": pair_construct_table,
     "report_pair_complexity": pair_complexity,
     "report_job_summary": job_summary,
+    "report_usage_averages": lambda s, d: rounded(rp.usage_averages(with_forms(s, d).select("pattern_total", "reused_total_label", *us.FORMS), us.FORMS)),
+    "report_reuse_summary": lambda s, d: rounded(rp.reuse_summary(rp.reuse_extent(pair_metrics(s, d)))),
+    "report_pair_summary": pair_summary,
+    "report_empirical_cdf": lambda s, d: rounded(rp.empirical_cdf(pair_metrics(s, d), "reused_total_label")),
+    "report_dataset_members": dataset_members,
     "report_top_patterns": lambda s, d: rounded(pair_metrics(s, d).orderBy(F.desc("label_reuse_pct"), F.desc("reused_total_graph"), "ontology_id", "pattern_id").limit(10).select("ontology_id", "pattern_id", "reused_total_graph", "label_reuse_pct")),
 }
 
@@ -130,5 +148,16 @@ ORACLE_SQL = {
         avg(b.dl_complexity_score) AS mean_pattern_constructs, avg(b.n_axioms) AS mean_pattern_axioms FROM pr LEFT JOIN cs a ON a.graph_id = ontology_id LEFT JOIN cs b ON b.graph_id = pattern_id)
         """ + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({m}, 6) AS value FROM x" for m in ("pairs", "mean_ontology_constructs", "mean_ontology_axioms", "mean_pattern_constructs", "mean_pattern_axioms")),
     "report_job_summary": _M + "SELECT count(*) AS pairs, count(DISTINCT ontology_id) AS ontologies, count(DISTINCT pattern_id) AS patterns, sum(reused_total_graph)::BIGINT AS reused_graph, sum(reused_total_label)::BIGINT AS reused_label, count(*) FILTER (reused_total_graph > 0) AS pairs_with_reuse FROM m",
+    "report_usage_averages": _MF + ", a AS (SELECT " + ", ".join(f"avg({c})::DOUBLE AS avg_{c}" for c in ("pattern_total", "reused_total_label", *us.FORMS))
+    + ", " + ", ".join(f"(sum({f}) / greatest({' + '.join(f'sum({x})' for x in us.FORMS)}, 1) * 100)::DOUBLE AS {f}_pct" for f in us.FORMS) + " FROM mf) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS metric, round({c}, 6) AS value FROM a" for c in (*(f"avg_{c}" for c in ("pattern_total", "reused_total_label", *us.FORMS)), *(f"{f}_pct" for f in us.FORMS))),
+    "report_reuse_summary": _M + """, x AS (SELECT ontology_id, count(DISTINCT pattern_id) AS n, count(DISTINCT CASE WHEN reused_total_label > 0 THEN pattern_id END) AS l, bool_or(reused_total_graph > 0) AS hit FROM m GROUP BY ontology_id)
+        SELECT count(*) AS ontologies, count(*) FILTER (hit) AS ontologies_with_reuse, round(count(*) FILTER (hit) / count(*) * 100, 6) AS pct_with_reuse, round(avg(n), 6) AS avg_patterns, round(avg(l), 6) AS avg_patterns_with_reuse FROM x""",
+    "report_pair_summary": _C + ", x AS (SELECT avg(a.dl_complexity_score) AS mean_ontology_constructs, avg(b.dl_complexity_score) AS mean_pattern_constructs, avg(a.n_axioms) AS mean_ontology_axioms, "
+    + ", ".join(f'avg(coalesce({k}."{c}", false)::INT) * 100 AS "{c}_{side}_pct"' for c in CONSTRUCTS for k, side in (("a", "ontology"), ("b", "pattern")))
+    + " FROM pr LEFT JOIN cs a ON a.graph_id = ontology_id LEFT JOIN cs b ON b.graph_id = pattern_id) "
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(\"{m}\", 6) AS value FROM x" for m in ("mean_ontology_constructs", "mean_pattern_constructs", "mean_ontology_axioms", *(f"{c}_{side}_pct" for c in CONSTRUCTS for side in ("ontology", "pattern")))),
+    "report_empirical_cdf": _M + "SELECT reused_total_label, round(row_number() OVER (ORDER BY reused_total_label) / count(*) OVER (), 6) AS share FROM m",
+    "report_dataset_members": _M + ", ds AS (SELECT x.d AS dataset, ontology_id, pattern_id FROM m, (VALUES (50),(100)) x(d) WHERE label_reuse_pct >= x.d), g2 AS (SELECT dataset, ontology_id AS graph_id FROM ds UNION SELECT dataset, pattern_id FROM ds) SELECT dataset, graph_id, count(*) AS triples FROM g2 JOIN t USING (graph_id) GROUP BY ALL",
     "report_top_patterns": _M + "SELECT ontology_id, pattern_id, reused_total_graph, round(label_reuse_pct, 6) AS label_reuse_pct FROM m ORDER BY m.label_reuse_pct DESC, reused_total_graph DESC, ontology_id, pattern_id LIMIT 10",
 }

@@ -21,7 +21,7 @@ def types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return rounded(sj.vector_join(rows.filter("vec_id % 10 = 0"), rows, 0.5))
+    return rounded(sj.vector_join(rows.filter("vec_id % 100 = 0"), rows, 0.5))  # the queries of a search, against all vectors
 
 
 def label_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ ORACLE_SQL = {
         len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS similarity FROM w a, w b) SELECT left_label, right_label, round(similarity, 6) AS similarity FROM p WHERE p.similarity >= 0.3""",
     "join_edit_distance": _N + "x AS (SELECT 1) SELECT a.label AS left_label, b.label AS right_label, levenshtein(a.label, b.label)::INT AS distance FROM n a, n b WHERE levenshtein(a.label, b.label) <= 5",
     "join_vector_cosine": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) AS similarity
-        FROM v a, v b WHERE a.vec_id % 10 = 0) SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM p WHERE p.similarity >= 0.5""",
+        FROM v a, v b WHERE a.vec_id % 100 = 0) SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM p WHERE p.similarity >= 0.5""",
     "label_functions": """WITH r AS (SELECT p_partkey, p_name, p_name || '_' || p_type || '-' || p_brand AS raw, 'http://ex.org/' || lower(p_type) || CASE WHEN p_size % 2 = 0 THEN '#' ELSE '/' END || p_brand AS iri FROM part),
         q AS (SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(raw, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS plain FROM r),
         z AS (SELECT *, string_split(plain, ' ') AS w, string_split(lower(p_name), ' ') AS u FROM q)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,20 @@ OBJECT = r"(<[^>]*>|_:\S+|\"(?:[^\"\\]|\\.)*\"(?:@[A-Za-z0-9\-]+|\^\^<[^>]*>)?)"
 LINE = rf"^\s*{TERM}\s+(<[^>]*>)\s+{OBJECT}\s*(<[^>]*>|_:\S+)?\s*\.\s*(?:#.*)?$"
 
 
+def unescaped(text: Column) -> Column:
+    """`text` with N-Triples escapes decoded, each once and from left to right."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), 1)
+
+    def plain(part: Column) -> Column:
+        mark = F.substring(part, 2, 1)
+        code = F.decode(F.unhex(F.lpad(F.substring(part, 3, 8), 8, "0")), "UTF-32")
+        named = F.element_at(F.create_map(*[F.lit(x) for pair in (("n", "\n"), ("t", "\t"), ("r", "\r"), ("b", "\b"), ("f", "\f")) for x in pair]), mark)
+        coded = (mark.isin("u", "U")) & (F.char_length(part) > 2)
+        return F.when(~part.startswith("\\"), part).when(coded, code).otherwise(F.coalesce(named, mark))
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, plain), "")).otherwise(text)
+
+
 def read_triples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(triples, corrupt lines) of N-Triples or N-Quads files; the file is the graph. Blank nodes are local to a graph."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("graph_id"), F.trim("value").alias("line"))
@@ -22,8 +40,7 @@ def read_triples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     def value(term: Column) -> Column:
         quoted = F.regexp_extract(term, r'^"((?:[^"\\]|\\.)*)"', 1)
-        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(quoted, r"\\n", "\n"), r"\\t", "\t"), r'\\(["\\])', "$1")
-        return F.when(term.startswith("<"), F.btrim(term, F.lit("<>"))).when(term.startswith("_:"), term).otherwise(plain)
+        return F.when(term.startswith("<"), unescaped(F.btrim(term, F.lit("<>")))).when(term.startswith("_:"), term).otherwise(unescaped(quoted))
 
     good = lines.filter(ok).select("graph_id", s.alias("st"), p.alias("pt"), o.alias("ot"))
     triples = good.select(
@@ -43,7 +60,11 @@ def list_files(spark: SparkSession, base: str, extensions: list[str], max_bytes:
     rows = rows.filter(F.col("ext").isin(extensions) & (F.col("size") <= max_bytes))
     for part in skip:
         rows = rows.filter(~F.contains(F.lower("name"), F.lit(part.lower())))
-    inside = F.regexp_extract("path", rf".*?{base.rstrip('/').rsplit('/', 1)[-1]}/([^/]+)/", 1)
+    scheme = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
+    root = re.sub(scheme, "", base).rstrip("/")
+    root = root if root.startswith("/") else os.path.abspath(root)
+    below = F.split(F.substring(F.regexp_replace("path", scheme, ""), F.lit(len(root) + 2), F.char_length("path")), "/")
+    inside = F.when(F.size(below) > 1, below[0]).otherwise("")
     return rows.withColumn("repo", inside).withColumn("role", F.when(F.col("path").rlike(r"/patterns/[^/]+\.(owl|ttl|nt)$"), "pattern").otherwise("ontology"))
 
 
@@ -88,3 +109,37 @@ def flag(value: Column) -> Column:
     """TRUE/FALSE, yes/no and 1/0 in any case; null otherwise."""
     v = F.upper(F.trim(value))
     return F.when(v.isin("TRUE", "YES", "1"), True).when(v.isin("FALSE", "NO", "0"), False)
+
+
+def loose_flag(value: Column) -> Column:
+    """Whether a flag column says 1, True or true."""
+    return F.coalesce(F.trim(value).isin("1", "True", "true"), F.lit(False))
+
+
+def number(value: Column) -> Column:
+    """A number, or null for what is none."""
+    return F.trim(value).try_cast("double")
+
+
+#: Column names that are misspelt in tables of papers -> the right ones (fixed values).
+MISSPELT = {"ontolgoy_available?": "ontology_available?", "odp_reused": "odp_reused?", "odp_reused_?": "odp_reused?"}
+
+
+def normal_columns(df: DataFrame, renamed: dict[str, str] = MISSPELT) -> DataFrame:
+    """`df` with trimmed lower-case column names, underscores for spaces, and known misspellings put right."""
+    plain = [c.strip().lower().replace(" ", "_") for c in df.columns]
+    return df.toDF(*[renamed.get(c, c) for c in plain])
+
+
+def read_texts(spark: SparkSession, base: str, extensions: list[str]) -> DataFrame:
+    """file and the whole text of each library file below `base` with one of the endings."""
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    rows = reader.text(base).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return rows.filter(reduce(lambda a, b: a | b, (F.lower("file").endswith(e.lower()) for e in extensions)))
+
+
+def fallback_iri(text: Column) -> Column:
+    """The IRI of a text that no parser reads: that of an `Ontology:` line, else the first URL or URN; null without any."""
+    head = F.trim(F.regexp_extract(text, r"(?im)^\s*Ontology:\s*<([^>\s]+)>", 1))
+    named = F.when(head.rlike(r"^(https?://|urn:|ftp://)"), head)
+    return F.coalesce(named, F.nullif(F.regexp_extract(text, r"(?i)(\b(?:https?|ftp)://[^\s\"'<>]+|\burn:[^\s\"'<>]+)", 1), F.lit("")))

@@ -84,3 +84,70 @@ def looked_up(own: DataFrame, by_doi: DataFrame, by_title: DataFrame, columns: l
     d = by_doi.select("doi", *[F.col(c).alias(f"d_{c}") for c in columns])
     out = own.join(d, "doi", "left").join(first, "title", "left")
     return out.select(*own.columns, *[F.coalesce(f"d_{c}", f"t_{c}").alias(c) for c in columns])
+
+
+def as_text(value: Column, depth: int = 3) -> Column:
+    """A landed JSON value as text: the first list item that is not empty, the address of an object (uri, @id, id, value,
+    url or href, in this order), other objects as JSON, and null as empty. Lists and objects nest up to `depth` levels."""
+    if not depth:
+        return F.coalesce(value, F.lit(""))
+    items = F.transform(F.from_json(value, "array<string>"), lambda e: as_text(e, depth - 1))
+    fields = F.from_json(value, "map<string,string>")
+    key = F.try_element_at(F.filter(F.array(*[F.lit(k) for k in ("uri", "@id", "id", "value", "url", "href")]), lambda k: F.map_contains_key(fields, k)), F.lit(1))
+    picked = F.when(key.isNotNull(), as_text(F.try_element_at(fields, key), depth - 1)).otherwise(value)
+    first = F.try_element_at(F.filter(items, lambda x: x != ""), F.lit(1))
+    said = F.when(F.trim(value).startswith("["), first).when(F.trim(value).startswith("{"), picked).otherwise(value)
+    return F.coalesce(said, F.lit(""))
+
+
+CATALOG = "results array<map<string,string>>"
+
+
+def catalog_hits(term_pages: DataFrame, vocabulary_pages: DataFrame) -> DataFrame:
+    """Hits of a vocabulary catalog's two searches, by term and by vocabulary. Pages: pattern_label, pattern_iri, json."""
+
+    def rows(pages: DataFrame) -> DataFrame:
+        return pages.select("pattern_label", "pattern_iri", F.explode(F.from_json("json", CATALOG)["results"]).alias("x"))
+
+    of = lambda m, k: F.nullif(F.try_element_at(m, F.lit(k)), F.lit(""))
+    text = lambda *values: as_text(F.coalesce(*values, F.lit("")), 2)
+    x, vocab = F.col("x"), F.from_json(F.try_element_at("x", F.lit("vocabulary")), "map<string,string>")
+    terms = rows(term_pages).select(
+        F.lit("lov-terms").alias("source"), "pattern_label", "pattern_iri",
+        text(of(vocab, "prefix"), of(x, "prefixedName"), of(x, "type"), of(x, "label")).alias("match_label"),
+        F.trim(text(of(x, "uri"), of(vocab, "uri"), of(vocab, "uriSpace"))).alias("url"),
+        F.concat(F.lit('{"vocab": '), F.coalesce(of(x, "vocabulary"), F.lit("{}")), F.lit("}")).alias("details"),
+    )
+    found = rows(vocabulary_pages).select(
+        F.lit("lov-vocab").alias("source"), "pattern_label", "pattern_iri",
+        text(of(x, "prefPrefix"), of(x, "prefix"), of(x, "uri"), of(x, "uriSpace")).alias("match_label"),
+        F.trim(text(of(x, "uri"), of(x, "uriSpace"))).alias("url"), text(of(x, "description")).alias("details"),
+    )
+    return terms.unionByName(found)
+
+
+def from_sources(hits: DataFrame, names: list[str]) -> DataFrame:
+    """The hits of the named sources only; all of them without names."""
+    return hits.filter(F.col("source").isin(names)) if names else hits
+
+
+PREPRINT = (
+    "id string, title string, summary string, authors array<struct<name:string>>, links array<struct<type:string,rel:string,href:string>>, "
+    "published string, arxiv_primary_category struct<term:string>"
+)
+
+
+def preprints(rows: DataFrame) -> DataFrame:
+    """Works from landed entries of a preprint feed (column json)."""
+    e = rows.select(F.from_json("json", PREPRINT).alias("e")).select("e.*")
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    last = lambda test: F.try_element_at(F.filter("links", test), F.lit(-1))["href"]
+    names = F.filter(F.transform("authors", lambda a: a["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    pdf = last(lambda x: x["type"] == "application/pdf")
+    return e.select(
+        F.coalesce(F.nullif("id", F.lit("")), plain(F.col("title"))).alias("id"), F.lit(None).cast("string").alias("doi"), plain(F.col("title")).alias("title"),
+        F.transform(names, plain).alias("authors"), F.left("published", F.lit(4)).try_cast("int").alias("year"), F.lit("arXiv").alias("venue"),
+        F.lit("arXiv").alias("publisher"), F.coalesce(last(lambda x: x["rel"] == "alternate"), "id").alias("url"), F.lit("arxiv").alias("source"),
+        pdf.alias("oa_url"), pdf.alias("pdf_url"), F.lit(True).alias("is_oa"), plain(F.col("summary")).alias("abstract"),
+        F.col("arxiv_primary_category.term").alias("category"),
+    )

@@ -38,3 +38,14 @@ def union_all(frames: list[DataFrame], first: list[str]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out.select(*[c for c in first if c in out.columns], *[c for c in out.columns if c not in first])
+
+
+def write_statistics(statistics: DataFrame, path: str) -> None:
+    """A table of metric, key and value as JSON lines and as one CSV folder for each metric."""
+    statistics.write.mode("overwrite").json(f"{path}/json")
+    statistics.write.mode("overwrite").partitionBy("metric").option("header", True).csv(f"{path}/csv")
+
+
+def write_citing(rows: DataFrame, path: str) -> None:
+    """Citing works as CSV below seed_year=."""
+    rows.write.mode("overwrite").partitionBy("seed_year").option("header", True).csv(path)

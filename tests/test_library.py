@@ -21,7 +21,7 @@ def one(spark, *columns, **values):
 def test_labels(spark):
     c = F.col("x")
     assert one(spark, fl.normalize_label(c), x=" hasPart_of-Thing(1) ") == ("has part of thing 1",)
-    assert one(spark, fl.normalize_label_unicode(c), x="hatÄpfel_und-Öl!") == ("hatäpfel und öl",) or True
+    assert one(spark, fl.normalize_label_unicode(c), x="hatÄpfel_und-Öl!") == ("hatäpfel und öl",)
     assert one(spark, fl.normalize_label(c), fl.local_name(c), x=None)[0] == ""
     assert one(spark, fl.local_name(c), fl.base_namespace(c), x="http://a/b#c") == ("c", "http://a/b#")
     assert one(spark, fl.local_name(c), fl.base_namespace(c), x="http://a/b/") == ("b", "http://a/b/")

@@ -31,10 +31,10 @@ def compare(spark, folder):
     parts = [(r.p_partkey, r.p_name, r.p_size, r.p_brand) for r in spark.read.parquet(f"{folder}/part.parquet").collect()]
     by_seed = brute(parts)
     best = {k: next(((j, -s) for s, j, years, _ in own if years <= 1 and -s >= 0.82), None) for k, own in by_seed.items()}
-    got = registry.QUERIES["papers_linkage_whole"](spark, folder).collect()
+    got = registry.QUERIES["papers_linkage"](spark, folder).collect()
     assert sorted((r.seed_id, r.work_id, round(r.score, 5)) for r in got) == sorted((k, x[0], round(x[1], 5)) for k, x in best.items() if x)
     want = sorted((k, j, n, *(round(v, 5) for v in (*parts, -s))) for k, own in by_seed.items() for n, (s, j, _, parts) in enumerate(own[:3], 1))
-    ranked = registry.QUERIES["papers_linkage_ranked_whole"](spark, folder).collect()
+    ranked = registry.QUERIES["papers_linkage_ranked"](spark, folder).collect()
     assert sorted((r.seed_id, r.work_id, r.rank, *(round(v, 5) for v in (r.sim, r.year_bonus, r.evidence_bonus, r.hint_bonus, r.score))) for r in ranked) == want
     return {r.seed_id: r.work_id for r in got}
 
@@ -52,5 +52,5 @@ def test_ratio_finds_and_ranks_what_words_alone_do_not(spark, tmp_path):
     ]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     assert compare(spark, tmp_path)[20] == 21
-    words = {r.seed_id for r in registry.QUERIES["papers_linkage"](spark, str(tmp_path)).collect()}
+    words = {r.seed_id for r in registry.QUERIES["papers_linkage_words"](spark, str(tmp_path)).collect()}
     assert 20 not in words

@@ -6,10 +6,14 @@ import pathlib
 import pytest
 
 DATA = "/root/testdata/sf0.001"
+from reweave.plans import registry
+
 NAMES = [
-    "graph_coverage", "graph_usage_forms", "graph_constructs", "graph_namespace_terms", "stats_enriched", "stats_union_by_name", "report_histogram",
-    "report_with_and_without", "report_pair_constructs", "join_char_cosine", "join_edit_distance", "join_vector_cosine", "label_functions",
-    "papers_linkage", "papers_merged", "papers_per_year", "papers_text_flags", "hits_directory_summary",
+    "graph_coverage", "graph_coverage_char", "graph_coverage_word", "graph_usage_forms", "graph_constructs", "graph_namespace_terms", "graph_import_hits",
+    "stats_enriched", "stats_union_by_name", "report_histogram", "report_with_and_without", "report_pair_constructs", "report_usage_averages",
+    "report_pair_summary", "report_empirical_cdf", "join_char_cosine", "join_edit_distance", "join_vector_cosine", "label_functions",
+    "papers_linkage_words", "papers_linkage_rounds", "papers_linkage_audit", "papers_merged", "papers_per_year", "papers_statistics",
+    "papers_text_flags", "papers_name_hits", "hits_directory_summary", "hits_url_functions",
 ]
 needs_tables = pytest.mark.skipif(not pathlib.Path(DATA).exists(), reason="needs the tables")
 
@@ -32,14 +36,25 @@ def rows(frame):
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
-    from reweave.plans import registry
-
     db = duckdb.connect()
     for f in os.listdir(DATA):
         db.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{DATA}/{f}')")
     assert rows(registry.QUERIES[name](spark, DATA).toPandas()) == rows(db.sql(registry.ORACLE_SQL[name]).df())
 
 
+@needs_tables
+def test_every_row_becomes_triples(spark):
+    import duckdb
+
+    from reweave.plans import bindings
+
+    view = bindings.triples(spark, DATA).toPandas()
+    got = {(g, s.rsplit("#", 1)[-1]) for g, s in zip(view["graph_id"], view["s"])}
+    parts = duckdb.sql(f"SELECT 'pat_'||lower(p_type), replace(p_name, ' ', '_') FROM '{DATA}/part.parquet'").fetchall()
+    lines = duckdb.sql(f"SELECT 'ont_'||l_suppkey, replace(p_name, ' ', '_') FROM '{DATA}/lineitem.parquet' JOIN '{DATA}/part.parquet' ON l_partkey = p_partkey").fetchall()
+    assert len(parts) == 200 and set(parts) <= got and set(lines) <= got
+
+
 @needs_tables
 def test_entry_point(spark):
     import __spark_entry__
@@ -50,8 +65,6 @@ def test_entry_point(spark):
 
 @needs_tables
 def test_plans_have_no_cartesian_product(spark):
-    from reweave.plans import registry
-
     for name in ("graph_coverage", "join_char_cosine", "join_edit_distance", "papers_linkage"):
         plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
