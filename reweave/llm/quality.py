@@ -64,13 +64,21 @@ def text_statistics(column: pa.Array) -> np.ndarray:
     same[1:] = hashes[1:] == hashes[:-1]
     breaks = np.flatnonzero(data == 10)
     split = np.searchsorted(breaks, at)
+    # the lines of all texts at once: each text begins one, and so does each break in it
+    text = np.concatenate([np.arange(len(n)), np.searchsorted(at, breaks, side="right") - 1])
+    begin = np.concatenate([at[:-1], breaks + 1])
+    order = np.lexsort((begin, text))
+    text, begin = text[order], begin[order]
+    end = np.append(begin[1:] - 1, 0)
+    last = np.append(text[1:] != text[:-1], True)
+    end[last] = at[text[last] + 1]
+    line_hashes, line_cuts = bw.range_hashes(low, begin, end), np.searchsorted(text, np.arange(len(n) + 1))
     more, top = np.zeros((len(n), 7)), np.zeros(len(n))
     for i in range(len(n)):
         a, b = first[i], first[i + 1]
-        inside = breaks[split[i] : split[i + 1]]
-        edges = np.concatenate([[at[i] - 1], inside, [at[i + 1]]])
-        lines = np.unique(bw.range_hashes(low[at[i] : at[i + 1]], edges[:-1] + 1 - at[i], np.maximum(edges[1:], edges[:-1] + 1) - at[i]))
-        more[i, 4:] = len(inside) + 1, len(lines) / (len(inside) + 1), (b - a) / (len(inside) + 1)
+        count_of = split[i + 1] - split[i] + 1
+        lines = np.unique(line_hashes[line_cuts[i] : line_cuts[i + 1]])
+        more[i, 4:] = count_of, len(lines) / count_of, (b - a) / count_of
         more[i, 1] = more[i, 3] = 1
         if b > a:
             own, times = np.unique(hashes[a:b], return_counts=True)
