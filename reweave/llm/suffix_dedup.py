@@ -24,7 +24,7 @@ from reweave.llm import deep_shallow
 from reweave.llm.repeats import STRETCHES, Units, assembled, cut_out, kept_anchors, repeated_ranges, surveyed, with_repeated_anchors
 
 GRAM = 128
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 
 def _anchors(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple:
