@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from reweave.llm import bytewords as bw
 from reweave.llm.common import maybe_among, own_columns, row_ids, written
-from reweave.llm.components import components
+from reweave.llm.components import components, joined
 
 SIGN = ["sig_a", "sig_b", "n_shingles"]
 
@@ -114,10 +114,10 @@ def _second_round(known: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
 
 
-def _families(known: DataFrame, ends: DataFrame) -> DataFrame:
+def _families(known: DataFrame, ends: DataFrame, most_rows: int) -> DataFrame:
     """The sets of open lists with their component and family: components that meet in a list are of one family."""
     own = known.join(ends.select("key", "a"), "key")
-    families = components(own.select("a", F.col("root").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    families = components(own.select("a", F.col("root").alias("b")), most_rows).select(F.col("node").alias("root"), F.col("root").alias("family"))
     return own.select("cid", "n_shingles", "root").distinct().join(families, "root")
 
 
@@ -144,7 +144,7 @@ def _narrowed(nodes: DataFrame, sets: DataFrame, percent: int, most: int) -> Dat
     prefix = written(ranked.filter(F.col("rank") <= F.col("n_common") - needed + 1).select("sh", "root", "cid", "n_shingles"), "prefixes")
     ends = prefix.groupBy("sh").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(F.col("sh").alias("key"), "a")
     light = nodes.join(heavy, "family", "left_anti")
-    return light.unionByName(_families(prefix.withColumnRenamed("sh", "key"), written(ends, "prefix-lists")).select(*light.columns))
+    return light.unionByName(_families(prefix.withColumnRenamed("sh", "key"), written(ends, "prefix-lists"), prefix.count()).select(*light.columns))
 
 
 def _dealt(nodes: DataFrame, sets: DataFrame, *, most: int, slice_size: int = 1024) -> DataFrame:
@@ -297,7 +297,8 @@ def near_dedup(
     sets = _per_text(texts, shingle_words, None).groupBy(*SIGN).agg(F.first("sketch").alias("shingles"))
     sets = written(chosen.select("cid", *SIGN).join(sets, SIGN).select("cid", "shingles"), "sets")
     links = written(_verified(stars, sets, percent), "links")
-    roots = components(links)
+    roots = components(links, links.count())
+    n_members = members.count()
 
     def placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         return nodes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -311,14 +312,13 @@ def near_dedup(
     if not ends.isEmpty():
         more = written(_verified(_estimated(_second_round(known, ends, percent), chosen, percent, sketch_size), sets, percent), "links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+            roots = joined(roots, more, more.count())
             known, ends = open_lists(roots)
-        nodes = written(_families(known, ends), "nodes")
+        nodes = written(_families(known, ends, n_members), "nodes")
         nodes = written(_narrowed(nodes, sets, percent, block_shingles), "nodes")
         last = written(_compared(_dealt(nodes, sets, most=block_shingles), percent), "links")
         if not last.isEmpty():
-            roots = components(links.unionByName(last))
+            roots = joined(roots, last, last.count())
 
     homes = placed(reps.select("cid", "rep_id", "first_row", *SIGN), roots)
     names = homes.groupBy("root").agg(F.min("rep_id").alias("component_id"), F.min("first_row").alias("first_row"))
