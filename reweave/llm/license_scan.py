@@ -1,8 +1,10 @@
 """License scans: exact phrases, and short notices with a bounded number of edits.
 
 Each notice is split into one piece more than the edits it may have, so that one piece at least occurs unchanged
-wherever the notice does (pigeonhole). Occurrences of the pieces give the windows in which the regex library's
-bounded-error matching then verifies the notice and reports its span and edits.
+wherever the notice does (pigeonhole). Occurrences of the pieces give the windows. As an edit changes four of a notice's
+runs of four letters at most, a window that lacks more of them than the edits allow is passed over: pieces that are everyday
+words cost little. In the other windows the regex library's bounded-error matching verifies the notice and reports its span
+and edits.
 
 Map-only: each text is scanned where it is read, whole, and nothing is shuffled.
 """
@@ -45,6 +47,7 @@ NOTICES = {
     "creative commons attribution": "notice-cc",
     "all rights reserved": "notice-reserved",
 }
+GRAM, MOST = 4, 4096
 _SPACE = bytes(b if bw.WORDLIKE[b] else 32 for b in bw.LOWER.tolist())
 _SEP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 SCHEMA = (
@@ -66,36 +69,63 @@ class Fuzzy:
         self.notice, self.label, self.edits, self.seeds = notice, label, edits, split_seeds(notice, edits)
         body = rb"(?<=^| )(?:" + re.escape(notice.encode()) + rb"){e<=%d}(?=$| )" % edits
         self.pattern = regex.compile(rb"(?b)" + body)
+        text = notice.encode()
+        self.grams = [text[i : i + GRAM] for i in range(len(text) - GRAM + 1)]
+
+    def likely(self, window: bytes) -> bool:
+        """Whether the window has as many of the notice's grams as any occurrence of the notice must have."""
+        spare = GRAM * self.edits
+        for gram in self.grams:
+            if gram not in window:
+                spare -= 1
+                if spare < 0:
+                    return False
+        return True
 
     def windows(self, text: bytes) -> list[list[int]]:
         found = []
         for seed, offset in self.seeds:
             at = text.find(seed)
             while at >= 0:
-                found.append((at - offset - self.edits - 1, at - offset + len(self.notice) + self.edits + 1))
+                a, b = max(0, at - offset - self.edits - 1), at - offset + len(self.notice) + self.edits + 1
+                if self.likely(text[a:b]):
+                    found.append((a, b))
                 at = text.find(seed, at + 1)
         merged: list[list[int]] = []
         for a, b in sorted(found):
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(b, merged[-1][1])
             else:
-                merged.append([max(0, a), b])
+                merged.append([a, b])
         return merged
 
     def search(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of each occurrence in text order: the best of a window, then those before and after it."""
+        """(start, end, edits) of each occurrence in text order: the best of a window, then those before and after it.
+
+        Windows that overlap are one. One of more than MOST bytes is read in pieces of that size; a piece begins a notice's
+        length before the end of the one before, or where its last occurrence ends, so that none is cut or told twice."""
         out = []
         for a, b in self.windows(text):
-            todo = [(a, min(b, len(text)))]
-            while todo:
-                a, b = todo.pop()
-                if m := self.pattern.search(text, a, b):
-                    out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                    todo.append((max(m.end(), m.start() + 1), b))
-                    if m.start() - 1 - a >= len(self.notice) - self.edits:
-                        todo.append((a, m.start() - 1))  # up to the space before it
+            b, reach = min(b, len(text)), len(self.notice) + 2 * self.edits + 2
+            while b - a > MOST:
+                end = a + MOST
+                found = [f for f in self._inside(text, a, end) if f[0] < end - reach]
+                out += found
+                a = max([end - reach, *(f[1] for f in found)])
+            out += self._inside(text, a, b)
         return sorted(out)
 
+    def _inside(self, text: bytes, a: int, b: int) -> list[tuple[int, int, int]]:
+        out, todo = [], [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if m := self.pattern.search(text, a, b):
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                todo.append((max(m.end(), m.start() + 1), b))
+                if m.start() - 1 - a >= len(self.notice) - self.edits:
+                    todo.append((a, m.start() - 1))  # up to the space before it
+        return out
+
 
 def license_scan(
     docs: DataFrame,
