@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Five-word seeds of the benchmark are joined with every whole text where it is read. A text and an item that share a
-seed are tiled by running Karp-Rabin: at a falling match length, rolling hashes over the item's unmarked words are looked
+Five-word seeds of the benchmark are joined with every whole text where it is read. Only words of an item that lie in seeds
+found in the text can be covered; that bounds the coverage, and items are taken by falling bound, until neither the threshold
+nor the best coverage so far can be reached. Such a text and item are tiled by running Karp-Rabin: at a falling match length, rolling hashes over the item's unmarked words are looked
 up with those over the text's, hits are checked and extended on words, and the longest match is marked again and again
 until none of five words is left. The share of the item's words that is marked is its coverage, whatever the order of the
 tiles, so that reordered passages are caught.
@@ -130,11 +131,12 @@ def near_seeds(hits: np.ndarray, n_words: int, reach: int) -> list[tuple[int, in
     return [(a, b) for a, b in out]
 
 
-def coverage(docs: DataFrame, benchmark: DataFrame, *, max_seeds: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id, covered, item_words, tiles and share for each pair of rows that shares a seed.
+def coverage(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, max_seeds: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id, covered, item_words, tiles and share of pairs of rows that share a seed.
 
-    Both tables have the columns doc_id or item_id, and text. Items of fewer than five words count as one seed of
-    that length; items without words match nothing. The join with the seeds is a look-up in a table of at most
+    For each row of `docs` these are the pairs with a share of `threshold` or more and a pair with the largest share, from
+    each part of the benchmark. Both tables have the columns doc_id or item_id, and text. Items of fewer than five words count
+    as one seed of that length; items without words match nothing. The join with the seeds is a look-up in a table of at most
     `max_seeds` rows that each task holds.
     """
     total = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.count(F.lit(1)).alias("k")).first()
@@ -143,56 +145,100 @@ def coverage(docs: DataFrame, benchmark: DataFrame, *, max_seeds: int = 1_000_00
     for part in range(parts):
         own = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = [(r["item_id"], (r["text"] or "").encode()) for r in own.collect()]  # bounded by max_seeds
-        one = _cover(docs, rows)
+        one = _cover(docs, rows, threshold)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _cover(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
-    items = [(i, word_list(t.lower())) for i, t in rows]
-    seeds: dict[int, dict[int, list[int]]] = {}  # length -> hash -> items
-    for k, (_, words) in enumerate(items):
-        size = min(SEED_WORDS, len(words))
-        if size:
-            data, at = bw.texts(pa.array([b" ".join(words)], pa.large_binary()), lower=True)
-            starts, ends, _ = bw.words(data, at, bw.WORDLIKE)
-            for h in set(bw.shingles(bw.range_hashes(data, starts, ends), size).tolist()):
-                seeds.setdefault(size, {}).setdefault(h, []).append(k)
-    shared = docs.sparkSession.sparkContext.broadcast((items, seeds))  # at most max_seeds rows
+class Seeds:
+    """The seeds of some items: which items have a seed, and where.
+
+    hashes: the distinct seeds, sorted; cuts, item, place: the items and places of the seed i are those from cuts[i] to
+    cuts[i + 1]; own: the seeds of each item at its places."""
+
+    def __init__(self, items: list[list[bytes]]):
+        self.items, self.size = items, np.array([min(SEED_WORDS, len(w)) for w in items], np.int64)
+        data, at = bw.texts(pa.array([b" ".join(w) for w in items], pa.large_binary()), lower=True)
+        starts, ends, first = bw.words(data, at, bw.WORDLIKE)
+        hashes = bw.range_hashes(data, starts, ends)
+        by_size = {s: bw.shingles(hashes, s) for s in set(self.size.tolist()) - {0}}
+        each = [by_size[s][a : b - s + 1] if s else np.zeros(0, bw.U) for s, a, b in zip(self.size.tolist(), first[:-1].tolist(), first[1:].tolist())]
+        item = np.repeat(np.arange(len(items)), [len(e) for e in each])
+        place = np.concatenate([np.zeros(0, np.int64)] + [np.arange(len(e)) for e in each])
+        self.hashes, seed = np.unique(np.concatenate([np.zeros(0, bw.U), *each]), return_inverse=True)
+        order = np.argsort(seed, kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.cuts = np.searchsorted(seed[order], np.arange(len(self.hashes) + 1))
+        self.own = np.split(seed, np.cumsum([len(e) for e in each])[:-1]) if items else []
+        self.sizes = sorted(by_size)
+        self.flags = np.zeros(1 << 20, bool)
+        self.flags[(self.hashes >> bw.U(44)).astype(np.int64)] = True
+
+    def bounds(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items that have any of the seeds `found` (distinct), and how many of their words lie in these seeds at most."""
+        n = self.cuts[found + 1] - self.cuts[found]
+        at = np.arange(n.sum()) + np.repeat(self.cuts[found] - (np.cumsum(n) - n), n)
+        order = np.lexsort((self.place[at], self.item[at]))
+        item, place = self.item[at][order], self.place[at][order]
+        new = np.append(True, item[1:] != item[:-1])
+        covers = self.size[item]
+        covers[:-1] = np.where(new[1:], covers[:-1], np.minimum(covers[:-1], place[1:] - place[:-1]))
+        begin = np.flatnonzero(new)
+        return item[begin], np.add.reduceat(covers, begin)
+
+
+def _cover(docs: DataFrame, rows: list[tuple[int, bytes]], threshold: float) -> DataFrame:
+    ids, items = [i for i, _ in rows], [word_list(t.lower()) for _, t in rows]
+    shared = docs.sparkSession.sparkContext.broadcast((ids, Seeds(items)))  # at most max_seeds rows
+
+    def tiled(words: list[bytes], places: np.ndarray, found: np.ndarray, seeds: Seeds) -> Iterator[tuple]:
+        """(item, covered, item_words, tiles, share), items by falling bound of the share, until neither the threshold nor
+        the best share so far can be reached."""
+        item, bound = seeds.bounds(np.unique(found))
+        length = np.array([len(seeds.items[k]) for k in item.tolist()])
+        best = (0.0, None)
+        for x in np.lexsort((item, -bound / length)).tolist():
+            k, n = int(item[x]), int(length[x])
+            if bound[x] / n < threshold and bound[x] / n <= best[0]:
+                break
+            text: list = []
+            for a, b in near_seeds(places[np.isin(found, seeds.own[k])], len(words), n):
+                text += [*words[a:b], None]  # None equals no word
+            tiles = tile(seeds.items[k], text, min(SEED_WORDS, n))
+            covered = sum(m for _, _, m in tiles)
+            one = (k, covered, n, len(tiles), covered / n)
+            if covered / n >= threshold:
+                yield one
+            if covered / n > best[0]:
+                best = (covered / n, one)
+        if best[1] and best[0] < threshold:
+            yield best[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seeds = shared.value
-        tables = {}
-        for size, by_hash in seeds.items():
-            hashes = np.sort(np.array(list(by_hash), bw.U))
-            flags = np.zeros(1 << 20, bool)
-            flags[(hashes >> bw.U(44)).astype(np.int64)] = True
-            tables[size] = hashes, flags
+        ids, seeds = shared.value
         for batch in bw.small(batches, "text"):
             data, at = bw.texts(batch.column("text"), lower=True)
             starts, ends, first = bw.words(data, at, bw.WORDLIKE)
             hashes = bw.range_hashes(data, starts, ends)
-            pairs: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for size, (known, flags) in tables.items():
+            hits = []
+            for size in seeds.sizes:
                 own = bw.shingles(hashes, size)
-                at_word = np.flatnonzero(flags[(own >> bw.U(44)).astype(np.int64)])
-                at_word = at_word[np.isin(own[at_word], known)]
-                row = np.searchsorted(first, at_word, side="right") - 1
-                inside = at_word + size <= first[row + 1]
-                for w, r in zip(at_word[inside].tolist(), row[inside].tolist()):
-                    for k in seeds[size][int(own[w])]:
-                        pairs[r, k].append(w - int(first[r]))
+                word = np.flatnonzero(seeds.flags[(own >> bw.U(44)).astype(np.int64)])
+                seed = np.searchsorted(seeds.hashes, own[word])
+                known = seeds.hashes[np.minimum(seed, len(seeds.hashes) - 1)] == own[word]
+                word, seed = word[known], seed[known]
+                row = np.searchsorted(first, word, side="right") - 1
+                inside = word + size <= first[row + 1]
+                hits.append(np.stack([row[inside], word[inside] - first[row[inside]], seed[inside]]))
+            row, place, seed = np.concatenate(hits, axis=1) if hits else np.zeros((3, 0), np.int64)
+            order = np.lexsort((place, row))
+            row, place, seed = row[order], place[order], seed[order]
             out = []
-            for (r, k), hits in sorted(pairs.items()):
+            for r in np.unique(row).tolist():
+                a, b = np.searchsorted(row, [r, r + 1])
                 words = word_list(data[at[r] : at[r + 1]].tobytes())
-                item_id, item = items[k]
-                text: list = []
-                for a, b in near_seeds(np.array(hits), len(words), len(item)):
-                    text += [*words[a:b], None]  # None equals no word
-                tiles = tile(item, text, min(SEED_WORDS, len(item)))
-                covered = sum(n for _, _, n in tiles)
-                if covered:
-                    out.append((batch.column("doc_id")[r].as_py(), item_id, covered, len(item), len(tiles), covered / len(item)))
+                for k, *told in tiled(words, place[a:b], seed[a:b], seeds):
+                    out.append((batch.column("doc_id")[r].as_py(), ids[k], *told))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
                 names = ["doc_id", "item_id", "covered", "item_words", "tiles", "share"]
@@ -218,7 +264,7 @@ def decontaminate(
     """
     rows = own_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     bench = own_columns(benchmark, item_id=item_col, text=text_col).withColumn("item_id", F.col("item_id").cast("long"))
-    pairs = coverage(rows, bench, max_seeds=max_seeds)
+    pairs = coverage(rows, bench, threshold=threshold, max_seeds=max_seeds)
     bad = F.when(F.col("share") >= threshold, F.col("item_id"))
     return pairs.groupBy("doc_id").agg(
         (F.max("share") >= threshold).alias("contaminated"),

@@ -135,3 +135,30 @@ def test_very_long_texts(spark):
     assert {(r.doc_id, r.keep_id, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()} == {
         (1, 2, hashlib.sha256(long.encode()).hexdigest()), (2, 2, hashlib.sha256(long.encode()).hexdigest()), (3, 3, hashlib.sha256(b"short").hexdigest())
     }
+
+
+def test_a_common_stem_makes_no_pairs(spark):
+    rng = random.Random(4)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    stem = "which of the following is true".split()
+    items = [stem + say(20 + i % 7) for i in range(60)]
+    texts = [say(15) + stem + say(15) for _ in range(60)] + [say(9) + items[3] + say(4) + items[5][::-1], items[7][9:] + say(3) + items[7][:9]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    shares = {(d, i): sum(n for _, _, n in plain_tiles(item, text, 5)) / len(item) for d, text in enumerate(texts) for i, item in enumerate(items)}
+    for threshold in (0.8, 0.2):
+        got = decontaminate.coverage(docs, bench, threshold=threshold).collect()
+        wanted = {k for k, s in shares.items() if s >= threshold}
+        assert {(r["doc_id"], r["item_id"]) for r in got if r["share"] >= threshold} == wanted
+        assert all(r["share"] == shares[r["doc_id"], r["item_id"]] for r in got)
+        assert len(got) <= len(texts) + len(wanted)
+        best = {r["doc_id"]: r["share"] for r in sorted(got, key=lambda r: r["share"])}
+        assert best == {d: max(shares[d, i] for i in range(len(items))) for d in range(len(texts))}
+
+
+def test_rows_to_learn_from_are_bounded_where_ids_repeat(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("cast(1 AS long) AS doc_id", "concat('some words ', id) AS text")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(x.shape) or quality.RuleEnsemble(0.0))
+    quality.learn(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), max_rows=10)
+    assert seen == [(10, len(quality.STATISTICS))]
