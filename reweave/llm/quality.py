@@ -215,7 +215,8 @@ def learn(
     """The model fitted to labelled rows that are not held out.
 
     Of several labels for one document the mean decides, null labels don't count. Of the labelled documents in `docs`,
-    the `max_rows` with the smallest hash of their id train the model; only their texts are read for it.
+    the `max_rows` with the smallest hash of their id train the model; only their texts are read for it. Where rows share
+    an id, each of them is a row to learn from, and again at most `max_rows` of all rows, in the same order, are taken.
     """
     rows = own_columns(docs, doc_id=id_col, text=text_col)
     marks = own_columns(labels, doc_id=id_col, y=label_col).filter("y IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
@@ -227,7 +228,8 @@ def learn(
     )
     chosen = written(chosen, "sample")
     stats, prefix = with_statistics(rows.join(F.broadcast(chosen), "doc_id"))  # at most max_rows small rows
-    found = stats.select("y", *(prefix + s for s in STATISTICS)).collect()  # at most max_rows, for unique ids
+    names = [prefix + s for s in STATISTICS]
+    found = stats.orderBy(F.xxhash64("doc_id"), "doc_id", *names).select("y", *names).limit(max_rows).collect()
     known = np.array(sorted(tuple(map(float, r)) for r in found)).reshape(-1, 1 + len(STATISTICS))
     return fit(known[:, 1:], (known[:, 0] >= 0.5).astype(float))
 
