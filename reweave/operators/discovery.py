@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reweave.operators.containment import contained
+
 HITS = ["source", "pattern_label", "pattern_iri", "match_label", "url", "details"]
 #: Method -> pattern with the IRI as its first group (fixed values).
 IRI_PATTERNS = {
@@ -116,16 +118,10 @@ def distinct_hits(hits: DataFrame, order: str) -> DataFrame:
 
 
 def containing_files(patterns: DataFrame, files: DataFrame) -> DataFrame:
-    """pattern_iri and the file that holds it with the shortest path, then the smallest name.
-
-    Files are cut into what could be addresses; each is met by all its own prefixes that some pattern's length has,
-    so the join is on equality.
-    """
-    lengths = patterns.select(F.char_length("pattern_iri").alias("n")).distinct().collect()  # no more than the longest IRI has characters
-    words = files.select("file", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(https?://[^\s<>\"']+)"), 1))).alias("word"))
-    sizes = F.filter(F.array(*[F.lit(r["n"]) for r in lengths]).cast("array<int>"), lambda n: n <= F.char_length("word"))
-    heads = words.withColumn("n", F.explode(sizes)).withColumn("pattern_iri", F.expr("left(word, n)"))
-    met = heads.join(patterns.select("pattern_iri").distinct(), "pattern_iri").select("pattern_iri", "file").distinct()
+    """pattern_iri, the file that holds it with the shortest path, then the smallest name, and n_files, how many hold it.
+
+    Patterns that no file holds are left out; see `contained`."""
+    met = contained(files, patterns).distinct()
     return met.groupBy("pattern_iri").agg(F.min_by("file", F.struct(F.char_length("file"), F.col("file"))).alias("file"), F.count(F.lit(1)).alias("n_files"))
 
 

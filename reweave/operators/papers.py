@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+from difflib import SequenceMatcher
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from reweave.functions.labels import jaccard, word_tokens
-from reweave.operators.simjoin import sequence_ratio
+from reweave.operators.order import quantiles
 
 #: Phrases that are no part of a title (fixed values).
 TITLE_NOISE = ["ceur-ws.org", "ceur workshop", "ceur workshop proceedings", "ontologydesignpatterns.org", "submission:", "submissions:"]
@@ -54,27 +59,68 @@ def download_name(text: Column, most: int = 140) -> Column:
     return F.coalesce(F.nullif(F.btrim(t, F.lit("_")), F.lit("")), F.lit("file"))
 
 
+def has_evidence(addresses: Column, venue: Column, address_pattern: str, venue_pattern: str) -> Column:
+    """Whether any of the addresses (an array) fits one pattern, or the venue's name the other, in any case."""
+    at = F.array_join(F.transform(addresses, lambda a: F.coalesce(a, F.lit(""))), " ")
+    return F.coalesce(at, F.lit("")).rlike("(?iU)" + address_pattern) | F.coalesce(venue, F.lit("")).rlike("(?iU)" + venue_pattern)
+
+
 def year_bonus(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.when(d == 0, 0.15).when(d == 1, 0.10).when(d == 2, 0.05).when(d.isNotNull(), -0.10).otherwise(0.0)
 
 
-def linkage_candidates(seeds: DataFrame, works: DataFrame, venue_pattern: str, ratio: bool = True) -> DataFrame:
-    """Every (seed, work) that shares a title word, with score parts and score.
+#: What year, evidence and hint can add to a score.
+MOST_BONUS = 0.30
+
+
+@F.pandas_udf(DoubleType())
+def _needed_ratio(a: pd.Series, b: pd.Series, need: pd.Series) -> pd.Series:
+    """The sequence matcher's ratio; null where the letters in common can't give the ratio that is needed."""
+    letters = {x: Counter(x) for x in {*a, *b}}
+
+    def of(x: str, y: str, least: float) -> float | None:
+        if 2 * (letters[x] & letters[y]).total() < least * (len(x) + len(y)) - 1e-9:
+            return None
+        return SequenceMatcher(a=x, b=y).ratio() if x and y else 0.0
+
+    return pd.Series([of(x, y, n) for x, y, n in zip(a, b, need)], dtype=float)
+
+
+def linkage_candidates(seeds: DataFrame, works: DataFrame, venue_pattern: str, ratio: bool = True, threshold: float | None = None, list_size: int = 10_000) -> DataFrame:
+    """Every (seed, work) that shares a title word, with score parts and score; with `threshold`, those that reach it.
 
     seeds: seed_id, title, year, hint; works: work_id, title, year, venue. Without a shared word no pair can reach a
     threshold above 0.7. With `ratio=False` the similarity is the word Jaccard alone.
+
+    A threshold says how much of the words two titles must share, whatever else they have in common; so titles meet on the
+    rarest of their words only. Years, evidence and hints are added next, then the most that the letters allow the ratio,
+    and only pairs of titles that can still reach the threshold are matched. The works of a word are dealt into lists of about
+    `list_size` titles.
     """
     plain = F.lower(squeeze(F.col("title")))
     s = seeds.select("seed_id", F.col("title").alias("seed_title"), plain.alias("seed_plain"), F.col("year").alias("seed_year"), "hint")
     w = works.select("work_id", "title", plain.alias("plain"), "year", "venue")
+    whole, word_part = (0.4, 0.6) if ratio else (0.0, 1.0)
+    least = 0.0 if threshold is None else max(0.0, (threshold - MOST_BONUS - whole) / word_part)
+
     # distinct titles meet and are scored once, however many rows have them
-    words = lambda df, t: df.select(t).distinct().select(t, F.explode(F.array_distinct(word_tokens(F.col(t)))).alias("word"))
-    met = words(s, "seed_plain").join(words(w, "plain"), "word").select("seed_plain", "plain").distinct()
-    a, b = F.col("seed_plain"), F.col("plain")
-    sim = jaccard(F.array_distinct(word_tokens(a)), F.array_distinct(word_tokens(b)))
-    met = met.withColumn("sim", sim * 0.6 + sequence_ratio(a, b) * 0.4 if ratio else sim)
-    rows = s.join(met, "seed_plain").join(w, "plain").drop("plain", "seed_plain")
+    words = lambda df, t: df.select(F.col(t).alias("t")).distinct().select("t", F.explode(F.array_distinct(word_tokens(F.col("t")))).alias("word"))
+    mine, theirs = words(s, "seed_plain"), words(w, "plain")
+    often = mine.select("word", F.lit(0).alias("of_works")).unionByName(theirs.select("word", F.lit(1).alias("of_works")))
+    often = often.groupBy("word").agg(F.count(F.lit(1)).alias("df"), (F.floor(F.sum("of_works") / list_size) + 1).alias("lists"))
+
+    def rare(df: DataFrame, name: str) -> DataFrame:
+        own = Window.partitionBy("t")
+        rows = df.join(often, "word").withColumns({"at": F.row_number().over(own.orderBy("df", "word")), "size": F.count(F.lit(1)).over(own)})
+        return rows.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("word", "lists", F.col("t").alias(name))
+
+    left = rare(mine, "seed_plain").withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1))).drop("lists")
+    right = rare(theirs, "plain").withColumn("list", F.pmod(F.xxhash64("plain"), F.col("lists"))).drop("lists")
+    met = left.join(right, ["word", "list"]).select("seed_plain", "plain").distinct()
+    shared = jaccard(F.array_distinct(word_tokens(F.col("seed_plain"))), F.array_distinct(word_tokens(F.col("plain"))))
+    met = met.withColumn("shared", shared).filter(F.col("shared") >= least - 1e-9)
+    rows = s.join(met, "seed_plain").join(w, "plain")
     evidence = F.col("venue").rlike("(?i)" + venue_pattern)
     hinted = (F.coalesce("hint", F.lit("")) != "") & F.contains(F.lower("venue"), F.lower("hint"))
     rows = rows.withColumns(
@@ -84,7 +130,17 @@ def linkage_candidates(seeds: DataFrame, works: DataFrame, venue_pattern: str, r
             "hint_bonus": F.when(hinted, 0.05).otherwise(0.0),
         }
     )
-    return rows.withColumn("score", F.col("sim") + F.col("year_bonus") + F.col("evidence_bonus") + F.col("hint_bonus"))
+    bonus = F.col("year_bonus") + F.col("evidence_bonus") + F.col("hint_bonus")
+    if not ratio:
+        rows = rows.withColumn("sim", F.col("shared"))
+    else:
+        need = F.lit(0.0) if threshold is None else (threshold - F.col("bonus") - F.col("shared") * word_part) / whole
+        pairs = rows.groupBy("seed_plain", "plain", "shared").agg(F.max(bonus).alias("bonus")).withColumn("need", need)
+        pairs = pairs.filter("need <= 1 + 1e-9").select("seed_plain", "plain", _needed_ratio("seed_plain", "plain", "need").alias("ratio")).filter("ratio IS NOT NULL")
+        rows = rows.join(pairs, ["seed_plain", "plain"]).withColumn("sim", F.col("shared") * word_part + F.col("ratio") * whole).drop("ratio")
+    rows = rows.withColumn("score", F.col("sim") + F.col("year_bonus") + F.col("evidence_bonus") + F.col("hint_bonus")).drop("plain", "seed_plain", "shared")
+    columns = ["seed_id", "seed_title", "seed_year", "hint", "work_id", "title", "year", "venue", "sim", "year_bonus", "evidence_bonus", "hint_bonus", "score"]
+    return rows.select(*columns) if threshold is None else rows.select(*columns).filter(F.col("score") >= threshold)
 
 
 def best_matches(scored: DataFrame, threshold: float, year_tolerance: int, need_evidence: bool = False) -> DataFrame:
@@ -248,7 +304,9 @@ def value_counts(rows: DataFrame, column: str, order: str | None = None) -> Data
 def citation_stats(papers: DataFrame, key: str) -> DataFrame:
     """total, mean, median, least and most citations for each key."""
     c = F.col("citations")
-    return papers.groupBy(key).agg(F.sum(c).alias("total"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("least"), F.max(c).alias("most"))
+    sums = papers.groupBy(key).agg(F.sum(c).alias("total"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"))
+    middle = quantiles(papers, "citations", {"median": 0.5}, (key,)).select(F.col(key).alias("of"), "median")
+    return sums.join(middle, F.col(key).eqNullSafe(F.col("of")), "left").select(key, "total", "mean", "median", "least", "most")
 
 
 def classification_summary(rows: DataFrame, key: str) -> DataFrame:
@@ -278,9 +336,22 @@ def statistics(named_tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@F.pandas_udf(StringType())
+def _decomposed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
+
+
+def folded(text: Column) -> Column:
+    """`text` decomposed for compatibility, without combining marks, in lower case; null is empty.
+
+    No built-in function decomposes; texts of ASCII only, which stay as they are but for their case, don't go to Python."""
+    beyond = F.octet_length(text) != F.char_length(text)
+    return F.coalesce(F.when(beyond, _decomposed(F.when(beyond, text))).otherwise(F.lower(text)), F.lit(""))
+
+
 def contains_folded(text: Column, part: Column) -> Column:
-    """Whether `text` holds `part`, without regard to case and accents."""
-    return F.contains(F.collate(text, "UNICODE_CI_AI"), F.collate(part, "UNICODE_CI_AI"))
+    """Whether `text` holds `part`, both folded."""
+    return F.contains(folded(text), folded(part))
 
 
 def citations(pages: DataFrame, cap: int) -> DataFrame:

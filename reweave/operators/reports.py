@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reweave.functions.labels import percent
 from reweave.operators.constructs import CONSTRUCTS
-from reweave.storage import written
+from reweave.operators.order import quantiles, ranked
 
 THRESHOLDS = [100, 90, 80, 70, 60, 50, 25, 10]
 BANDS = [("eq_100", 100, None), ("ge95_lt100", 95, 100), ("ge90_lt95", 90, 95), ("ge85_lt90", 85, 90), ("ge80_lt85", 80, 85)]
@@ -77,26 +77,16 @@ def pair_complexity(pairs: DataFrame, constructs: DataFrame) -> DataFrame:
     return unpivot(out, [], out.columns, "metric", "value")
 
 
-def _ranked(df: DataFrame, column: str) -> DataFrame:
-    """`df` in order of `column`, with `before`, the sum of `n` in partitions before, and `own`, that up to the row in its
-    own: rows are dealt by ranges and only one number for each partition meets in one place."""
-    dealt = written(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("part", F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy("part").agg(F.sum("n").alias("of_part"))
-    before = F.coalesce(F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("part", before.alias("before"), F.sum("of_part").over(Window.partitionBy()).alias("all"))  # a row for each partition
-    return dealt.join(F.broadcast(sums), "part").withColumn("own", F.sum("n").over(Window.partitionBy("part").orderBy(column)))
-
-
 def cumulative_share(df: DataFrame, column: str) -> DataFrame:
     """Each distinct value with its count and the share of values up to it."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return _ranked(counts, column).select(column, "n", ((F.col("before") + F.col("own")) / F.col("all")).alias("share"))
+    return ranked(counts, column).select(column, "n", ((F.col("before") + F.col("own")) / F.col("all")).alias("share"))
 
 
 def empirical_cdf(df: DataFrame, column: str) -> DataFrame:
     """A row for each value, ties too, with its rank / n."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    rows = _ranked(counts, column).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = ranked(counts, column).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return rows.select(column, ((F.col("before") + F.col("own") - F.col("n") + F.col("k")) / F.col("all")).alias("share"))
 
 
@@ -141,10 +131,8 @@ def pair_summary(pairs: DataFrame, constructs: DataFrame) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(
-        F.min(column).alias("low"), F.percentile(column, F.lit(0.25)).alias("q1"), F.median(column).alias("median"),
-        F.percentile(column, F.lit(0.75)).alias("q3"), F.max(column).alias("high"), F.count(column).alias("n"),
-    )
+    """low, q1, median, q3, high and n of the values, exactly."""
+    return quantiles(df, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def construct_summary(df: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HIT = ["source", "pattern_label", "pattern_iri", "match_label", "url", "details"]
 CODE_SEARCH = "items array<struct<path:string,html_url:string,repository:struct<full_name:string>>>"
@@ -86,18 +90,36 @@ def looked_up(own: DataFrame, by_doi: DataFrame, by_title: DataFrame, columns: l
     return out.select(*own.columns, *[F.coalesce(f"d_{c}", f"t_{c}").alias(c) for c in columns])
 
 
-def as_text(value: Column, depth: int = 3) -> Column:
+#: The fields that hold an object's address, in the order in which they are asked (fixed values).
+ADDRESS_KEYS = ("uri", "@id", "id", "value", "url", "href")
+
+
+def _text_of(value: object) -> str:
+    if isinstance(value, list):
+        return next((t for t in map(_text_of, value) if t), "")
+    if isinstance(value, dict):
+        key = next((k for k in ADDRESS_KEYS if k in value), None)
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":")) if key is None else _text_of(value[key])
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value)
+
+
+@F.pandas_udf(StringType())
+def _nested_text(values: pd.Series) -> pd.Series:
+    def of(said: str | None) -> str | None:
+        try:
+            return said and _text_of(json.loads(said))
+        except ValueError:
+            return said
+
+    return values.map(of)
+
+
+def as_text(value: Column) -> Column:
     """A landed JSON value as text: the first list item that is not empty, the address of an object (uri, @id, id, value,
-    url or href, in this order), other objects as JSON, and null as empty. Lists and objects nest up to `depth` levels."""
-    if not depth:
-        return F.coalesce(value, F.lit(""))
-    items = F.transform(F.from_json(value, "array<string>"), lambda e: as_text(e, depth - 1))
-    fields = F.from_json(value, "map<string,string>")
-    key = F.try_element_at(F.filter(F.array(*[F.lit(k) for k in ("uri", "@id", "id", "value", "url", "href")]), lambda k: F.map_contains_key(fields, k)), F.lit(1))
-    picked = F.when(key.isNotNull(), as_text(F.try_element_at(fields, key), depth - 1)).otherwise(value)
-    first = F.try_element_at(F.filter(items, lambda x: x != ""), F.lit(1))
-    said = F.when(F.trim(value).startswith("["), first).when(F.trim(value).startswith("{"), picked).otherwise(value)
-    return F.coalesce(said, F.lit(""))
+    url or href, in this order), other objects as JSON, and null as empty. Lists and objects nest to any depth; what is
+    no JSON stays as it is. Only lists and objects go to Python."""
+    nested = F.trim(value).rlike(r"^[\[{]")
+    return F.coalesce(F.when(nested, _nested_text(F.when(nested, value))).otherwise(value), F.lit(""))
 
 
 CATALOG = "results array<map<string,string>>"
@@ -110,7 +132,7 @@ def catalog_hits(term_pages: DataFrame, vocabulary_pages: DataFrame) -> DataFram
         return pages.select("pattern_label", "pattern_iri", F.explode(F.from_json("json", CATALOG)["results"]).alias("x"))
 
     of = lambda m, k: F.nullif(F.try_element_at(m, F.lit(k)), F.lit(""))
-    text = lambda *values: as_text(F.coalesce(*values, F.lit("")), 2)
+    text = lambda *values: as_text(F.coalesce(*values, F.lit("")))
     x, vocab = F.col("x"), F.from_json(F.try_element_at("x", F.lit("vocabulary")), "map<string,string>")
     terms = rows(term_pages).select(
         F.lit("lov-terms").alias("source"), "pattern_label", "pattern_iri",
