@@ -66,6 +66,18 @@ def ngrams(text: Column, n: int = 3) -> Column:
     )
 
 
+def hashed_vector(text: Column, size: int = 64) -> Column:
+    """A vector of `size` numbers that counts the text's trigrams, each at a place that follows from its characters.
+
+    Texts of fewer than three characters are filled up with spaces; the empty text is all zeros. It stands in for a
+    learned embedding: texts with many trigrams in common have a high cosine."""
+    filled = F.when(F.char_length(text).between(1, 2), F.rpad(text, 3, " ")).otherwise(text)
+    code = lambda g, i: F.ascii(F.substring(g, i, 1))
+    places = F.transform(ngrams(filled), lambda g: (code(g, 1) * 961 + code(g, 2) * 31 + code(g, 3)) % size)
+    count = lambda own: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(own, lambda p: p == i)).cast("double"))
+    return F.transform(F.array(places), count)[0]  # the places are worked out once
+
+
 def bounded_levenshtein(a: Column, b: Column, most: int) -> Column:
     """The edit distance, or most + 1 where it is larger."""
     d = F.levenshtein(a, b, most)

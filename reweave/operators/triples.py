@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reweave.functions.labels import base_namespace, local_name, normalize_label, normalize_label_unicode
 from reweave.operators import simjoin
+from reweave.storage import written
 from reweave.vocab import IRIS, Vocabulary
 
 
@@ -136,12 +137,40 @@ def similar_label_reuse(pairs: DataFrame, named: DataFrame, alike: DataFrame, by
     return mine.join(theirs, keys, "left_semi").select("ontology_id", "pattern_id", "kind", "iri").distinct()
 
 
+def hybrid_label_reuse(pairs: DataFrame, named: DataFrame, vectors: DataFrame, threshold: float, prefilter: float) -> DataFrame:
+    """As `label_reuse`, where characters decide first and vectors second, entity by entity.
+
+    An entity is reused if the best character cosine of its labels with the ontology's is at `threshold` or more. If it lies
+    below, but not below `prefilter` - 0.05, a cosine of label vectors at `threshold` or more decides. vectors: label,
+    embedding."""
+    one = ["ontology_id", "pattern_id", "kind", "iri"]
+    theirs = named.withColumnRenamed("graph_id", "ontology_id").select("ontology_id", F.col("label").alias("right_label")).distinct()
+    mine = pairs.join(named.withColumnRenamed("graph_id", "pattern_id"), "pattern_id").select(*one, F.col("label").alias("left_label"))
+    left, right = mine.select(F.col("left_label").alias("label")).distinct(), theirs.select(F.col("right_label").alias("label")).distinct()
+    near = written(simjoin.char_join(left, right, min(prefilter - 0.05, threshold)), "near")
+    best = mine.join(near, "left_label").join(theirs, ["ontology_id", "right_label"]).groupBy(*one).agg(F.max("similarity").alias("best"))
+    best = written(best, "best")
+    reached = F.col("best") >= threshold - 1e-12
+    gated = mine.join(best.filter(~reached & (F.col("best") >= prefilter - 0.05 - 1e-12)).select(*one), one)
+    gated = written(gated, "gated")
+    asked = gated.select(F.col("left_label").alias("label")).distinct().join(vectors, "label")
+    alike = simjoin.vector_join(asked, right.join(vectors, "label"), threshold, key="label").toDF("left_label", "right_label", "similarity")
+    by_vector = gated.join(alike, "left_label").join(theirs, ["ontology_id", "right_label"], "left_semi").select(*one)
+    return best.filter(reached).select(*one).unionByName(by_vector).distinct()
+
+
 def coverage_by_backend(pairs: DataFrame, found: DataFrame, by_graph: DataFrame, named: DataFrame, backends: dict[str, dict]) -> DataFrame:
-    """`coverage` under each backend, in the column `backend`. backends: similarity -> options of `similar_labels`."""
+    """`coverage` under each backend, in the column `backend`. backends: similarity -> options of `similar_labels`; `hybrid`
+    with vectors is `hybrid_label_reuse`."""
+    def reuse(name: str, options: dict) -> DataFrame:
+        if name == "hybrid" and options.get("vectors") is not None:
+            return hybrid_label_reuse(pairs, named, options["vectors"], options["threshold"], options.get("prefilter", 0.75))
+        return similar_label_reuse(pairs, named, similar_labels(mine, theirs, name, **options))
+
     mine = named.join(pairs.select(F.col("pattern_id").alias("graph_id")), "graph_id", "left_semi")
     theirs = named.join(pairs.select(F.col("ontology_id").alias("graph_id")), "graph_id", "left_semi")
     out = [
-        coverage(pairs, found, by_graph, similar_label_reuse(pairs, named, similar_labels(mine, theirs, name, **options))).withColumn("backend", F.lit(name))
+        coverage(pairs, found, by_graph, reuse(name, options)).withColumn("backend", F.lit(name))
         for name, options in backends.items()
     ]
     return reduce(lambda a, b: a.unionByName(b), out)

@@ -63,11 +63,14 @@ def direct(pairs: DataFrame, triples: DataFrame, found: DataFrame, reused: DataF
     return known.join(hit, [*PAIR, "iri"], "left").filter(F.coalesce("complete", "reused", F.lit(False))).select(*PAIR, "iri")
 
 
-def usage(pairs: DataFrame, triples: DataFrame, v: Vocabulary = IRIS) -> DataFrame:
-    """For each pair: FORMS (numbers of entities), import_only, isolated, connectivity_ratio and connected_props_*."""
-    found = tr.entities(triples, v)
-    used, spaces = tr.terms(triples), tr.namespaces(found)
-    reused = written(tr.graph_reuse(pairs, found, used), "reused")
+def usage(pairs: DataFrame, triples: DataFrame, v: Vocabulary = IRIS, *, found: DataFrame | None = None, used: DataFrame | None = None, reused: DataFrame | None = None) -> DataFrame:
+    """For each pair: FORMS (numbers of entities), import_only, isolated, connectivity_ratio and connected_props_*.
+
+    A caller that has the entities, terms and graph reuse already hands them in as `found`, `used` and `reused`."""
+    found = tr.entities(triples, v) if found is None else found
+    used = tr.terms(triples) if used is None else used
+    spaces = tr.namespaces(found)
+    reused = written(tr.graph_reuse(pairs, found, used), "reused") if reused is None else reused
     inside = written(tr.in_namespace(pairs, used, spaces), "inside")
     touched = touching(pairs, triples, inside)
     roles = found.groupBy(F.col("graph_id").alias("pattern_id"), "iri").agg(

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reweave.functions.labels import hashed_vector
 from reweave.operators import constructs as co
 from reweave.operators import discovery as di
 from reweave.operators import triples as tr
 from reweave.operators import usage as us
 from reweave.plans.bindings import CTE, graphs, triples
+from reweave.storage import written
 from reweave.vocab import SHORT
 
 
+#: Threshold and prefilter of the hybrid similarity.
+HYBRID = (0.61, 0.4)
+
+
 class Graphs:
     """What most queries start from, declared once."""
 
@@ -39,6 +45,16 @@ def coverage_under(spark: SparkSession, sf_dir: str, backends: dict[str, dict])
     return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
 
 
+def coverage_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters first, and vectors of hashed trigrams where they come near."""
+    g = Graphs(spark, sf_dir)
+    named = written(g.labels, "labels")
+    vectors = named.select("label").distinct().withColumn("embedding", hashed_vector(F.col("label")))
+    options = {"threshold": HYBRID[0], "prefilter": HYBRID[1], "vectors": vectors}
+    out = tr.coverage_by_backend(g.pairs, g.found, g.reuse(), named, {"hybrid": options}).drop("backend")
+    return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
+
+
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.entity_counts(Graphs(spark, sf_dir).found)
 
@@ -85,7 +101,7 @@ QUERIES = {
     "graph_coverage": coverage_graph,
     "graph_coverage_char": lambda s, d: coverage_under(s, d, {"char": {"threshold": 0.6}}).drop("backend"),
     "graph_coverage_word": lambda s, d: coverage_under(s, d, {"word": {"threshold": 0.5}}).drop("backend"),
-    "graph_coverage_hybrid": lambda s, d: coverage_under(s, d, {"hybrid": {"threshold": 0.6}}).drop("backend"),
+    "graph_coverage_hybrid": coverage_hybrid,
     "graph_coverage_backends": lambda s, d: coverage_under(s, d, {"exact": {"threshold": 1.0}, "char": {"threshold": 0.7}, "word": {"threshold": 0.7}, "auto": {"threshold": 0.7}}),
     "graph_import_rows": lambda s, d: di.as_hits(tr.imports(triples(s, d), "promo", None, SHORT), "imports"),
     "graph_entity_counts": entity_counts,
@@ -202,10 +218,33 @@ def similar_coverage(name: str, threshold: float) -> str:
     SELECT *, round(reused_total_graph / pattern_total, 6) AS coverage_graph, round(reused_total_label / pattern_total, 6) AS coverage_label FROM cov"""
 
 
+def hybrid_coverage(threshold: float, prefilter: float) -> str:
+    """Coverage where the best character cosine of an entity decides, and near it the cosine of hashed trigrams."""
+    place = "(unicode(substr(g, 1, 1)) * 961 + unicode(substr(g, 2, 1)) * 31 + unicode(substr(g, 3, 1))) % 64"
+    return CTE + f""", dl AS (SELECT DISTINCT label FROM lb), gr_ AS (SELECT label, unnest(CASE WHEN length(label) < 3 THEN [label] ELSE list_transform(range(1, length(label) - 1), lambda i: substr(label, i, 3)) END) AS g FROM dl),
+    gc AS (SELECT label, g, count(*) AS k FROM gr_ GROUP BY ALL), gn AS (SELECT label, sqrt(sum(k * k)) AS nm FROM gc GROUP BY label),
+    sm AS (SELECT a.label AS l, b.label AS r, sum(a.k * b.k) / (x.nm * y.nm) AS s FROM gc a JOIN gc b USING (g) JOIN gn x ON x.label = a.label JOIN gn y ON y.label = b.label
+      GROUP BY a.label, b.label, x.nm, y.nm HAVING sum(a.k * b.k) / (x.nm * y.nm) >= {min(prefilter - 0.05, threshold)} - 1e-12),
+    ol AS (SELECT DISTINCT graph_id, label FROM lb),
+    best AS (SELECT pr.ontology_id, pr.pattern_id, p.kind, p.iri, max(s) AS best FROM pr JOIN lb p ON p.graph_id = pattern_id JOIN sm ON l = p.label
+      JOIN ol o ON o.graph_id = ontology_id AND o.label = r GROUP BY ALL),
+    ga AS (SELECT ontology_id, pattern_id, b.kind, b.iri, p.label FROM best b JOIN lb p ON p.graph_id = pattern_id AND p.kind = b.kind AND p.iri = b.iri
+      WHERE best < {threshold} - 1e-12 AND best >= {prefilter - 0.05} - 1e-12),
+    hc AS (SELECT label, {place} AS h, count(*) AS k FROM gr_ GROUP BY ALL), hn AS (SELECT label, sqrt(sum(k * k)) AS nm FROM hc GROUP BY label),
+    vs AS (SELECT a.label AS l, b.label AS r FROM hc a JOIN hc b USING (h) JOIN hn x ON x.label = a.label JOIN hn y ON y.label = b.label
+      WHERE a.label IN (SELECT label FROM ga) GROUP BY a.label, b.label, x.nm, y.nm HAVING sum(a.k * b.k) / (x.nm * y.nm) >= {threshold}),
+    lr AS (SELECT DISTINCT ontology_id, pattern_id, kind, iri FROM best WHERE best >= {threshold} - 1e-12
+      UNION SELECT ontology_id, pattern_id, kind, iri FROM ga JOIN vs ON l = ga.label JOIN ol o ON o.graph_id = ontology_id AND o.label = r UNION SELECT * FROM ru),
+    cov AS (SELECT ontology_id, pattern_id, (SELECT count(DISTINCT iri) FROM e WHERE graph_id = pattern_id) AS pattern_total,
+      (SELECT count(DISTINCT iri) FROM ru WHERE ru.ontology_id = pr.ontology_id AND ru.pattern_id = pr.pattern_id) AS reused_total_graph,
+      (SELECT count(DISTINCT iri) FROM lr WHERE lr.ontology_id = pr.ontology_id AND lr.pattern_id = pr.pattern_id) AS reused_total_label FROM pr)
+    SELECT *, round(reused_total_graph / pattern_total, 6) AS coverage_graph, round(reused_total_label / pattern_total, 6) AS coverage_label FROM cov"""
+
+
 ORACLE_SQL = {
     "graph_coverage_char": similar_coverage("char", 0.6),
     "graph_coverage_word": similar_coverage("word", 0.5),
-    "graph_coverage_hybrid": similar_coverage("char", 0.6),
+    "graph_coverage_hybrid": hybrid_coverage(*HYBRID),
     "graph_coverage_backends": " UNION ALL ".join(
         f"SELECT *, '{n}' AS backend FROM ({sql})" for n, sql in (
             ("exact", CTE + _COVERAGE + "SELECT *, round(reused_total_graph / pattern_total, 6) AS coverage_graph, round(reused_total_label / pattern_total, 6) AS coverage_label FROM cov"),

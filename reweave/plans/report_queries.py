@@ -28,14 +28,23 @@ def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gq.Graphs(spark, sf_dir)
-    metrics = tr.coverage(g.pairs, g.found, g.reuse(), tr.label_reuse(g.pairs, g.labels)).withColumn("label_reuse_pct", F.col("coverage_label") * 100)
-    return metrics.join(us.usage(g.pairs, g.triples, SHORT).select(*us.PAIR, *us.FORMS), us.PAIR)
+    found, used = written(g.found, "entities"), written(g.terms, "terms")
+    reused = written(tr.graph_reuse(g.pairs, found, used), "reused")
+    labels = tr.labels(g.triples, found, SHORT)
+    metrics = tr.coverage(g.pairs, found, reused, tr.label_reuse(g.pairs, labels)).withColumn("label_reuse_pct", F.col("coverage_label") * 100)
+    forms = us.usage(g.pairs, g.triples, SHORT, found=found, used=used, reused=reused)
+    return metrics.join(forms.select(*us.PAIR, *us.FORMS), us.PAIR)
 
 
 def role_constructs(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     return gq.graph_constructs(spark, sf_dir).filter(F.col("graph_id").startswith(role))
 
 
+def named_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constructs of pattern graphs under names that several of them share."""
+    return role_constructs(spark, sf_dir, "pat").withColumn("name", F.char_length("graph_id") % 3)
+
+
 def with_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constructs of ontologies with a 0/1 flag for graph reuse of any pattern; without pairs it is 0."""
     g = gq.Graphs(spark, sf_dir)
@@ -88,6 +97,8 @@ QUERIES = {
     "report_pattern_constructs": lambda s, d: rounded(rp.construct_summary(rp.by_name(role_constructs(s, d, "pat"), "graph_id"))),
     "report_expressivity": lambda s, d: rounded(rp.expressivity_distribution(role_constructs(s, d, "ont"))),
     "report_pattern_expressivity": lambda s, d: rounded(rp.expressivity_distribution(rp.richest(role_constructs(s, d, "pat"), "graph_id", "graph_id"))),
+    "report_name_constructs": lambda s, d: rounded(rp.construct_summary(rp.by_name(named_patterns(s, d), "name"))),
+    "report_name_expressivity": lambda s, d: rounded(rp.expressivity_distribution(rp.richest(named_patterns(s, d), "name", "graph_id"))),
     "report_form_distribution": lambda s, d: rounded(rp.form_distribution(with_forms(s, d), us.FORMS)),
     "report_form_presence": lambda s, d: rp.form_presence(with_forms(s, d), "pattern_id", us.FORMS),
     "report_reuse_extent": lambda s, d: rounded(rp.reuse_extent(pair_metrics(s, d))),
@@ -127,6 +138,11 @@ ORACLE_SQL = {
     "report_pattern_constructs": _C + _SUMMARY.format(rows=_CON_ROWS("cs WHERE graph_id LIKE 'pat%'", "{c}::INT AS v")),
     "report_expressivity": _C + _DIST.format(role="ont"),
     "report_pattern_expressivity": _C + _DIST.format(role="pat"),
+    "report_name_constructs": _C + ", bn AS (SELECT length(graph_id) % 3 AS name, " + ", ".join(f'bool_or("{c}") AS "{c}"' for c in CONSTRUCTS)
+    + " FROM cs WHERE graph_id LIKE 'pat%' GROUP BY 1) " + _SUMMARY.format(rows=_CON_ROWS("bn", "{c}::INT AS v")),
+    "report_name_expressivity": _C + """, rn AS (SELECT expressivity FROM cs WHERE graph_id LIKE 'pat%'
+        QUALIFY row_number() OVER (PARTITION BY length(graph_id) % 3 ORDER BY dl_complexity_score DESC, graph_id DESC) = 1)
+        SELECT expressivity, count(*) AS count, round(count(*) / sum(count(*)) OVER () * 100, 6) AS percent FROM rn GROUP BY expressivity""",
     "report_form_distribution": _MF + f"SELECT form, sum(n)::BIGINT AS count, round(sum(n) / greatest(sum(sum(n)) OVER (), 1) * 100, 6) AS percent FROM ({_FORM_ROWS('mf', '{f} AS n')}) GROUP BY form",
     "report_form_presence": _MF + f"SELECT form, count(*) FILTER (n > 0) AS patterns, count(*) AS \"of\" FROM ({_FORM_ROWS('mf GROUP BY pattern_id', 'sum({f}) AS n')}) GROUP BY form",
     "report_reuse_extent": _M + """SELECT ontology_id, count(DISTINCT pattern_id) AS n_patterns, count(DISTINCT CASE WHEN reused_total_label > 0 THEN pattern_id END) AS n_label,

@@ -52,7 +52,7 @@ def read_triples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return triples.dropDuplicates(), lines.filter(~ok)
 
 
-def list_files(spark: SparkSession, base: str, extensions: list[str], max_bytes: int = 1_000_000_000, skip: tuple[str, ...] = ()) -> DataFrame:
+def list_files(spark: SparkSession, base: str, extensions: list[str], max_bytes: int = 1_000_000_000, skip: tuple[str, ...] = (), pattern_extensions: tuple[str, ...] = ("owl", "ttl")) -> DataFrame:
     """path, name, ext, repo (the folder below `base`) and size of files; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", F.col("length").alias("size"))
     name = F.substring_index("path", "/", -1)
@@ -65,7 +65,7 @@ def list_files(spark: SparkSession, base: str, extensions: list[str], max_bytes:
     root = root if root.startswith("/") else os.path.abspath(root)
     below = F.split(F.substring(F.regexp_replace("path", scheme, ""), F.lit(len(root) + 2), F.char_length("path")), "/")
     inside = F.when(F.size(below) > 1, below[0]).otherwise("")
-    return rows.withColumn("repo", inside).withColumn("role", F.when(F.col("path").rlike(r"/patterns/[^/]+\.(owl|ttl|nt)$"), "pattern").otherwise("ontology"))
+    return rows.withColumn("repo", inside).withColumn("role", F.when(F.col("path").rlike(rf"(?i)/patterns/[^/]+\.({'|'.join(pattern_extensions)})$"), "pattern").otherwise("ontology"))
 
 
 def looks_like_rdf(content: Column, ext: Column) -> Column:

@@ -49,3 +49,11 @@ def write_statistics(statistics: DataFrame, path: str) -> None:
 def write_citing(rows: DataFrame, path: str) -> None:
     """Citing works as CSV below seed_year=."""
     rows.write.mode("overwrite").partitionBy("seed_year").option("header", True).csv(path)
+
+
+def write_classified(rows: DataFrame, path: str) -> None:
+    """Classified rows as CSV, a folder NAME-classified for each file (column `file`) that they come from: `read_papers` with
+    the pattern of the CSV files below such folders reads them again. Other folders stay as they are."""
+    name = F.concat(F.regexp_replace(F.substring_index("file", "/", -1), r"(?<=.)\.[^.]*$", ""), F.lit("-classified"))
+    out = rows.withColumn("classified", name).drop("file")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("classified").option("header", True).csv(path)
