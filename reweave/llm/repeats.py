@@ -177,9 +177,13 @@ def repeated_ranges(
     # a stretch that is not lone stands for two at least
     often = each.groupBy("h", "w").agg(F.sum(F.when(F.col("lone"), 1).otherwise(2)).alias("n")).filter("n > 1").select("h", "w")
     often = written(often, "windows")
-    frequent = each.filter("lone").join(often, ["h", "w"], "left_semi").select(
-        "rid", (F.col("start") + F.col("i")).alias("a"), (F.col("start") + F.col("i") + window).alias("b")
-    )
+    frequent = each.filter("lone").join(often, ["h", "w"], "left_semi").select("rid", "h", "start", "i").repartition("rid")
+    # neighbouring windows of a stretch as one range, before anything is gathered for a text
+    at = frequent.groupBy("rid", "h", "start").agg(F.array_sort(F.collect_list("i")).alias("at"))  # a stretch has `reach` + 1 windows at most
+    begins = F.filter("at", lambda x, k: F.coalesce(F.get("at", k - 1) != x - 1, F.lit(True)))
+    ends = F.filter("at", lambda x, k: F.coalesce(F.get("at", k + 1) != x + 1, F.lit(True)))
+    runs = at.select("rid", "start", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("run"))
+    frequent = runs.select("rid", (F.col("start") + F.col("run.a")).alias("a"), (F.col("start") + F.col("run.b") + window).alias("b"))
     return complete.unionByName(near).unionByName(frequent)
 
 
