@@ -3,6 +3,8 @@
 The distinct pre-tokens of a batch of texts are sorted, which walks their trie depth first: a prefix that several
 pre-tokens share is scored once. Each trie node holds the least cost of cutting its prefix into vocabulary pieces
 (the forward score), the number of pieces, and the pieces still under way; a terminal node stores its pre-token's count.
+Nodes are held to a depth of `DEPTH` bytes; what a longer pre-token has beyond, an unbroken run of letters say, is scored
+with its last node only, so that its length takes no memory.
 
 A piece's cost comes from its rank in the vocabulary file by Zipf's law, -log(1 / (rank + 1)) in whole ten-thousandths,
 so sums are exact; of cuts with equal cost the one with the fewest pieces counts.
@@ -25,6 +27,9 @@ from reweave.llm.common import own_columns
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Bytes of a pre-token that others can share. Longer ones are scored from there on alone, with the same results.
+DEPTH = 256
+
 
 def read_pieces(path: str) -> dict[bytes, int]:
     """Piece -> cost, from a vocabulary file with a base64 piece and its rank in each line."""
@@ -57,23 +62,26 @@ class UnigramTrie:
         last = b""
         for word in sorted(words):
             shared = 0
-            for x, y in zip(last, word):
+            for x, y in zip(last[:DEPTH], word):
                 if x != y:
                     break
                 shared += 1
             del best[shared + 1 :], active[shared + 1 :]
-            for b in word[shared:]:
-                under, least = [], None
-                for node, c, n in active[-1]:
+            score, pending = best[-1], active[-1]
+            for at in range(shared, len(word)):
+                b, under, least = word[at], [], None
+                for node, c, n in pending:
                     node = step.get(node << 8 | b)
                     if node is not None:
                         under.append((node, c, n))
                         if (own := cost[node]) is not None and (least is None or (c + own, n + 1) < least):
                             least = (c + own, n + 1)
                 under.append((0, *least))
-                best.append(least)
-                active.append(under)
-            out[word] = (best[-1][1], best[-1][0])
+                score, pending = least, under
+                if at < DEPTH:
+                    best.append(score)
+                    active.append(pending)
+            out[word] = (score[1], score[0])
             last = word
         return out
 
