@@ -20,8 +20,14 @@ IRI_PATTERNS = {
     "Turtle <IRI> a owl:Ontology": r"(?im)^\s*<([^>]+)>\s+a\s+owl:Ontology\b",
     "owl:versionIRI": r"(?i)owl:versionIRI\s*<([^>]+)>",
 }
+#: The default prefix, and where it names an ontology (fixed values).
 DEFAULT_PREFIX = r"(?i)@prefix\s*:\s*<([^>]+)>\s*\."
 DEFAULT_IS_ONTOLOGY = r"(?im)^\s*:\s+a\s+owl:Ontology\b"
+#: An ending, the endings known, the page of a file, and what a name can't hold (fixed values).
+ENDING = r"\.([A-Za-z0-9]{2,6})(?:$|[?#])"
+ENDINGS = ["owl", "ttl", "rdf", "xml", "nt", "trig"]
+FILE_PAGE = r"^https?://github\.com/([^/]+)/([^/]+)/blob/([^/]+)/(.*)$"
+NOT_IN_NAMES = r"[^A-Za-z0-9._+\-]"
 
 
 def _tagged(method: str):
@@ -67,7 +73,7 @@ def is_generic_at_end(iri: Column, home: str) -> Column:
 
 
 def sanitize(label: Column, default: str = "unknown") -> Column:
-    s = F.regexp_replace(F.translate(F.trim(F.coalesce(label, F.lit(""))), "/\\", "__"), r"[^A-Za-z0-9._+\-]", "_")
+    s = F.regexp_replace(F.translate(F.trim(F.coalesce(label, F.lit(""))), "/\\", "__"), NOT_IN_NAMES, "_")
     return F.coalesce(F.nullif(F.btrim(F.regexp_replace(s, "_+", "_"), F.lit("_.")), F.lit("")), F.lit(default))
 
 
@@ -93,15 +99,14 @@ def methods_summary(files: DataFrame, found: DataFrame) -> DataFrame:
 
 def extension(url: Column, details: Column) -> Column:
     """The first known extension in url, then in details; `.owl` without any."""
-    of = lambda c: F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"\.([A-Za-z0-9]{2,6})(?:$|[?#])", 1))
-    known = lambda c: F.when(of(c).isin("owl", "ttl", "rdf", "xml", "nt", "trig"), F.concat(F.lit("."), of(c)))
+    of = lambda c: F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), ENDING, 1))
+    known = lambda c: F.when(of(c).isin(ENDINGS), F.concat(F.lit("."), of(c)))
     return F.coalesce(known(url), known(details), F.lit(".owl"))
 
 
 def raw_url(url: Column, raw_host: str) -> Column:
     """A file's raw address from its page's; null for other addresses."""
-    blob = r"^https?://github\.com/([^/]+)/([^/]+)/blob/([^/]+)/(.*)$"
-    return F.when(url.rlike(blob), F.regexp_replace(url, blob, f"https://{raw_host}/$1/$2/$3/$4"))
+    return F.when(url.rlike(FILE_PAGE), F.regexp_replace(url, FILE_PAGE, f"https://{raw_host}/$1/$2/$3/$4"))
 
 
 def stem(url: Column) -> Column:

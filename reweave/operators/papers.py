@@ -236,9 +236,9 @@ def named(texts: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
     rows = names.select("name", F.concat(F.lit(r"(?iU)(?<!\w)"), F.array_join(quoted, r"[\s\-_]*"), F.lit(r"(?!\w)")).alias("pattern"), F.lower(tokens[0]).alias("first"))
     rows = rows.filter("first IS NOT NULL").withColumn("n", F.char_length("first"))
     starts = texts.select(id_col, F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("word"))
-    lengths = rows.select("n").distinct().collect()  # no more than the longest first word has characters
-    sizes = F.filter(F.array(*[F.lit(r["n"]) for r in lengths]).cast("array<int>"), lambda n: n <= F.char_length("word"))
-    heads = starts.withColumn("n", F.explode(sizes)).withColumn("first", F.expr("left(word, n)"))
+    lengths = rows.agg(F.collect_set("n")).scalar()  # no more than the longest first word has characters
+    sized = starts.withColumn("sizes", lengths).withColumn("sizes", F.filter("sizes", lambda n: n <= F.char_length("word")))
+    heads = sized.withColumn("n", F.explode("sizes")).drop("sizes").withColumn("first", F.expr("left(word, n)"))
     met = heads.select(id_col, "first").distinct().join(rows, "first").join(texts.select(id_col, "text"), id_col)
     return met.filter(F.expr("rlike(text, pattern)")).select(id_col, "name").distinct()
 

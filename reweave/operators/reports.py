@@ -61,10 +61,10 @@ def histogram(df: DataFrame, column: str, edges: list[int]) -> DataFrame:
 def equal_width(df: DataFrame, column: str, bins: int) -> DataFrame:
     """bucket (from 1), count over equal parts of the range of values; the largest value is in the last part."""
     rows = df.filter(F.col(column).isNotNull())
-    low, high = rows.agg(F.min(column), F.max(column)).first()
-    width = (high - low) if low is not None and high != low else 1
-    at = F.floor((F.col(column) - F.lit(low)) / width * bins) + 1
-    return rows.groupBy(F.least(at, F.lit(bins if low != high else 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
+    ends = rows.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
+    at = F.when(low < high, F.least(F.floor((F.col(column) - low) / (high - low) * bins) + 1, F.lit(bins))).otherwise(1)
+    return rows.withColumn("bucket", at.cast("int")).groupBy("bucket").agg(F.count(F.lit(1)).alias("count"))
 
 
 def pair_complexity(pairs: DataFrame, constructs: DataFrame) -> DataFrame:

@@ -138,8 +138,13 @@ def read_texts(spark: SparkSession, base: str, extensions: list[str]) -> DataFra
     return rows.filter(reduce(lambda a, b: a | b, (F.lower("file").endswith(e.lower()) for e in extensions)))
 
 
+#: A line that names the ontology, what its IRI begins with, and the first URL or URN of a text (fixed values).
+ONTOLOGY_LINE = r"(?im)^\s*Ontology:\s*<([^>\s]+)>"
+IRI_START = r"^(https?://|urn:|ftp://)"
+ANY_IRI = r"(?i)(\b(?:https?|ftp)://[^\s\"'<>]+|\burn:[^\s\"'<>]+)"
+
+
 def fallback_iri(text: Column) -> Column:
     """The IRI of a text that no parser reads: that of an `Ontology:` line, else the first URL or URN; null without any."""
-    head = F.trim(F.regexp_extract(text, r"(?im)^\s*Ontology:\s*<([^>\s]+)>", 1))
-    named = F.when(head.rlike(r"^(https?://|urn:|ftp://)"), head)
-    return F.coalesce(named, F.nullif(F.regexp_extract(text, r"(?i)(\b(?:https?|ftp)://[^\s\"'<>]+|\burn:[^\s\"'<>]+)", 1), F.lit("")))
+    head = F.trim(F.regexp_extract(text, ONTOLOGY_LINE, 1))
+    return F.coalesce(F.when(head.rlike(IRI_START), head), F.nullif(F.regexp_extract(text, ANY_IRI, 1), F.lit("")))

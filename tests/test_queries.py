@@ -15,7 +15,7 @@ NAMES = [
     "papers_linkage_words", "papers_linkage_rounds", "papers_linkage_audit", "papers_merged", "papers_per_year", "papers_statistics",
     "papers_text_flags", "papers_name_hits", "hits_directory_summary", "hits_url_functions", "hits_containing_files", "hits_dataset_plan",
     "hits_first_seen", "hits_iri_rules", "hits_iri_rules_summary", "source_main_files", "source_values", "papers_capped", "papers_classified",
-    "papers_evidence", "papers_linkage_rounds_ranked", "papers_citation_stats", "report_five_numbers", "graph_coverage_hybrid",
+    "papers_evidence", "papers_linkage_rounds_ranked", "papers_citation_stats", "report_five_numbers", "report_equal_width", "graph_coverage_hybrid",
 ]
 needs_tables = pytest.mark.skipif(not pathlib.Path(DATA).exists(), reason="needs the tables")
 
