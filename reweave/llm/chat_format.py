@@ -54,6 +54,7 @@ def fold(events: DataFrame) -> DataFrame:
 
     Returns conv_id, turn, message, role, text. Null text and role count as empty; unknown kinds count as deltas;
     the role is that of the first event that names one. Messages that an event only empties stay, with empty text.
+    A null conv_id is a conversation of its own; empty logs give no rows.
     """
     placed = (
         events.select("conv_id", "turn", "message", "seq", "kind", "role", "text")
@@ -94,7 +95,8 @@ def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     """Each message as a piece of its formatted conversation: conv_id, turn, message, formatted, loss_start, loss_end.
 
     Pieces joined in order of (turn, message) are the conversation. The loss mask covers [loss_start, loss_end) of
-    the piece, which is empty for roles other than `learn`.
+    the piece, which is empty for roles other than `learn`. Ids of any kind pass through, null ones too; no messages give
+    no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +153,8 @@ def rows_as_log(conversations: DataFrame, *, piece: int = 400, **columns: str) -
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """What a formatted conversation says, read back from it: a row for each conversation."""
+    """What a formatted conversation says, read back from it: a row for each conversation, one of them for a null conv_id; no
+    pieces give no rows."""
     order = ["conv_id", "turn", "formatted", "message"]
     placed = pieces.repartition("conv_id").sortWithinPartitions(*order)
 

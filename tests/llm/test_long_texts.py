@@ -80,3 +80,13 @@ def test_chat_of_a_long_message_reads_back(spark):
     (message,) = chat_format.fold(events).collect()
     whole = "".join(text[i::4] for i in range(4))
     assert hashlib.sha256(message.text.encode()).digest() == hashlib.sha256(whole.encode()).digest()
+
+
+def test_chat_of_empty_logs_and_null_ids(spark):
+    kinds = "conv_id long, turn int, message int, seq int, kind string, role string, text string"
+    none = chat_format.render(chat_format.fold(spark.createDataFrame([], kinds)))
+    assert none.collect() == [] and chat_format.digest(none).collect() == []
+    rows = [(None, 0, 0, 0, "delta", "user", "a"), (None, 0, 0, 1, None, None, None), (None, 1, 1, 0, "delta", "assistant", "b"), (5, 0, 0, 0, "delta", "user", "c")]
+    folded = chat_format.fold(spark.createDataFrame(rows, kinds))
+    assert sorted((r.conv_id or 0, r.message, r.role, r.text) for r in folded.collect()) == [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (5, 0, "user", "c")]
+    assert {r.conv_id: r.n_turns for r in chat_format.digest(chat_format.render(folded)).collect()} == {None: 2, 5: 1}
