@@ -109,7 +109,8 @@ def _second_round(known: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
     )
     picks = written(picks.select("key", "root", "n", "one.cid", "one.n_shingles"), "picks")
     largest = picks.groupBy("key").agg(F.max(F.struct("n", "root", "cid", "n_shingles")).alias("top"))
-    largest = largest.select("key", F.col("top.root").alias("root_a"), F.col("top.cid").alias("a"), F.col("top.n_shingles").alias("n_a"))
+    # written, so that the join below has no aggregate on its side and a list of very many components can be split there
+    largest = written(largest.select("key", F.col("top.root").alias("root_a"), F.col("top.cid").alias("a"), F.col("top.n_shingles").alias("n_a")), "largest")
     pairs = picks.join(largest, "key").filter((F.col("root") != F.col("root_a")) & _close("n_shingles", "n_a", percent))
     return pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
 
