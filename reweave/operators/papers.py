@@ -87,6 +87,30 @@ def _needed_ratio(a: pd.Series, b: pd.Series, need: pd.Series) -> pd.Series:
     return pd.Series([of(x, y, n) for x, y, n in zip(a, b, need)], dtype=float)
 
 
+def distinct_seeds(seeds: DataFrame) -> DataFrame:
+    """One seed, that with the smallest seed_id, of those equal in title, year and hint: all of them score alike."""
+    return seeds.groupBy("title", "year", "hint").agg(F.min("seed_id").alias("seed_id")).select("seed_id", "title", "year", "hint")
+
+
+def first_works(works: DataFrame, most: int = 1) -> DataFrame:
+    """The works with the `most` smallest work_ids of those equal in title, year and venue.
+
+    Such works have equal scores with any seed, and ties go to the smaller work_id; so the `most` best works of a seed are
+    all among them, and copies make no pairs."""
+    if most == 1:
+        return works.groupBy("title", "year", "venue").agg(F.min("work_id").alias("work_id")).select("work_id", "title", "year", "venue")
+    rank = F.row_number().over(Window.partitionBy("title", "year", "venue").orderBy("work_id"))
+    return works.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+
+
+def for_every_seed(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """What was found for `distinct_seeds`, for each of `seeds`."""
+    same = [F.col(f"seed_{c}").eqNullSafe(F.col(f"own_{c}")) for c in ("title", "year")] + [F.col("hint").eqNullSafe(F.col("own_hint"))]
+    own = seeds.select(F.col("seed_id").alias("own_id"), *[F.col(c).alias(f"own_{c}") for c in ("title", "year", "hint")])
+    rows = own.join(found, same).withColumn("seed_id", F.col("own_id"))
+    return rows.select(*found.columns)
+
+
 def linkage_candidates(seeds: DataFrame, works: DataFrame, venue_pattern: str, ratio: bool = True, threshold: float | None = None, list_size: int = 10_000) -> DataFrame:
     """Every (seed, work) that shares a title word, with score parts and score; with `threshold`, those that reach it.
 
@@ -100,7 +124,7 @@ def linkage_candidates(seeds: DataFrame, works: DataFrame, venue_pattern: str, r
     """
     plain = F.lower(squeeze(F.col("title")))
     s = seeds.select("seed_id", F.col("title").alias("seed_title"), plain.alias("seed_plain"), F.col("year").alias("seed_year"), "hint")
-    w = works.select("work_id", "title", plain.alias("plain"), "year", "venue")
+    w = works.select("work_id", "title", plain.alias("plain"), "year", "venue", F.when(F.col("venue").rlike("(?i)" + venue_pattern), 0.10).otherwise(0.0).alias("evidence_bonus"))
     whole, word_part = (0.4, 0.6) if ratio else (0.0, 1.0)
     least = 0.0 if threshold is None else max(0.0, (threshold - MOST_BONUS - whole) / word_part)
 
@@ -121,12 +145,10 @@ def linkage_candidates(seeds: DataFrame, works: DataFrame, venue_pattern: str, r
     shared = jaccard(F.array_distinct(word_tokens(F.col("seed_plain"))), F.array_distinct(word_tokens(F.col("plain"))))
     met = met.withColumn("shared", shared).filter(F.col("shared") >= least - 1e-9)
     rows = s.join(met, "seed_plain").join(w, "plain")
-    evidence = F.col("venue").rlike("(?i)" + venue_pattern)
     hinted = (F.coalesce("hint", F.lit("")) != "") & F.contains(F.lower("venue"), F.lower("hint"))
     rows = rows.withColumns(
         {
             "year_bonus": year_bonus(F.col("seed_year"), F.col("year")),
-            "evidence_bonus": F.when(evidence, 0.10).otherwise(0.0),
             "hint_bonus": F.when(hinted, 0.05).otherwise(0.0),
         }
     )
@@ -134,8 +156,11 @@ def linkage_candidates(seeds: DataFrame, works: DataFrame, venue_pattern: str, r
     if not ratio:
         rows = rows.withColumn("sim", F.col("shared"))
     else:
-        need = F.lit(0.0) if threshold is None else (threshold - F.col("bonus") - F.col("shared") * word_part) / whole
-        pairs = rows.groupBy("seed_plain", "plain", "shared").agg(F.max(bonus).alias("bonus")).withColumn("need", need)
+        if threshold is None:
+            pairs = met.withColumn("need", F.lit(0.0))
+        else:
+            need = (threshold - F.col("bonus") - F.col("shared") * word_part) / whole
+            pairs = rows.groupBy("seed_plain", "plain", "shared").agg(F.max(bonus).alias("bonus")).withColumn("need", need)
         pairs = pairs.filter("need <= 1 + 1e-9").select("seed_plain", "plain", _needed_ratio("seed_plain", "plain", "need").alias("ratio")).filter("ratio IS NOT NULL")
         rows = rows.join(pairs, ["seed_plain", "plain"]).withColumn("sim", F.col("shared") * word_part + F.col("ratio") * whole).drop("ratio")
     rows = rows.withColumn("score", F.col("sim") + F.col("year_bonus") + F.col("evidence_bonus") + F.col("hint_bonus")).drop("plain", "seed_plain", "shared")

@@ -9,6 +9,7 @@ from reweave.operators import discovery as di
 from reweave.operators import papers as pa
 from reweave.plans.bindings import table
 from reweave.plans.report_queries import rounded
+from reweave.storage import written
 
 HREF = {"href": r'(?i)href\s*=\s*"([^"]+)"', "src": r'(?i)src\s*=\s*"([^"]+)"'}
 
@@ -26,13 +27,26 @@ def url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, sf_dir: str, ratio: bool = False, threshold: float | None = None) -> DataFrame:
-    """Candidates of the seeds, all or those that reach the threshold. SQL can only say the score by words; `ratio` makes it
-    the whole score."""
+def scored(spark: SparkSession, sf_dir: str, ratio: bool = False, threshold: float | None = None, most: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The seeds, and the candidates of different seeds among different works, all or those that reach the threshold: as many
+    copies of a work as the `most` best matches of a seed can have. SQL can only say the score by words; `ratio` makes it the
+    whole score."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), (F.lit(1990) + F.col("p_size") % 10).alias("year"), F.col("p_brand").alias("venue"))
     seeds = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed_id"), "title", "year", F.lit("#3").alias("hint"))
     works = part.filter("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("work_id"), "title", "year", "venue")
-    return pa.linkage_candidates(seeds, works, "#1", ratio=ratio, threshold=threshold)
+    found = pa.linkage_candidates(pa.distinct_seeds(seeds), pa.first_works(works, most), "#1", ratio=ratio, threshold=threshold)
+    return seeds, found
+
+
+def linked(spark: SparkSession, sf_dir: str, ratio: bool = False) -> DataFrame:
+    """The best match of each seed."""
+    seeds, found = scored(spark, sf_dir, ratio, 0.82)
+    return pa.for_every_seed(pa.best_matches(found, 0.82, 1), seeds)
+
+
+def best_three(spark: SparkSession, sf_dir: str, ratio: bool = False) -> DataFrame:
+    seeds, found = scored(spark, sf_dir, ratio, most=3)
+    return pa.for_every_seed(pa.ranked(found, 3), seeds)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,15 +94,18 @@ def interesting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches by words; the second round takes works that hold the seed's title, from the years around too."""
-    found = scored(spark, sf_dir, threshold=0.95)
-    return pa.matched_in_rounds(found.filter("abs(year - seed_year) = 0"), pa.phrase_candidates(found), 0.95, 2)
+    seeds, found = scored(spark, sf_dir, threshold=0.95)
+    found = written(found, "candidates")
+    return pa.for_every_seed(pa.matched_in_rounds(found.filter("abs(year - seed_year) = 0"), pa.phrase_candidates(found), 0.95, 2), seeds)
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed_id"), F.col("p_name").alias("seed_title"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("seed"), F.col("l_orderkey").alias("id"))
+    matches = written(linked(spark, sf_dir), "matches")
+    matched = matches.select(F.col("work_id").alias("seed")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("seed"), F.col("l_orderkey").alias("id")).join(matched, "seed", "left_semi")
     cited = pa.citations(lines, 20).withColumnRenamed("seed", "work_id").join(lines.groupBy(F.col("seed").alias("work_id")).agg(F.count(F.lit(1)).alias("total")), "work_id")
-    return pa.audited(seeds, pa.best_matches(scored(spark, sf_dir, threshold=0.82), 0.82, 1), cited)
+    return pa.audited(seeds, matches, cited)
 
 
 def citing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +139,10 @@ QUERIES = {
     "hits_iri_methods": lambda s, d: di.extract_iris(files(s, d), HREF).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("iri").alias("iris")),
     "hits_directory_summary": lambda s, d: di.directory_summary(files(s, d), di.extract_iris(files(s, d), HREF)),
     "hits_url_functions": url_functions,
-    "papers_linkage": lambda s, d: rounded(pa.best_matches(scored(s, d, True, 0.82), 0.82, 1).select("seed_id", "work_id", "score")),
-    "papers_linkage_ranked": lambda s, d: rounded(pa.ranked(scored(s, d, True), 3).select("seed_id", "work_id", "rank", "sim", "year_bonus", "evidence_bonus", "hint_bonus", "score")),
-    "papers_linkage_words": lambda s, d: rounded(pa.best_matches(scored(s, d, False, 0.82), 0.82, 1).select("seed_id", "work_id", "score")),
-    "papers_linkage_words_ranked": lambda s, d: rounded(pa.ranked(scored(s, d), 3).select("seed_id", "work_id", "rank", "sim", "year_bonus", "evidence_bonus", "hint_bonus", "score")),
+    "papers_linkage": lambda s, d: rounded(linked(s, d, True).select("seed_id", "work_id", "score")),
+    "papers_linkage_ranked": lambda s, d: rounded(best_three(s, d, True).select("seed_id", "work_id", "rank", "sim", "year_bonus", "evidence_bonus", "hint_bonus", "score")),
+    "papers_linkage_words": lambda s, d: rounded(linked(s, d).select("seed_id", "work_id", "score")),
+    "papers_linkage_words_ranked": lambda s, d: rounded(best_three(s, d).select("seed_id", "work_id", "rank", "sim", "year_bonus", "evidence_bonus", "hint_bonus", "score")),
     "papers_linkage_rounds": lambda s, d: rounded(in_rounds(s, d).select("seed_id", "work_id", "round", "score")),
     "papers_linkage_audit": audit,
     "papers_citing_export": citing_export,

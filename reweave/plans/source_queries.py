@@ -14,6 +14,7 @@ from reweave.plans.bindings import table
 from reweave.plans.paper_queries import files, scored
 from reweave.plans.report_queries import rounded
 from reweave.sources import files as sf
+from reweave.storage import written
 
 #: A line for each extraction rule, by p_partkey % 11; the key ends the IRI.
 RULE_LINES = [
@@ -102,8 +103,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scored(spark, sf_dir)
-    return rounded(pa.ranked_in_rounds(found, pa.phrase_candidates(found), 3).select("seed_id", "work_id", "round", "rank", "sim", "score"))
+    seeds, found = scored(spark, sf_dir, most=3)
+    found = written(found, "candidates")
+    return rounded(pa.for_every_seed(pa.ranked_in_rounds(found, pa.phrase_candidates(found), 3), seeds).select("seed_id", "work_id", "round", "rank", "sim", "score"))
 
 
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
