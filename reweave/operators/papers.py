@@ -255,6 +255,7 @@ def named(texts: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
     """id and name for names that occur in the text, their words joined by any of space, `-`, `_` or nothing.
 
     Words are met by an equi-join: the name without separators must start at some word of the text; the pattern decides.
+    Texts are never broadcast: their files may be small where the texts are not.
     """
     tokens = F.filter(F.split("name", r"[\s\-_/]+"), lambda t: t != "")
     quoted = F.transform(tokens, lambda t: F.regexp_replace(t, r"([\\\^\$\.\|\?\*\+\(\)\[\]\{\}])", r"\\$1"))
@@ -264,7 +265,7 @@ def named(texts: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
     lengths = rows.agg(F.collect_set("n")).scalar()  # no more than the longest first word has characters
     sized = starts.withColumn("sizes", lengths).withColumn("sizes", F.filter("sizes", lambda n: n <= F.char_length("word")))
     heads = sized.withColumn("n", F.explode("sizes")).drop("sizes").withColumn("first", F.expr("left(word, n)"))
-    met = heads.select(id_col, "first").distinct().join(rows, "first").join(texts.select(id_col, "text"), id_col)
+    met = heads.select(id_col, "first").distinct().join(rows, "first").join(texts.select(id_col, "text").hint("merge"), id_col)
     return met.filter(F.expr("rlike(text, pattern)")).select(id_col, "name").distinct()
 
 

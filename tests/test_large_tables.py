@@ -2,7 +2,7 @@
 
 import pytest
 
-
+from reweave.operators import papers
 from reweave.plans import paper_queries, registry
 
 
@@ -34,3 +34,12 @@ def test_copies_make_no_candidates(spark, tmp_path):
     for most in (1, 3):
         counts = [paper_queries.scored(spark, parts(spark, tmp_path / str(most), copies), most=most)[1].count() for copies in (3, 6)]
         assert counts[0] == counts[1] > 0
+
+
+def test_texts_of_names_are_not_broadcast(spark):
+    texts = spark.createDataFrame([(1, "an apache license"), (2, "none")], "id long, text string")
+    names = spark.createDataFrame([("apache_license",)], "name string")
+    found = papers.named(texts, names, "id")
+    assert [tuple(r) for r in found.collect()] == [(1, "apache_license")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan or "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
