@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reweave.functions.labels import local_name, normalize_label, percent
-from reweave.operators.triples import pattern_entities
+from reweave.operators.triples import of_patterns
 
 PAIR = ["ontology_id", "pattern_id"]
 KINDS = {"class": "classes", "object": "object_properties", "datatype": "datatype_properties"}
@@ -46,7 +46,9 @@ def union_by_name(pairs: DataFrame, found: DataFrame, used: DataFrame) -> DataFr
     """
     key = ["ontology_id", "pattern_name"]
     names = pairs.select(*PAIR, "pattern_name")
-    own = pattern_entities(pairs.select(*PAIR), found).join(names, PAIR).select(*key, "kind", "iri").distinct()
+    declared = of_patterns(pairs, found)
+    own = names.join(declared.withColumnRenamed("graph_id", "pattern_id"), "pattern_id").select(*key, "kind", "iri").distinct()
+    used = used.join(declared.select(F.col("iri").alias("term")).distinct(), "term", "left_semi")
     there = used.select(F.col("graph_id").alias("ontology_id"), F.col("term").alias("iri"), F.lit(1).alias("there"))
     label = normalize_label(local_name(F.col("iri")))
     counts = own.join(there, ["ontology_id", "iri"], "left").groupBy(*key).agg(

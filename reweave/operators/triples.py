@@ -62,7 +62,8 @@ def labels(triples: DataFrame, found: DataFrame, v: Vocabulary = IRIS, unicode:
     """Distinct graph_id, kind, iri and label: normalised label literals and the local name, without empty ones."""
     norm = normalize_label_unicode if unicode else normalize_label
     said = triples.filter((F.col("p") == v.one("rdfs:label")) & (F.col("o_kind") == "literal"))
-    said = found.join(said.select("graph_id", F.col("s").alias("iri"), F.col("o").alias("label")), ["graph_id", "iri"])
+    said = written(said.select("graph_id", F.col("s").alias("iri"), F.col("o").alias("label")), "said")  # Spark sees if they are few
+    said = found.join(said, ["graph_id", "iri"])
     named = found.withColumn("label", local_name(F.col("iri")))
     both = said.select("graph_id", "kind", "iri", "label").unionByName(named.select("graph_id", "kind", "iri", "label"))
     return both.withColumn("label", norm(F.col("label"))).filter("label <> ''").distinct()
@@ -75,22 +76,33 @@ def make_pairs(graphs: DataFrame) -> DataFrame:
     return o.join(p, "repo").select("ontology_id", "pattern_id").distinct()
 
 
+def of_patterns(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of the patterns' graphs, written: patterns are few where many ontologies share them, and Spark then sees from
+    the table's size that it can broadcast them rather than shuffle what they meet."""
+    ids = written(pairs.select(F.col("pattern_id").alias("graph_id")).distinct(), "patterns")
+    return written(rows.join(ids, "graph_id", "left_semi").distinct(), "of_patterns")
+
+
 def pattern_entities(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """ontology_id, pattern_id, kind, iri of the pattern's entities for each pair."""
     return pairs.join(found.withColumnRenamed("graph_id", "pattern_id"), "pattern_id").select("ontology_id", "pattern_id", "kind", "iri")
 
 
 def graph_reuse(pairs: DataFrame, found: DataFrame, used: DataFrame) -> DataFrame:
-    """Pattern entities that occur anywhere in the ontology: a semi join on (ontology, IRI)."""
-    there = used.select(F.col("graph_id").alias("ontology_id"), F.col("term").alias("iri"))
+    """Pattern entities that occur anywhere in the ontology: a semi join on (ontology, IRI). Terms that no pattern declares are
+    dropped before anything is shuffled."""
+    found = of_patterns(pairs, found)
+    there = used.join(found.select(F.col("iri").alias("term")).distinct(), "term", "left_semi")
+    there = there.select(F.col("graph_id").alias("ontology_id"), F.col("term").alias("iri"))
     return pattern_entities(pairs, found).join(there, ["ontology_id", "iri"], "left_semi").select("ontology_id", "pattern_id", "kind", "iri")
 
 
 def label_reuse(pairs: DataFrame, named: DataFrame, by_kind: bool = False) -> DataFrame:
     """Pattern entities one of whose labels an entity of the ontology (of the same kind, if `by_kind`) has too."""
     keys = ["ontology_id", "label"] + (["kind"] if by_kind else [])
-    theirs = named.withColumnRenamed("graph_id", "ontology_id").select(*keys).distinct()
-    mine = pairs.join(named.withColumnRenamed("graph_id", "pattern_id"), "pattern_id")
+    own = of_patterns(pairs, named)
+    theirs = named.withColumnRenamed("graph_id", "ontology_id").select(*keys).distinct().join(own.select("label").distinct(), "label", "left_semi")
+    mine = pairs.join(own.withColumnRenamed("graph_id", "pattern_id"), "pattern_id")
     return mine.join(theirs, keys, "left_semi").select("ontology_id", "pattern_id", "kind", "iri").distinct()
 
 
@@ -182,10 +194,11 @@ def coverage(pairs: DataFrame, found: DataFrame, by_graph: DataFrame, by_label:
     An entity reused by IRI counts as reused by label too.
     """
     pair = ["ontology_id", "pattern_id"]
-    total = found.groupBy(F.col("graph_id").alias("pattern_id")).agg(F.count_distinct("iri").alias("pattern_total"))
-    g = by_graph.groupBy(*pair).agg(F.count_distinct("iri").alias("reused_total_graph"))
-    either = by_label.unionByName(by_graph).groupBy(*pair).agg(F.count_distinct("iri").alias("reused_total_label"))
-    out = pairs.join(total, "pattern_id", "left").join(g, pair, "left").join(either, pair, "left").na.fill(0)
+    total = of_patterns(pairs, found).groupBy(F.col("graph_id").alias("pattern_id")).agg(F.count_distinct("iri").alias("pattern_total"))
+    either = by_graph.select(*pair, "iri", F.lit(1).alias("graph")).unionByName(by_label.select(*pair, "iri", F.lit(0).alias("graph")))
+    either = either.repartition(*pair).groupBy(*pair, "iri").agg(F.max("graph").alias("graph"))  # the sums below need no other shuffle
+    counts = either.groupBy(*pair).agg(F.sum("graph").alias("reused_total_graph"), F.count(F.lit(1)).alias("reused_total_label"))
+    out = pairs.join(written(total, "totals"), "pattern_id", "left").join(counts, pair, "left").na.fill(0)
     share = lambda c: F.when(F.col("pattern_total") > 0, F.col(c) / F.col("pattern_total")).otherwise(0.0)
     return out.select(
         *pair, "pattern_total", "reused_total_graph", "reused_total_label",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +22,26 @@ HYBRID = (0.61, 0.4)
 
 
 class Graphs:
-    """What most queries start from, declared once."""
+    """What most queries start from, declared once; pairs and entities, which they need several times, are written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.triples = triples(spark, sf_dir)
-        self.pairs = tr.make_pairs(graphs(spark, self.triples))
-        self.found = tr.entities(self.triples, SHORT)
-        self.terms = tr.terms(self.triples)
-        self.labels = tr.labels(self.triples, self.found, SHORT)
+        self.spark, self.triples = spark, triples(spark, sf_dir)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return written(tr.make_pairs(written(graphs(self.spark, self.triples), "graphs")), "pairs")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return written(tr.entities(self.triples, SHORT), "entities")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return tr.terms(self.triples)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return tr.labels(self.triples, self.found, SHORT)
 
     def reuse(self) -> DataFrame:
         return tr.graph_reuse(self.pairs, self.found, self.terms)
@@ -90,7 +104,7 @@ def namespace_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graphs(spark, sf_dir)
-    return us.usage(g.pairs, g.triples, SHORT).withColumn("connectivity_ratio", F.round("connectivity_ratio", 6))
+    return us.usage(g.pairs, g.triples, SHORT, found=g.found).withColumn("connectivity_ratio", F.round("connectivity_ratio", 6))
 
 
 def graph_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:

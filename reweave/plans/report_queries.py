@@ -28,9 +28,8 @@ def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gq.Graphs(spark, sf_dir)
-    found, used = written(g.found, "entities"), written(g.terms, "terms")
+    found, used, labels = g.found, g.terms, g.labels
     reused = written(tr.graph_reuse(g.pairs, found, used), "reused")
-    labels = tr.labels(g.triples, found, SHORT)
     metrics = tr.coverage(g.pairs, found, reused, tr.label_reuse(g.pairs, labels)).withColumn("label_reuse_pct", F.col("coverage_label") * 100)
     forms = us.usage(g.pairs, g.triples, SHORT, found=found, used=used, reused=reused)
     return metrics.join(forms.select(*us.PAIR, *us.FORMS), us.PAIR)
