@@ -1,7 +1,7 @@
 """In which forms an ontology uses a pattern: counts for each (ontology, pattern) pair.
 
-All forms look at triples that touch one of the pattern's namespaces. Those are found by equi-joins of the terms in
-the namespaces with each place of the triples, so nothing is as large as pairs times triples.
+All forms look at triples that touch one of the pattern's namespaces. Those are found by equi-joins of each place of the
+triples with the terms in any pattern's namespaces, which many ontologies share, so nothing is as large as pairs times triples.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reweave.operators import triples as tr
+from reweave.operators.triples import of_patterns
 from reweave.storage import written
 from reweave.vocab import IRIS, Vocabulary
 
@@ -33,34 +34,47 @@ ROLES = {
 
 def touching(pairs: DataFrame, triples: DataFrame, inside: DataFrame) -> DataFrame:
     """The ontology's triples with a term in the pattern's namespaces, with s_in, p_in, o_in and s_out, p_out, o_out
-    (an IRI outside)."""
+    (an IRI outside). inside: term and pattern_id."""
+    homes = written(inside.groupBy("term").agg(F.collect_set("pattern_id").alias("homes")), "homes")
     rows = triples.withColumnRenamed("graph_id", "ontology_id")
-    found = []
-    for place in ("s", "p", "o"):
-        at = rows if place == "p" else rows.filter(F.col(f"{place}_kind") == "iri")
-        hit = at.join(inside.withColumnRenamed("term", place), ["ontology_id", place])
-        found.append(hit.select(*PAIR, "s", "s_kind", "p", "o", "o_kind", *[F.lit(x == place).alias(f"{x}_in") for x in "spo"]))
-    all_hits = reduce(DataFrame.unionByName, found)
-    merged = all_hits.groupBy(*PAIR, "s", "s_kind", "p", "o", "o_kind").agg(*[F.bool_or(f"{x}_in").alias(f"{x}_in") for x in "spo"])
     iri = {"s": F.col("s_kind") == "iri", "p": F.lit(True), "o": F.col("o_kind") == "iri"}
-    return merged.withColumns({f"{x}_out": iri[x] & ~F.col(f"{x}_in") for x in "spo"})
+    for x in "spo":
+        own = homes.select(F.col("term").alias(f"{x}_term"), F.col("homes").alias(f"{x}_homes"))
+        rows = rows.join(own, iri[x] & (F.col(x) == F.col(f"{x}_term")), "left").drop(f"{x}_term")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({f"{x}_homes": F.coalesce(f"{x}_homes", none) for x in "spo"})
+    rows = rows.withColumn("pattern_id", F.explode(F.array_union(F.array_union("s_homes", "p_homes"), F.col("o_homes"))))
+    rows = rows.withColumns({f"{x}_in": F.array_contains(f"{x}_homes", F.col("pattern_id")) for x in "spo"}).drop(*[f"{x}_homes" for x in "spo"])
+    return rows.join(pairs, PAIR, "left_semi").withColumns({f"{x}_out": iri[x] & ~F.col(f"{x}_in") for x in "spo"})
+
+
+def in_any_namespace(triples: DataFrame, spaces: DataFrame) -> DataFrame:
+    """term and pattern_id (graph_id of `spaces`) of all terms in the pattern's namespaces, whatever ontologies use them."""
+    every = spaces.select(F.lit("").alias("ontology_id"), F.col("graph_id").alias("pattern_id")).distinct()
+    used = tr.terms(triples.withColumn("graph_id", F.lit("")))
+    return tr.in_namespace(every, used, spaces).select("term", "pattern_id")
 
 
 def direct(pairs: DataFrame, triples: DataFrame, found: DataFrame, reused: DataFrame) -> DataFrame:
-    """Pattern entities all of whose internal triples the ontology holds; without any, those that it reuses."""
+    """Pattern entities all of whose internal triples the ontology holds; without any, those that it reuses.
+
+    Starts from the triples that an ontology holds, and compares numbers: missing ones are never listed."""
+    found, triples_ = of_patterns(pairs, found), of_patterns(pairs, triples)
     own = found.select(F.col("graph_id").alias("ontology_id"), F.col("graph_id").alias("pattern_id")).distinct()
-    inside = tr.in_namespace(own, tr.terms(triples), tr.namespaces(found)).select(F.col("pattern_id").alias("graph_id"), "term")
-    internal = triples.filter("s_kind = 'iri' AND o_kind = 'iri'")
+    inside = tr.in_namespace(own, tr.terms(triples_), tr.namespaces(found)).select(F.col("pattern_id").alias("graph_id"), "term")
+    internal = triples_.filter("s_kind = 'iri' AND o_kind = 'iri'")
     for place in ("s", "p", "o"):
         internal = internal.join(inside.withColumnRenamed("term", place), ["graph_id", place], "left_semi")
-    internal = internal.select(F.col("graph_id").alias("pattern_id"), "s", "p", "o")
-    there = triples.filter("s_kind = 'iri' AND o_kind = 'iri'").select(F.col("graph_id").alias("ontology_id"), "s", "p", "o", F.lit(True).alias("there"))
-    checked = pairs.join(internal, "pattern_id").join(there, ["ontology_id", "s", "p", "o"], "left")
-    of_entity = checked.select(*PAIR, F.explode(F.array_distinct(F.array("s", "p", "o"))).alias("iri"), F.coalesce("there", F.lit(False)).alias("there"))
-    complete = of_entity.groupBy(*PAIR, "iri").agg(F.bool_and("there").alias("complete"))
-    known = tr.pattern_entities(pairs, found).select(*PAIR, "iri").distinct().join(complete, [*PAIR, "iri"], "left")
-    hit = reused.select(*PAIR, "iri", F.lit(True).alias("reused")).distinct()
-    return known.join(hit, [*PAIR, "iri"], "left").filter(F.coalesce("complete", "reused", F.lit(False))).select(*PAIR, "iri")
+    internal = written(internal.select(F.col("graph_id").alias("pattern_id"), "s", "p", "o"), "internal")
+    entities = F.explode(F.array_distinct(F.array("s", "p", "o"))).alias("iri")
+    needed = internal.select("pattern_id", entities).groupBy("pattern_id", "iri").agg(F.count(F.lit(1)).alias("needed"))
+    needed = written(needed.join(found.select(F.col("graph_id").alias("pattern_id"), "iri").distinct(), ["pattern_id", "iri"]), "needed")
+    there = triples.filter("s_kind = 'iri' AND o_kind = 'iri'").select(F.col("graph_id").alias("ontology_id"), "s", "p", "o")
+    held = there.join(internal, ["s", "p", "o"]).join(pairs, PAIR, "left_semi").select(*PAIR, entities)
+    held = held.groupBy(*PAIR, "iri").agg(F.count(F.lit(1)).alias("held"))
+    complete = held.join(needed, ["pattern_id", "iri"]).filter("held = needed").select(*PAIR, "iri")
+    alone = reused.select(*PAIR, "iri").distinct().join(needed, ["pattern_id", "iri"], "left_anti")
+    return complete.unionByName(alone.select(*PAIR, "iri"))
 
 
 def usage(pairs: DataFrame, triples: DataFrame, v: Vocabulary = IRIS, *, found: DataFrame | None = None, used: DataFrame | None = None, reused: DataFrame | None = None) -> DataFrame:
@@ -69,13 +83,14 @@ def usage(pairs: DataFrame, triples: DataFrame, v: Vocabulary = IRIS, *, found:
     A caller that has the entities, terms and graph reuse already hands them in as `found`, `used` and `reused`."""
     found = tr.entities(triples, v) if found is None else found
     used = tr.terms(triples) if used is None else used
-    spaces = tr.namespaces(found)
     reused = written(tr.graph_reuse(pairs, found, used), "reused") if reused is None else reused
-    inside = written(tr.in_namespace(pairs, used, spaces), "inside")
-    touched = touching(pairs, triples, inside)
-    roles = found.groupBy(F.col("graph_id").alias("pattern_id"), "iri").agg(
+    of_pattern = of_patterns(pairs, found)
+    spaces = tr.namespaces(of_pattern)
+    touched = touching(pairs, triples, in_any_namespace(triples, spaces))
+    roles = of_pattern.groupBy(F.col("graph_id").alias("pattern_id"), "iri").agg(
         F.bool_or(F.col("kind") == "class").alias("cls"), F.bool_or(F.col("kind") != "class").alias("prop")
     )
+    roles = written(roles, "roles")
     for x in "spo":
         mine = roles.select("pattern_id", F.col("iri").alias(x), F.col("cls").alias(f"{x}_cls"), F.col("prop").alias(f"{x}_prop"))
         touched = touched.join(mine, ["pattern_id", x], "left").na.fill(False, [f"{x}_cls", f"{x}_prop"])
