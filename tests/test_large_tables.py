@@ -43,3 +43,42 @@ def test_texts_of_names_are_not_broadcast(spark):
     assert [tuple(r) for r in found.collect()] == [(1, "apache_license")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=merge" in plan or "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_triples_of_one_pass_equal_the_sql(spark, tmp_path):
+    from reweave.plans import bindings
+
+    flags = ["A", "N", "R", None]
+    spark.createDataFrame(
+        [(k, f"red  ring{k % 3}", f"Brand#{k % 4}", None if k == 5 else ["SMALL", "LARGE"][k % 2], k % 3) for k in range(12)],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(
+        [(k % 13, k % 3, flags[k % 4], None if k % 29 == 0 else k % 8) for k in range(200)] + [(1, 1, "A", 1)] * 50,
+        "l_partkey long, l_suppkey long, l_returnflag string, l_linenumber int",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0,), (1,), (9,), (9,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    tables = {n: bindings.table(spark, str(tmp_path), n) for n in ("part", "lineitem", "supplier")}
+    rows = bindings.triples(spark, str(tmp_path))
+    want = spark.sql(bindings.TRIPLES, **tables)
+    assert rows.columns == want.columns and rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty()
+    plan = bindings.ontology_triples(tables["part"], tables["lineitem"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_missing_triples_of_a_pattern_are_not_listed(spark):
+    """`direct` joins what an ontology holds; pairs times the patterns' triples are nowhere."""
+    from reweave.operators import triples as tr
+    from reweave.operators import usage
+    from reweave.vocab import SHORT
+
+    pattern = [("pat", f"n#{c}", "iri", "rdf:type", "owl:Class", "iri") for c in "abc"]
+    pattern += [("pat", "n#p", "iri", "rdf:type", "owl:ObjectProperty", "iri"), ("pat", "n#a", "iri", "n#p", "n#b", "iri"), ("pat", "n#b", "iri", "n#p", "n#b", "iri")]
+    own = [("ont", "n#a", "iri", "n#p", "n#b", "iri"), ("ont", "n#c", "iri", "rdf:type", "owl:Class", "iri")]
+    rows = spark.createDataFrame(pattern + own, "graph_id string, s string, s_kind string, p string, o string, o_kind string")
+    pairs = spark.createDataFrame([("ont", "pat"), ("none", "pat")], "ontology_id string, pattern_id string")
+    found = tr.entities(rows, SHORT)
+    out = usage.direct(pairs, rows, found, tr.graph_reuse(pairs, found, tr.terms(rows)))
+    assert sorted(tuple(r) for r in out.collect()) == [("ont", "pat", "n#a"), ("ont", "pat", "n#c")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 0
