@@ -6,6 +6,7 @@ pairs: ontology_id, pattern_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,15 +18,20 @@ from reweave.storage import written
 from reweave.vocab import IRIS, Vocabulary
 
 
-def entities(triples: DataFrame, v: Vocabulary = IRIS) -> DataFrame:
-    """Distinct graph_id, kind (class, object, datatype) and iri of what each graph declares."""
+def entity_rows(triples: DataFrame, v: Vocabulary = IRIS) -> DataFrame:
+    """graph_id, kind (class, object, datatype) and iri of what each graph declares, perhaps more than once."""
     kind = (
         F.when(F.col("o").isin(v("owl:Class", "rdfs:Class")), "class")
         .when(F.col("o") == v.one("owl:ObjectProperty"), "object")
         .when(F.col("o") == v.one("owl:DatatypeProperty"), "datatype")
     )
     typed = triples.filter((F.col("p") == v.one("rdf:type")) & (F.col("s_kind") == "iri") & (F.col("o_kind") == "iri"))
-    return typed.select("graph_id", kind.alias("kind"), F.col("s").alias("iri")).filter("kind IS NOT NULL").distinct()
+    return typed.select("graph_id", kind.alias("kind"), F.col("s").alias("iri")).filter("kind IS NOT NULL")
+
+
+def entities(triples: DataFrame, v: Vocabulary = IRIS) -> DataFrame:
+    """The distinct rows of `entity_rows`."""
+    return entity_rows(triples, v).distinct()
 
 
 def entity_counts(found: DataFrame) -> DataFrame:
@@ -52,21 +58,36 @@ def imports(triples: DataFrame, part: str = "", limit: int | None = None, v: Voc
     return found if limit is None else found.orderBy("ontology", "imported").limit(limit)
 
 
-def terms(triples: DataFrame) -> DataFrame:
-    """Distinct graph_id and IRI at any place of a triple."""
+def term_rows(triples: DataFrame) -> DataFrame:
+    """graph_id and IRI at any place of a triple, perhaps more than once."""
     places = F.array(*[F.when(F.col(k) == "iri", F.col(c)) if k else F.col(c) for c, k in (("s", "s_kind"), ("p", None), ("o", "o_kind"))])
-    return triples.select("graph_id", F.explode(places).alias("term")).filter("term IS NOT NULL").distinct()
+    return triples.select("graph_id", F.explode(places).alias("term")).filter("term IS NOT NULL")
 
 
-def labels(triples: DataFrame, found: DataFrame, v: Vocabulary = IRIS, unicode: bool = True) -> DataFrame:
-    """Distinct graph_id, kind, iri and label: normalised label literals and the local name, without empty ones."""
-    norm = normalize_label_unicode if unicode else normalize_label
+def terms(triples: DataFrame) -> DataFrame:
+    """The distinct rows of `term_rows`."""
+    return term_rows(triples).distinct()
+
+
+def normalised(rows: DataFrame, norm: Callable) -> DataFrame:
+    """`rows` with `norm` of their column `name` as `label`, without empty ones. Graphs share most of their names, so each
+    distinct name is normalised once and looked up."""
+    names = rows.select("name").distinct().withColumn("label", norm(F.col("name"))).filter("label <> ''")
+    return rows.join(written(names, "names"), "name").drop("name")
+
+
+def label_rows(triples: DataFrame, found: DataFrame, v: Vocabulary = IRIS, unicode: bool = True) -> DataFrame:
+    """graph_id, kind, iri and label, perhaps more than once: normalised label literals and the local name, without empty ones."""
     said = triples.filter((F.col("p") == v.one("rdfs:label")) & (F.col("o_kind") == "literal"))
-    said = written(said.select("graph_id", F.col("s").alias("iri"), F.col("o").alias("label")), "said")  # Spark sees if they are few
-    said = found.join(said, ["graph_id", "iri"])
-    named = found.withColumn("label", local_name(F.col("iri")))
-    both = said.select("graph_id", "kind", "iri", "label").unionByName(named.select("graph_id", "kind", "iri", "label"))
-    return both.withColumn("label", norm(F.col("label"))).filter("label <> ''").distinct()
+    said = written(said.select("graph_id", F.col("s").alias("iri"), F.col("o").alias("name")), "said")  # Spark sees if they are few
+    said = found.join(said, ["graph_id", "iri"]).select("graph_id", "kind", "iri", "name")
+    both = said.unionByName(found.select("graph_id", "kind", "iri", local_name(F.col("iri")).alias("name")))
+    return normalised(written(both, "named"), normalize_label_unicode if unicode else normalize_label)
+
+
+def labels(triples: DataFrame, found: DataFrame, v: Vocabulary = IRIS, unicode: bool = True) -> DataFrame:
+    """The distinct rows of `label_rows`."""
+    return label_rows(triples, found, v, unicode).distinct()
 
 
 def make_pairs(graphs: DataFrame) -> DataFrame:
@@ -83,27 +104,30 @@ def of_patterns(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return written(rows.join(ids, "graph_id", "left_semi").distinct(), "of_patterns")
 
 
-def pattern_entities(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """ontology_id, pattern_id, kind, iri of the pattern's entities for each pair."""
-    return pairs.join(found.withColumnRenamed("graph_id", "pattern_id"), "pattern_id").select("ontology_id", "pattern_id", "kind", "iri")
+def reused_by(pairs: DataFrame, hits: DataFrame, own: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct ontology_id, pattern_id, kind and iri of pattern entities that agree in `on` with a hit of the ontology.
+
+    Hits (ontology_id and `on`) meet the patterns' rows `own` first and the pairs last: rows are made for what is reused, not for
+    every entity of every pair."""
+    met = hits.join(own.withColumnRenamed("graph_id", "pattern_id"), on).select("ontology_id", "pattern_id", "kind", "iri")
+    return met.join(pairs.select("ontology_id", "pattern_id"), ["ontology_id", "pattern_id"], "left_semi").distinct()
 
 
 def graph_reuse(pairs: DataFrame, found: DataFrame, used: DataFrame) -> DataFrame:
-    """Pattern entities that occur anywhere in the ontology: a semi join on (ontology, IRI). Terms that no pattern declares are
-    dropped before anything is shuffled."""
-    found = of_patterns(pairs, found)
-    there = used.join(found.select(F.col("iri").alias("term")).distinct(), "term", "left_semi")
-    there = there.select(F.col("graph_id").alias("ontology_id"), F.col("term").alias("iri"))
-    return pattern_entities(pairs, found).join(there, ["ontology_id", "iri"], "left_semi").select("ontology_id", "pattern_id", "kind", "iri")
+    """Pattern entities that occur anywhere in the ontology. Terms that no pattern declares are dropped, and the others numbered,
+    before anything is shuffled. Rows of `used` may repeat."""
+    own = of_patterns(pairs, found)
+    numbers = written(own.select("iri").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
+    there = used.join(numbers.withColumnRenamed("iri", "term"), "term").select(F.col("graph_id").alias("ontology_id"), "number").distinct()
+    return reused_by(pairs, there, own.join(numbers, "iri"), ["number"])
 
 
 def label_reuse(pairs: DataFrame, named: DataFrame, by_kind: bool = False) -> DataFrame:
     """Pattern entities one of whose labels an entity of the ontology (of the same kind, if `by_kind`) has too."""
-    keys = ["ontology_id", "label"] + (["kind"] if by_kind else [])
+    on = ["label"] + (["kind"] if by_kind else [])
     own = of_patterns(pairs, named)
-    theirs = named.withColumnRenamed("graph_id", "ontology_id").select(*keys).distinct().join(own.select("label").distinct(), "label", "left_semi")
-    mine = pairs.join(own.withColumnRenamed("graph_id", "pattern_id"), "pattern_id")
-    return mine.join(theirs, keys, "left_semi").select("ontology_id", "pattern_id", "kind", "iri").distinct()
+    theirs = named.join(own.select(*on).distinct(), on, "left_semi").select(F.col("graph_id").alias("ontology_id"), *on).distinct()
+    return reused_by(pairs, theirs, own, on)
 
 
 SIMILARITIES = ("exact", "char", "word", "label", "vector", "hybrid", "auto")
@@ -140,47 +164,59 @@ def similar_labels(left: DataFrame, right: DataFrame, similarity: str, threshold
     return same.unionByName(found).distinct()
 
 
-def similar_label_reuse(pairs: DataFrame, named: DataFrame, alike: DataFrame, by_kind: bool = False) -> DataFrame:
-    """As `label_reuse`, where labels count as equal that `alike` (left_label of the pattern, right_label) names together."""
-    keys = ["ontology_id", "label"] + (["kind"] if by_kind else [])
-    theirs = named.withColumnRenamed("graph_id", "ontology_id").select(*keys).distinct()
-    mine = pairs.join(named.withColumnRenamed("graph_id", "pattern_id"), "pattern_id").withColumnRenamed("label", "left_label")
-    mine = mine.join(alike, "left_label").withColumnRenamed("right_label", "label")
-    return mine.join(theirs, keys, "left_semi").select("ontology_id", "pattern_id", "kind", "iri").distinct()
+def similar_label_reuse(pairs: DataFrame, named: DataFrame, alike: DataFrame, by_kind: bool = False, own: DataFrame | None = None) -> DataFrame:
+    """As `label_reuse`, where labels count as equal that `alike` (left_label of the pattern, right_label) names together.
+
+    own: the patterns' rows of `named`, if the caller has them."""
+    on = ["label"] + (["kind"] if by_kind else [])
+    own = of_patterns(pairs, named) if own is None else own
+    alike = written(alike.join(own.select(F.col("label").alias("left_label")).distinct(), "left_label", "left_semi"), "alike")
+    theirs = named.withColumnRenamed("label", "right_label").join(alike, "right_label")
+    theirs = theirs.select(F.col("graph_id").alias("ontology_id"), F.col("left_label").alias("label"), *on[1:]).distinct()
+    return reused_by(pairs, theirs, own, on)
 
 
-def hybrid_label_reuse(pairs: DataFrame, named: DataFrame, vectors: DataFrame, threshold: float, prefilter: float) -> DataFrame:
+def hybrid_label_reuse(pairs: DataFrame, named: DataFrame, vectors: DataFrame, threshold: float, prefilter: float, own: DataFrame | None = None) -> DataFrame:
     """As `label_reuse`, where characters decide first and vectors second, entity by entity.
 
     An entity is reused if the best character cosine of its labels with the ontology's is at `threshold` or more. If it lies
     below, but not below `prefilter` - 0.05, a cosine of label vectors at `threshold` or more decides. vectors: label,
-    embedding."""
-    one = ["ontology_id", "pattern_id", "kind", "iri"]
-    theirs = named.withColumnRenamed("graph_id", "ontology_id").select("ontology_id", F.col("label").alias("right_label")).distinct()
-    mine = pairs.join(named.withColumnRenamed("graph_id", "pattern_id"), "pattern_id").select(*one, F.col("label").alias("left_label"))
+    embedding. own: as in `similar_label_reuse`."""
+    one, pair = ["ontology_id", "pattern_id", "kind", "iri"], ["ontology_id", "pattern_id"]
+    own = of_patterns(pairs, named) if own is None else own
+    mine = own.select(F.col("graph_id").alias("pattern_id"), "kind", "iri", F.col("label").alias("left_label"))
+    theirs = named.select(F.col("graph_id").alias("ontology_id"), F.col("label").alias("right_label"))
+    theirs = theirs.join(pairs.select("ontology_id"), "ontology_id", "left_semi")
     left, right = mine.select(F.col("left_label").alias("label")).distinct(), theirs.select(F.col("right_label").alias("label")).distinct()
+    right = written(right, "right")
     near = written(simjoin.char_join(left, right, min(prefilter - 0.05, threshold)), "near")
-    best = mine.join(near, "left_label").join(theirs, ["ontology_id", "right_label"]).groupBy(*one).agg(F.max("similarity").alias("best"))
+    # the best of each of the patterns' labels in an ontology, then of each entity
+    best = theirs.join(near, "right_label").groupBy("ontology_id", "left_label").agg(F.max("similarity").alias("best"))
+    best = best.join(mine, "left_label").join(pairs.select(*pair), pair, "left_semi").groupBy(*one).agg(F.max("best").alias("best"))
     best = written(best, "best")
     reached = F.col("best") >= threshold - 1e-12
-    gated = mine.join(best.filter(~reached & (F.col("best") >= prefilter - 0.05 - 1e-12)).select(*one), one)
+    gated = best.filter(~reached & (F.col("best") >= prefilter - 0.05 - 1e-12)).select(*one).join(mine, ["pattern_id", "kind", "iri"])
     gated = written(gated, "gated")
     asked = gated.select(F.col("left_label").alias("label")).distinct().join(vectors, "label")
     alike = simjoin.vector_join(asked, right.join(vectors, "label"), threshold, key="label").toDF("left_label", "right_label", "similarity")
-    by_vector = gated.join(alike, "left_label").join(theirs, ["ontology_id", "right_label"], "left_semi").select(*one)
+    by_vector = theirs.join(written(alike, "alike"), "right_label").select("ontology_id", "left_label").distinct()
+    by_vector = gated.join(by_vector, ["ontology_id", "left_label"], "left_semi").select(*one)
     return best.filter(reached).select(*one).unionByName(by_vector).distinct()
 
 
 def coverage_by_backend(pairs: DataFrame, found: DataFrame, by_graph: DataFrame, named: DataFrame, backends: dict[str, dict]) -> DataFrame:
     """`coverage` under each backend, in the column `backend`. backends: similarity -> options of `similar_labels`; `hybrid`
     with vectors is `hybrid_label_reuse`."""
+    own = of_patterns(pairs, named)
+    theirs = written(named.select("graph_id", "label").distinct(), "theirs")
+    distinct = written(theirs.join(pairs.select(F.col("ontology_id").alias("graph_id")), "graph_id", "left_semi").select("label").distinct(), "distinct")
+
     def reuse(name: str, options: dict) -> DataFrame:
         if name == "hybrid" and options.get("vectors") is not None:
-            return hybrid_label_reuse(pairs, named, options["vectors"], options["threshold"], options.get("prefilter", 0.75))
-        return similar_label_reuse(pairs, named, similar_labels(mine, theirs, name, **options))
+            return hybrid_label_reuse(pairs, theirs, options["vectors"], options["threshold"], options.get("prefilter", 0.75), own)
+        return similar_label_reuse(pairs, theirs, similar_labels(own, distinct, name, **options), own=own)
 
-    mine = named.join(pairs.select(F.col("pattern_id").alias("graph_id")), "graph_id", "left_semi")
-    theirs = named.join(pairs.select(F.col("ontology_id").alias("graph_id")), "graph_id", "left_semi")
+    by_graph = written(by_graph, "by_graph") if len(backends) > 1 else by_graph
     out = [
         coverage(pairs, found, by_graph, reuse(name, options)).withColumn("backend", F.lit(name))
         for name, options in backends.items()

@@ -40,32 +40,42 @@ class Graphs:
         return tr.terms(self.triples)
 
     @cached_property
-    def labels(self) -> DataFrame:
-        return tr.labels(self.triples, self.found, SHORT)
+    def declared(self) -> DataFrame:
+        """The entities of the patterns only."""
+        return tr.of_patterns(self.pairs, tr.entity_rows(self.triples, SHORT))
+
+    @cached_property
+    def label_rows(self) -> DataFrame:
+        return tr.label_rows(self.triples, tr.entity_rows(self.triples, SHORT), SHORT)
 
     def reuse(self) -> DataFrame:
-        return tr.graph_reuse(self.pairs, self.found, self.terms)
+        return tr.graph_reuse(self.pairs, self.declared, tr.term_rows(self.triples))
+
+    def label_reuse(self, by_kind: bool = False) -> DataFrame:
+        return tr.label_reuse(self.pairs, self.label_rows, by_kind)
+
+    def coverage(self) -> DataFrame:
+        return tr.coverage(self.pairs, self.declared, self.reuse(), self.label_reuse())
 
 
 def coverage_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = Graphs(spark, sf_dir)
-    out = tr.coverage(g.pairs, g.found, g.reuse(), tr.label_reuse(g.pairs, g.labels))
+    out = Graphs(spark, sf_dir).coverage()
     return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
 
 
 def coverage_under(spark: SparkSession, sf_dir: str, backends: dict[str, dict]) -> DataFrame:
     g = Graphs(spark, sf_dir)
-    out = tr.coverage_by_backend(g.pairs, g.found, g.reuse(), g.labels, backends)
+    out = tr.coverage_by_backend(g.pairs, g.declared, g.reuse(), g.label_rows, backends)
     return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
 
 
 def coverage_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters first, and vectors of hashed trigrams where they come near."""
     g = Graphs(spark, sf_dir)
-    named = written(g.labels, "labels")
-    vectors = named.select("label").distinct().withColumn("embedding", hashed_vector(F.col("label")))
+    named = written(g.label_rows.distinct(), "labels")
+    vectors = written(named.select("label").distinct(), "distinct").withColumn("embedding", hashed_vector(F.col("label")))
     options = {"threshold": HYBRID[0], "prefilter": HYBRID[1], "vectors": vectors}
-    out = tr.coverage_by_backend(g.pairs, g.found, g.reuse(), named, {"hybrid": options}).drop("backend")
+    out = tr.coverage_by_backend(g.pairs, g.declared, g.reuse(), named, {"hybrid": options}).drop("backend")
     return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
 
 
@@ -82,14 +92,14 @@ def import_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graphs(spark, sf_dir).labels
+    return Graphs(spark, sf_dir).label_rows.distinct()
 
 
 def reuse_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graphs(spark, sf_dir)
     of = lambda rows, name: rows.groupBy("ontology_id", "pattern_id").agg(*[F.count_if(F.col("kind") == k).alias(f"{name}_{k}") for k in ("class", "object", "datatype")])
     out = g.pairs.join(of(g.reuse(), "graph"), us.PAIR, "left")
-    return out.join(of(tr.label_reuse(g.pairs, g.labels, by_kind=True), "label"), us.PAIR, "left").na.fill(0)
+    return out.join(of(g.label_reuse(by_kind=True), "label"), us.PAIR, "left").na.fill(0)
 
 
 def additional_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

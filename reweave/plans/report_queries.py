@@ -21,16 +21,15 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gq.Graphs(spark, sf_dir)
-    out = tr.coverage(g.pairs, g.found, g.reuse(), tr.label_reuse(g.pairs, g.labels))
+    out = gq.Graphs(spark, sf_dir).coverage()
     return out.withColumn("label_reuse_pct", F.col("coverage_label") * 100)
 
 
 def with_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gq.Graphs(spark, sf_dir)
-    found, used, labels = g.found, g.terms, g.labels
+    found, used = g.found, g.terms
     reused = written(tr.graph_reuse(g.pairs, found, used), "reused")
-    metrics = tr.coverage(g.pairs, found, reused, tr.label_reuse(g.pairs, labels)).withColumn("label_reuse_pct", F.col("coverage_label") * 100)
+    metrics = tr.coverage(g.pairs, found, reused, g.label_reuse()).withColumn("label_reuse_pct", F.col("coverage_label") * 100)
     forms = us.usage(g.pairs, g.triples, SHORT, found=found, used=used, reused=reused)
     return metrics.join(forms.select(*us.PAIR, *us.FORMS), us.PAIR)
 
@@ -78,7 +77,7 @@ def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of the members of each threshold dataset, counted by graph."""
     g = gq.Graphs(spark, sf_dir)
-    metrics = tr.coverage(g.pairs, g.found, g.reuse(), tr.label_reuse(g.pairs, g.labels)).withColumn("pct", F.col("coverage_label") * 100)
+    metrics = g.coverage().withColumn("pct", F.col("coverage_label") * 100)
     members = rp.dataset_members(rp.threshold_datasets(metrics, "pct", [50, 100]), g.triples)
     return members.groupBy("dataset", "graph_id").agg(F.count(F.lit(1)).alias("triples"))
 
