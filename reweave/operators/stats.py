@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reweave.functions.labels import local_name, normalize_label, percent
-from reweave.operators.triples import of_patterns
+from reweave.operators.triples import graph_reuse, normalised, of_patterns
+from reweave.storage import written
 
 PAIR = ["ontology_id", "pattern_id"]
 KINDS = {"class": "classes", "object": "object_properties", "datatype": "datatype_properties"}
@@ -42,22 +45,30 @@ def collapsed(rows: DataFrame) -> DataFrame:
 def union_by_name(pairs: DataFrame, found: DataFrame, used: DataFrame) -> DataFrame:
     """Reuse of the union of the entities of all pattern files with one name. pairs has pattern_name too.
 
-    Labels are those of local names only, of the same kind, and counted once each: names that two IRIs share collapse.
+    Labels are those of local names only, of the same kind, and counted once each: names that two IRIs share collapse. Ontologies
+    that have the same patterns under a name have the same union, which is counted once. Rows of `used` may repeat.
     """
     key = ["ontology_id", "pattern_name"]
-    names = pairs.select(*PAIR, "pattern_name")
+    names = pairs.select(*PAIR, "pattern_name").distinct()
     declared = of_patterns(pairs, found)
-    own = names.join(declared.withColumnRenamed("graph_id", "pattern_id"), "pattern_id").select(*key, "kind", "iri").distinct()
-    used = used.join(declared.select(F.col("iri").alias("term")).distinct(), "term", "left_semi")
-    there = used.select(F.col("graph_id").alias("ontology_id"), F.col("term").alias("iri"), F.lit(1).alias("there"))
-    label = normalize_label(local_name(F.col("iri")))
-    counts = own.join(there, ["ontology_id", "iri"], "left").groupBy(*key).agg(
-        F.count(F.lit(1)).alias("union_n_total"), F.count("there").alias("union_reused_total")
-    )
-    mine = own.select(*key, "kind", label.alias("label")).filter("label <> ''").distinct()
-    theirs = found.select(F.col("graph_id").alias("ontology_id"), "kind", label.alias("label")).distinct()
-    labels = mine.join(theirs, ["ontology_id", "kind", "label"], "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("union_label_reused_total"))
-    out = counts.join(labels, key, "left").na.fill(0)
+
+    unions = names.groupBy(*key).agg(F.sort_array(F.collect_set("pattern_id")).alias("patterns"))
+    members = unions.select("patterns").distinct().select("patterns", F.explode("patterns").alias("graph_id"))
+    sizes = members.join(declared, "graph_id").groupBy("patterns").agg(F.count_distinct("kind", "iri").alias("union_n_total"))
+    totals = unions.join(written(sizes, "unions"), "patterns").select(*key, "union_n_total")
+
+    reused = graph_reuse(pairs, declared, used).join(names, PAIR).select(*key, "kind", "iri").distinct()
+    reused = reused.groupBy(*key).agg(F.count(F.lit(1)).alias("union_reused_total"))
+
+    named = lambda rows: normalised(rows.withColumn("name", local_name(F.col("iri"))), normalize_label)
+    mine = written(named(declared).select(F.col("graph_id").alias("pattern_id"), "kind", "label").distinct(), "mine")
+    theirs = named(found).join(mine.select("kind", "label").distinct(), ["kind", "label"], "left_semi")
+    theirs = theirs.select(F.col("graph_id").alias("ontology_id"), "kind", "label").distinct()
+    labels = theirs.join(mine, ["kind", "label"]).join(names, PAIR).select(*key, "kind", "label").distinct()
+    labels = labels.groupBy(*key).agg(F.count(F.lit(1)).alias("union_label_reused_total"))
+
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [totals, reused, labels]).groupBy(*key)
+    out = out.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("union_n_total", "union_reused_total", "union_label_reused_total")])
     return out.withColumns({f"pct_{c}": percent(F.col(c), F.col("union_n_total")) for c in ("union_reused_total", "union_label_reused_total")})
 
 

@@ -10,6 +10,7 @@ from reweave.operators import triples as tr
 from reweave.plans import graph_queries as gq
 from reweave.plans.bindings import CTE
 from reweave.plans.report_queries import rounded
+from reweave.vocab import SHORT
 
 def with_name(df: DataFrame) -> DataFrame:
     """Pattern files share a name if the first five letters of their ids agree."""
@@ -18,13 +19,13 @@ def with_name(df: DataFrame) -> DataFrame:
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gq.Graphs(spark, sf_dir)
-    reuse = st.reuse_rows(g.pairs, g.reuse(), tr.label_reuse(g.pairs, g.labels, by_kind=True))
+    reuse = st.reuse_rows(g.pairs, g.reuse(), g.label_reuse(by_kind=True))
     return with_name(st.enriched(reuse, tr.entity_counts(g.found)))
 
 
 def union(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gq.Graphs(spark, sf_dir)
-    return st.union_by_name(with_name(g.pairs), g.found, g.terms)
+    return st.union_by_name(with_name(g.pairs), tr.entity_rows(g.triples, SHORT), tr.term_rows(g.triples))
 
 
 COLUMNS = ["ontology_id", "pattern_id", "reused_total", "label_reused_total", "pattern_n_total", "ontology_n_total", "pct_reused_classes", "pct_reused_total", "pct_label_reused_total"]

@@ -82,3 +82,45 @@ def test_missing_triples_of_a_pattern_are_not_listed(spark):
     assert sorted(tuple(r) for r in out.collect()) == [("ont", "pat", "n#a"), ("ont", "pat", "n#c")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftOuter") == 0
+
+
+def reuse_tables(spark):
+    """Two patterns of twenty classes, of which ontologies use one and name another; the third pattern is nobody's pair."""
+    found = [(p, "class", f"http://{p}#OldRing{k}") for p in ("p1", "p2", "p3") for k in range(20)]
+    found += [(o, "class", "http://own#old_ring3") for o in ("o1", "o2")] + [("o2", "object", "http://own#old_ring4")]
+    found = spark.createDataFrame(found, "graph_id string, kind string, iri string")
+    used = spark.createDataFrame([("o1", "http://p1#OldRing7"), ("o1", "http://p1#OldRing7"), ("o2", "http://p3#OldRing7")], "graph_id string, term string")
+    pairs = spark.createDataFrame([("o1", "p1"), ("o1", "p2"), ("o2", "p1")], "ontology_id string, pattern_id string")
+    said = spark.createDataFrame([], "graph_id string, s string, s_kind string, p string, o string, o_kind string")
+    return pairs, found, used, said
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reuse_makes_rows_for_what_is_reused_only(spark):
+    from reweave.operators import stats, triples as tr
+
+    pairs, found, used, said = reuse_tables(spark)
+    named = tr.labels(said, found)
+    alike = tr.similar_labels(named, named, "exact", 1.0)
+    each = tr.graph_reuse(pairs, found, used), tr.label_reuse(pairs, named), tr.label_reuse(pairs, named, by_kind=True), tr.similar_label_reuse(pairs, named, alike)
+    graph, label, by_kind, similar = ({(r.ontology_id, r.pattern_id, r.iri) for r in df.collect()} for df in each)
+    assert graph == {("o1", "p1", "http://p1#OldRing7")}
+    # camel case is split before a digit's end only: "old ring3" in all graphs
+    assert label == similar == by_kind | {("o2", "p1", "http://p1#OldRing4")}
+    assert by_kind == {("o1", "p1", "http://p1#OldRing3"), ("o1", "p2", "http://p2#OldRing3"), ("o2", "p1", "http://p1#OldRing3")}
+    # the pairs are met by both graphs, never by the pattern alone, which would list all its entities for each
+    assert all("Join Inner, (pattern_id" not in plan(df) for df in each)
+    union = stats.union_by_name(pairs.withColumn("pattern_name", pairs["ontology_id"]), found, used)
+    assert "Join Inner, (pattern_id" not in plan(union)
+    rows = {tuple(r)[:5] for r in union.collect()}
+    assert rows == {("o1", "o1", 40, 1, 1), ("o2", "o2", 20, 0, 1)}
+
+
+def test_names_are_normalised_once_each(spark):
+    from reweave.operators import triples as tr
+
+    _, found, _, said = reuse_tables(spark)
+    assert "regexp_replace" not in plan(tr.labels(said, found))
