@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reweave.functions.labels import base_namespace, local_name, normalize_label, normalize_label_unicode
@@ -113,12 +113,16 @@ def reused_by(pairs: DataFrame, hits: DataFrame, own: DataFrame, on: list[str])
     return met.join(pairs.select("ontology_id", "pattern_id"), ["ontology_id", "pattern_id"], "left_semi").distinct()
 
 
-def graph_reuse(pairs: DataFrame, found: DataFrame, used: DataFrame) -> DataFrame:
+def graph_reuse(pairs: DataFrame, found: DataFrame, used: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Pattern entities that occur anywhere in the ontology. Terms that no pattern declares are dropped, and the others numbered,
-    before anything is shuffled. Rows of `used` may repeat."""
+    before anything is shuffled. Rows of `used` (graph_id, term) may repeat; with `words` they are as in `coverage_by_backend`."""
     own = of_patterns(pairs, found)
     numbers = written(own.select("iri").distinct().withColumn("number", F.monotonically_increasing_id()), "numbers")
-    there = used.join(numbers.withColumnRenamed("iri", "term"), "term").select(F.col("graph_id").alias("ontology_id"), "number").distinct()
+    if words is None:
+        there = used.join(numbers.withColumnRenamed("iri", "term"), "term")
+    else:
+        there = used.join(written(words.join(numbers, words["term"] == numbers["iri"]).select("ref", "number").distinct(), "keys"), "ref")
+    there = there.select(F.col("graph_id").alias("ontology_id"), "number").distinct()
     return reused_by(pairs, there, own.join(numbers, "iri"), ["number"])
 
 
@@ -204,24 +208,58 @@ def hybrid_label_reuse(pairs: DataFrame, named: DataFrame, vectors: DataFrame, t
     return best.filter(reached).select(*one).unionByName(by_vector).distinct()
 
 
-def coverage_by_backend(pairs: DataFrame, found: DataFrame, by_graph: DataFrame, named: DataFrame, backends: dict[str, dict]) -> DataFrame:
-    """`coverage` under each backend, in the column `backend`. backends: similarity -> options of `similar_labels`; `hybrid`
-    with vectors is `hybrid_label_reuse`."""
-    own = of_patterns(pairs, named)
-    theirs = written(named.select("graph_id", "label").distinct(), "theirs")
-    distinct = written(theirs.join(pairs.select(F.col("ontology_id").alias("graph_id")), "graph_id", "left_semi").select("label").distinct(), "distinct")
-
-    def reuse(name: str, options: dict) -> DataFrame:
-        if name == "hybrid" and options.get("vectors") is not None:
-            return hybrid_label_reuse(pairs, theirs, options["vectors"], options["threshold"], options.get("prefilter", 0.75), own)
-        return similar_label_reuse(pairs, theirs, similar_labels(own, distinct, name, **options), own=own)
-
-    by_graph = written(by_graph, "by_graph") if len(backends) > 1 else by_graph
-    out = [
-        coverage(pairs, found, by_graph, reuse(name, options)).withColumn("backend", F.lit(name))
-        for name, options in backends.items()
+def coverage_by_backend(
+    pairs: DataFrame, found: DataFrame, own: DataFrame, used: DataFrame, words: DataFrame, named: DataFrame, labels_: DataFrame, backends: dict[str, dict]
+) -> DataFrame:
+    """`coverage` under each backend, in the column `backend`. backends: similarity -> options of `similar_labels`.
+
+    found and own: entities and labels (graph_id, iri, label) of the patterns. used, named: graph_id and ref of terms and of
+    entities' names, which `words` (ref, term) and `labels_` (ref, label) spell out; their graph_id is of the type of
+    ontology_id. Rows may repeat. Patterns, and the terms and labels that their entities can be reused by, are numbered;
+    graphs are read for these numbers only, once for all backends."""
+    pair = ["ontology_id", "pattern"]
+    ids = written(pairs.select("pattern_id").distinct().withColumn("pattern", F.monotonically_increasing_id()), "ids")
+    pairs = pairs.select("ontology_id", "pattern_id").join(ids, "pattern_id")
+    own = own.join(ids, F.col("graph_id") == F.col("pattern_id")).select("pattern", "iri", "label").distinct()
+    own = written(own, "own")
+    entries = found.join(ids, F.col("graph_id") == F.col("pattern_id")).select("pattern", "iri").filter("iri IS NOT NULL").distinct()
+    entries = written(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")
+    mine = own.withColumnRenamed("label", "left_label").join(entries, ["pattern", "iri"]).drop("iri")
+    right = written(labels_.select("label").distinct(), "distinct")
+    alike = [
+        similar_labels(own, right, name, **options).join(mine, "left_label").select("right_label", "pattern", "entry", F.lit(2 << i).cast("long").alias("by"))
+        for i, (name, options) in enumerate(backends.items())
+    ]
+    alike = written(reduce(lambda a, b: a.unionByName(b), alike), "alike")
+    numbers = written(entries.select("iri").distinct().withColumn("key", F.monotonically_increasing_id()), "numbers")
+    label_numbers = written(alike.select("right_label").distinct().withColumn("key", -1 - F.monotonically_increasing_id()), "numbers")
+    alike = alike.join(label_numbers, "right_label").groupBy("key", "pattern", "entry").agg(F.bit_or("by").alias("by"))
+    meant = entries.join(numbers, "iri").select("key", "pattern", "entry", F.lit(1).cast("long").alias("by"))
+    meant = written(meant.unionByName(alike), "meant")
+
+    there = [
+        rows.select("graph_id", "ref").join(written(spelt.join(known, spelt[x] == known[y]).select("ref", "key").distinct(), "keys"), "ref").drop("ref")
+        for rows, spelt, known, x, y in ((used, words, numbers, "term", "iri"), (named, labels_, label_numbers, "label", "right_label"))
     ]
-    return reduce(lambda a, b: a.unionByName(b), out)
+    there = there[0].unionByName(there[1]).distinct().withColumnRenamed("graph_id", "ontology_id")
+    met = there.join(meant, "key").join(pairs.select(*pair), pair, "left_semi")
+    each = met.repartition(*pair).groupBy(*pair, "entry").agg(F.bit_or("by").alias("by"))  # the sums below need no other shuffle
+    reached = lambda bits: F.count_if(F.col("by").bitwiseAND(F.lit(bits).cast("long")) != 0)
+    counts = each.groupBy(*pair).agg(reached(1).alias("reused_total_graph"), *[reached(1 | 2 << i).alias(f"label_{i}") for i in range(len(backends))])
+    total = entries.groupBy("pattern").agg(F.count(F.lit(1)).alias("pattern_total"))
+    out = pairs.join(written(total, "totals"), "pattern", "left").join(counts, pair, "left").na.fill(0)
+    by_label = F.array(*[F.struct(F.lit(name).alias("backend"), F.col(f"label_{i}").alias("reused_total_label")) for i, name in enumerate(backends)])
+    out = out.select("ontology_id", "pattern_id", "pattern_total", "reused_total_graph", F.inline(by_label))
+    return out.select(*COUNTS, *shares(), "backend")
+
+
+COUNTS = ["ontology_id", "pattern_id", "pattern_total", "reused_total_graph", "reused_total_label"]
+
+
+def shares() -> list[Column]:
+    """The columns coverage_graph and coverage_label: what is reused of the pattern's entities; 0 without entities."""
+    share = lambda c: F.when(F.col("pattern_total") > 0, F.col(c) / F.col("pattern_total")).otherwise(0.0)
+    return [share("reused_total_graph").alias("coverage_graph"), share("reused_total_label").alias("coverage_label")]
 
 
 def coverage(pairs: DataFrame, found: DataFrame, by_graph: DataFrame, by_label: DataFrame) -> DataFrame:
@@ -235,11 +273,7 @@ def coverage(pairs: DataFrame, found: DataFrame, by_graph: DataFrame, by_label:
     either = either.repartition(*pair).groupBy(*pair, "iri").agg(F.max("graph").alias("graph"))  # the sums below need no other shuffle
     counts = either.groupBy(*pair).agg(F.sum("graph").alias("reused_total_graph"), F.count(F.lit(1)).alias("reused_total_label"))
     out = pairs.join(written(total, "totals"), "pattern_id", "left").join(counts, pair, "left").na.fill(0)
-    share = lambda c: F.when(F.col("pattern_total") > 0, F.col(c) / F.col("pattern_total")).otherwise(0.0)
-    return out.select(
-        *pair, "pattern_total", "reused_total_graph", "reused_total_label",
-        share("reused_total_graph").alias("coverage_graph"), share("reused_total_label").alias("coverage_label"),
-    )
+    return out.select(*COUNTS, *shares())
 
 
 def additional(pairs: DataFrame, found: DataFrame) -> DataFrame:

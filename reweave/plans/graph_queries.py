@@ -12,7 +12,7 @@ from reweave.operators import constructs as co
 from reweave.operators import discovery as di
 from reweave.operators import triples as tr
 from reweave.operators import usage as us
-from reweave.plans.bindings import CTE, graphs, triples
+from reweave.plans.bindings import CTE, OWN_TYPE, TERM_TYPE, Triples, graph_of, key_of, triples
 from reweave.storage import written
 from reweave.vocab import SHORT
 
@@ -25,11 +25,15 @@ class Graphs:
     """What most queries start from, declared once; pairs and entities, which they need several times, are written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.triples = spark, triples(spark, sf_dir)
+        self.view = Triples(spark, sf_dir)
+
+    @property
+    def triples(self) -> DataFrame:
+        return self.view.rows
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return written(tr.make_pairs(written(graphs(self.spark, self.triples), "graphs")), "pairs")
+        return written(tr.make_pairs(written(self.view.graphs, "graphs")), "pairs")
 
     @cached_property
     def found(self) -> DataFrame:
@@ -42,31 +46,41 @@ class Graphs:
     @cached_property
     def declared(self) -> DataFrame:
         """The entities of the patterns only."""
-        return tr.of_patterns(self.pairs, tr.entity_rows(self.triples, SHORT))
+        return tr.of_patterns(self.pairs, tr.entity_rows(self.view.patterns, SHORT))
 
     @cached_property
     def label_rows(self) -> DataFrame:
         return tr.label_rows(self.triples, tr.entity_rows(self.triples, SHORT), SHORT)
 
     def reuse(self) -> DataFrame:
-        return tr.graph_reuse(self.pairs, self.declared, tr.term_rows(self.triples))
+        used = self.view.refs().withColumn("graph_id", graph_of("graph_id"))
+        return tr.graph_reuse(self.pairs, self.declared, used, self.view.words)
 
     def label_reuse(self, by_kind: bool = False) -> DataFrame:
         return tr.label_reuse(self.pairs, self.label_rows, by_kind)
 
+    def coverage_under(self, backends: dict[str, dict]) -> DataFrame:
+        """Ontologies are told apart by their suppliers' keys until the pairs are counted."""
+        v = self.view
+        own = tr.labels(v.patterns, tr.entity_rows(v.patterns, SHORT), SHORT)
+        pairs = self.pairs.withColumn("ontology_id", key_of("ontology_id"))
+        out = tr.coverage_by_backend(pairs, self.declared, own, v.refs(), v.words, v.refs(TERM_TYPE, OWN_TYPE), v.labels, backends)
+        return out.withColumn("ontology_id", graph_of("ontology_id"))
+
     def coverage(self) -> DataFrame:
-        return tr.coverage(self.pairs, self.declared, self.reuse(), self.label_reuse())
+        return self.coverage_under({"exact": {"threshold": 1.0}}).drop("backend")
 
 
-def coverage_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Graphs(spark, sf_dir).coverage()
+def rounded_shares(out: DataFrame) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
 
 
+def coverage_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_shares(Graphs(spark, sf_dir).coverage())
+
+
 def coverage_under(spark: SparkSession, sf_dir: str, backends: dict[str, dict]) -> DataFrame:
-    g = Graphs(spark, sf_dir)
-    out = tr.coverage_by_backend(g.pairs, g.declared, g.reuse(), g.label_rows, backends)
-    return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
+    return rounded_shares(Graphs(spark, sf_dir).coverage_under(backends))
 
 
 def coverage_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +88,9 @@ def coverage_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graphs(spark, sf_dir)
     named = written(g.label_rows.distinct(), "labels")
     vectors = written(named.select("label").distinct(), "distinct").withColumn("embedding", hashed_vector(F.col("label")))
-    options = {"threshold": HYBRID[0], "prefilter": HYBRID[1], "vectors": vectors}
-    out = tr.coverage_by_backend(g.pairs, g.declared, g.reuse(), named, {"hybrid": options}).drop("backend")
-    return out.withColumns({c: F.round(c, 6) for c in ("coverage_graph", "coverage_label")})
+    own, theirs = tr.of_patterns(g.pairs, named), written(named.select("graph_id", "label").distinct(), "theirs")
+    by_label = tr.hybrid_label_reuse(g.pairs, theirs, vectors, *HYBRID, own)
+    return rounded_shares(tr.coverage(g.pairs, g.declared, g.reuse(), by_label))
 
 
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

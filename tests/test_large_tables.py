@@ -124,3 +124,45 @@ def test_names_are_normalised_once_each(spark):
 
     _, found, _, said = reuse_tables(spark)
     assert "regexp_replace" not in plan(tr.labels(said, found))
+
+
+def odd_lines(spark, tmp_path):
+    """Lines and parts with nulls in every column, upper case and `#` in types, and names that differ in blanks only."""
+    types, names = ["SMALL", "small", None, "a#b", ""], ["red ring", "red_ring", None, "b#red", "x"]
+    spark.createDataFrame(
+        [(k, names[k % 5], None if k % 7 == 3 else f"Brand#{k % 3}", types[k // 5 % 5], k % 3) for k in range(100)],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int",
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    flags = ["A", "N", "R", None, "X"]
+    spark.createDataFrame(
+        [(None if k % 97 == 0 else k % 103, None if k % 11 == 0 else k % 6, flags[k % 5], None if k % 13 == 0 else k % 9 - 1) for k in range(3000)],
+        "l_partkey long, l_suppkey long, l_returnflag string, l_linenumber int",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(0,), (1,), (9,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    return str(tmp_path)
+
+
+def test_lines_are_numbers_until_their_triples_are_distinct(spark, tmp_path):
+    from reweave.plans import bindings
+
+    path = odd_lines(spark, tmp_path)
+    tables = {n: bindings.table(spark, path, n) for n in ("part", "lineitem", "supplier")}
+    rows, want = bindings.triples(spark, path), spark.sql(bindings.TRIPLES, **tables)
+    assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty()
+    numbered, _ = bindings.numbered_triples(tables["part"], tables["lineitem"])
+    assert {t for _, t in numbered.dtypes} == {"bigint"}
+
+
+def test_coverage_by_references_equals_that_by_strings(spark, tmp_path):
+    """The coverage queries look terms and labels up by number; the older way reads every string of every triple."""
+    from reweave.operators import triples as tr
+    from reweave.plans import graph_queries as gq
+
+    g = gq.Graphs(spark, odd_lines(spark, tmp_path))
+    strings = tr.coverage(g.pairs, g.declared, tr.graph_reuse(g.pairs, g.declared, tr.term_rows(g.triples)), g.label_reuse())
+    numbers = g.coverage()
+    assert numbers.columns == strings.columns
+    assert {tuple(r) for r in numbers.collect()} == {tuple(r) for r in strings.collect()}
+    assert g.pairs.count() == 7 and numbers.filter("reused_total_graph > 0").count() > 3
+    by_string = tr.graph_reuse(g.pairs, g.declared, tr.term_rows(g.triples))
+    assert by_string.exceptAll(g.reuse()).isEmpty() and g.reuse().exceptAll(by_string).isEmpty()
