@@ -15,6 +15,7 @@ def ranked(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
     Rows are dealt by ranges of (`keys`, `column`); only one number for each partition and key in it meets in one place, so
     a key with many values spreads over many tasks."""
     order = [*keys, column]
+    df = written(df, "counted")  # dealing by ranges reads it twice
     dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy(*keys)
     sums = dealt.groupBy("part", *keys).agg(F.sum("n").alias("of_part"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reweave.functions.labels import percent
 from reweave.operators.constructs import CONSTRUCTS
 from reweave.operators.order import quantiles, ranked
+from reweave.storage import written
 
 THRESHOLDS = [100, 90, 80, 70, 60, 50, 25, 10]
 BANDS = [("eq_100", 100, None), ("ge95_lt100", 95, 100), ("ge90_lt95", 90, 95), ("ge85_lt90", 85, 90), ("ge80_lt85", 80, 85)]
@@ -60,11 +61,12 @@ def histogram(df: DataFrame, column: str, edges: list[int]) -> DataFrame:
 
 def equal_width(df: DataFrame, column: str, bins: int) -> DataFrame:
     """bucket (from 1), count over equal parts of the range of values; the largest value is in the last part."""
-    rows = df.filter(F.col(column).isNotNull())
-    ends = rows.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "counts")  # read twice, for the ends and for the parts; `df` is worked out once
+    ends = counts.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
     low, high = ends["low"], ends["high"]
     at = F.when(low < high, F.least(F.floor((F.col(column) - low) / (high - low) * bins) + 1, F.lit(bins))).otherwise(1)
-    return rows.withColumn("bucket", at.cast("int")).groupBy("bucket").agg(F.count(F.lit(1)).alias("count"))
+    return counts.withColumn("bucket", at.cast("int")).groupBy("bucket").agg(F.sum("n").alias("count"))
 
 
 def pair_complexity(pairs: DataFrame, constructs: DataFrame) -> DataFrame:

@@ -166,3 +166,18 @@ def test_coverage_by_references_equals_that_by_strings(spark, tmp_path):
     assert g.pairs.count() == 7 and numbers.filter("reused_total_graph > 0").count() > 3
     by_string = tr.graph_reuse(g.pairs, g.declared, tr.term_rows(g.triples))
     assert by_string.exceptAll(g.reuse()).isEmpty() and g.reuse().exceptAll(by_string).isEmpty()
+
+
+def test_summaries_work_their_input_out_once(spark):
+    from reweave.operators import reports
+
+    for summary in (lambda df: reports.equal_width(df, "v", 7), lambda df: reports.empirical_cdf(df, "v"), lambda df: reports.five_numbers(df, "v")):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches, seen=seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = spark.range(100).selectExpr("id % 10 AS v").mapInArrow(count, "v long")
+        assert summary(rows).count() > 0 and seen.value == 100
