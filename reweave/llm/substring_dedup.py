@@ -33,11 +33,11 @@ def _digest(text: bytes) -> str:
     return hashlib.sha256(b" ".join(text.split())).hexdigest()
 
 
-def _window_hashes(text: bytes, starts: np.ndarray, window: int) -> np.ndarray:
-    return bw.Spans(_words(pa.array([text], pa.large_binary()))[3])(starts, np.full(len(starts), window))
+def _span_hashes(text: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return bw.Spans(_words(pa.array([text], pa.large_binary()))[3])(starts, lengths)
 
 
-WORDS = Units(bytes.split, b" ".join, bytes.split, b" ", _window_hashes, _digest)
+WORDS = Units(bytes.split, b" ".join, bytes.split, b" ", _span_hashes, _digest)
 
 
 def _anchors(hashes: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:

@@ -79,3 +79,22 @@ def test_hashes_of_spans_follow_their_content():
     assert len(set(found)) == len({raw[a:b] for a, b in zip(starts, ends)}) and len(set(zip(found, (raw[a:b] for a, b in zip(starts, ends))))) == len(set(found))
     with pytest.raises(ValueError):
         spans.all(7)
+
+
+def test_a_passage_in_many_contexts_makes_few_windows(spark, monkeypatch):
+    """Of the windows around a passage in very many contexts, only those next to its ends are looked at one by one."""
+    from reweave.llm import repeats
+
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = say(700)
+    texts = [say(600) + passage + say(600) for _ in range(40)] + [say(300) + passage[:450] + say(300), say(300) + passage[:450] + say(300), passage[100:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tables, keep = {}, repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    got = suffix_dedup.suffix_dedup(docs, most=3).select("doc_id", "n_bytes", "n_removed", "kept_sha256")
+    texts = [t.encode() for t in texts]
+    want = {(i, len(t), sum(g), hashlib.sha256(bytes(x for x, y in zip(t, g) if not y)).hexdigest()) for i, (t, g) in enumerate(zip(texts, covered(texts, 400)))}
+    assert {tuple(r) for r in got.collect()} == want
+    windows = tables["hot"].selectExpr("sum(size(windows))").first()[0]
+    assert 0 < tables["each"].count() < windows / 3 and tables["hot"].count() < windows / 8
