@@ -11,7 +11,7 @@ from reweave.operators import triples as tr
 from reweave.operators import usage as us
 from reweave.operators.constructs import CONSTRUCTS
 from reweave.plans import graph_queries as gq
-from reweave.plans.bindings import CTE
+from reweave.plans.bindings import CTE, Triples
 from reweave.storage import written
 from reweave.vocab import SHORT
 
@@ -43,11 +43,16 @@ def named_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_constructs(spark, sf_dir, "pat").withColumn("name", F.char_length("graph_id") % 3)
 
 
-def with_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constructs of ontologies with a 0/1 flag for graph reuse of any pattern; without pairs it is 0."""
-    g = gq.Graphs(spark, sf_dir)
-    hit = g.reuse().select(F.col("ontology_id").alias("graph_id"), F.lit(1).alias("reuse")).distinct()
-    return co.constructs(g.triples, SHORT).filter("graph_id LIKE 'ont%'").join(hit, "graph_id", "left").na.fill(0, ["reuse"])
+def with_reuse(view: Triples) -> DataFrame:
+    """Constructs of ontologies with a 0/1 flag for graph reuse of any pattern; without pairs it is 0. Without n_axioms, for
+    which all triples have to be made distinct."""
+    hit = view.reusing.withColumn("reuse", F.lit(1))
+    return co.constructs(view.forms, SHORT).drop("n_axioms").join(hit, "graph_id", "left").na.fill(0, ["reuse"])
+
+
+def with_and_without(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = Triples(spark, sf_dir)
+    return rounded(rp.with_and_without(with_reuse(view).join(view.sizes, "graph_id")))
 
 
 def pair_construct_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +106,9 @@ QUERIES = {
     "report_form_presence": lambda s, d: rp.form_presence(with_forms(s, d), "pattern_id", us.FORMS),
     "report_reuse_extent": lambda s, d: rounded(rp.reuse_extent(pair_metrics(s, d))),
     "report_pattern_profile": lambda s, d: rounded(rp.pattern_profile(with_forms(s, d), us.FORMS)),
-    "report_with_and_without": lambda s, d: rounded(rp.with_and_without(with_reuse(s, d))),
-    "report_expressivity_by_reuse": lambda s, d: rp.expressivity_by_reuse(with_reuse(s, d)),
-    "report_construct_differences": lambda s, d: rounded(rp.construct_differences(with_reuse(s, d))),
+    "report_with_and_without": with_and_without,
+    "report_expressivity_by_reuse": lambda s, d: rp.expressivity_by_reuse(with_reuse(Triples(s, d))),
+    "report_construct_differences": lambda s, d: rounded(rp.construct_differences(with_reuse(Triples(s, d)))),
     "report_pair_constructs": pair_construct_table,
     "report_pair_complexity": pair_complexity,
     "report_job_summary": job_summary,
