@@ -251,21 +251,25 @@ def reuse_gate(text: Column, terms: list[str] = REUSE_TERMS, topic: str = r"\bon
     return has_any(text, [rf"\b{t}\b" for t in terms]) & text.rlike("(?iU)" + topic) & text.rlike("(?iU)" + object_)
 
 
-def named(texts: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
+def named(texts: DataFrame, names: DataFrame, id_col: str, *, max_letters: int = 2_000_000) -> DataFrame:
     """id and name for names that occur in the text, their words joined by any of space, `-`, `_` or nothing.
 
     Words are met by an equi-join: the name without separators must start at some word of the text; the pattern decides.
-    Texts are never broadcast: their files may be small where the texts are not.
+    Texts and their words are never broadcast: their files may be small where they are not. Names are, as long as their
+    patterns have no more than `max_letters` characters; more names meet the words by a sorted join. Names without words
+    occur nowhere.
     """
     tokens = F.filter(F.split("name", r"[\s\-_/]+"), lambda t: t != "")
     quoted = F.transform(tokens, lambda t: F.regexp_replace(t, r"([\\\^\$\.\|\?\*\+\(\)\[\]\{\}])", r"\\$1"))
-    rows = names.select("name", F.concat(F.lit(r"(?iU)(?<!\w)"), F.array_join(quoted, r"[\s\-_]*"), F.lit(r"(?!\w)")).alias("pattern"), F.lower(tokens[0]).alias("first"))
-    rows = rows.filter("first IS NOT NULL").withColumn("n", F.char_length("first"))
+    rows = names.select("name", F.concat(F.lit(r"(?iU)(?<!\w)"), F.array_join(quoted, r"[\s\-_]*"), F.lit(r"(?!\w)")).alias("pattern"), F.lower(F.get(tokens, F.lit(0))).alias("first"))
+    rows = rows.filter("first IS NOT NULL")
+    letters, sizes = rows.agg(F.sum(F.char_length("pattern")), F.collect_set(F.char_length("first"))).first()
+    lengths = F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>")  # no more than the longest first word has characters
     starts = texts.select(id_col, F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("word"))
-    lengths = rows.agg(F.collect_set("n")).scalar()  # no more than the longest first word has characters
-    sized = starts.withColumn("sizes", lengths).withColumn("sizes", F.filter("sizes", lambda n: n <= F.char_length("word")))
-    heads = sized.withColumn("n", F.explode("sizes")).drop("sizes").withColumn("first", F.expr("left(word, n)"))
-    met = heads.select(id_col, "first").distinct().join(rows, "first").join(texts.select(id_col, "text").hint("merge"), id_col)
+    heads = starts.select(id_col, "word", F.explode(F.filter(lengths, lambda n: n <= F.char_length("word"))).alias("n"))
+    heads = heads.select(id_col, F.expr("left(word, n)").alias("first"))
+    met = heads.join(rows.hint("broadcast" if (letters or 0) <= max_letters else "merge"), "first").select(id_col, "name", "pattern").distinct()
+    met = met.join(texts.select(id_col, "text").hint("merge"), id_col)
     return met.filter(F.expr("rlike(text, pattern)")).select(id_col, "name").distinct()
 
 

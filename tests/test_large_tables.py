@@ -45,6 +45,52 @@ def test_texts_of_names_are_not_broadcast(spark):
     assert "strategy=merge" in plan or "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def named_texts(spark, path):
+    """Texts in small files, under ids that repeat or are null; names, one of them twice; and what is found."""
+    texts = [(k, f"words of {k}, the MIT-licence and an Apache_License{'' if k % 3 else 's'}, mitigated") for k in range(60)]
+    texts += [(1, "all  rights"), (1, "All-Rights, all rights"), (2, None), (3, ""), (None, "an apache license")]
+    spark.createDataFrame(texts, "id long, text string").write.parquet(f"{path}/texts")
+    names = spark.createDataFrame([("apache license",), ("apache license",), ("mit_licence",), ("all rights",), ("mit",), ("absent",)], "name string")
+    want = {(k, n) for k in range(60) for n in ("mit_licence", "mit")} | {(k, "apache license") for k in range(60) if k % 3} | {(1, "all rights")}
+    return spark.read.parquet(f"{path}/texts"), names, sorted(want)
+
+
+def test_names_are_broadcast_and_words_of_texts_are_not(spark, tmp_path):
+    texts, names, want = named_texts(spark, tmp_path)
+    found = papers.named(texts, names, "id")
+    assert sorted(tuple(r) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_many_names_are_not_broadcast(spark, tmp_path):
+    texts, names, want = named_texts(spark, tmp_path)
+    found = papers.named(texts, names, "id", max_letters=0)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_without_words_occur_nowhere(spark, tmp_path):
+    texts, names, want = named_texts(spark, tmp_path)
+    empty = spark.createDataFrame([("",), (" - ",), (None,)], "name string")
+    assert papers.named(texts, empty, "id").collect() == []
+    assert sorted(tuple(r) for r in papers.named(texts, names.unionByName(empty), "id").collect()) == want
+
+
+def test_classes_of_copies_equal_sql_and_no_part_is_broadcast(spark, tmp_path):
+    import duckdb
+
+    rows = [(c * 1000 + k, ["LARGE", "BURNISHED COPPER", "Mit-License", None][k % 4], k % 9) for c in range(5) for k in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.QUERIES["papers_classified"](spark, str(tmp_path))
+    assert "BuildLeft" not in got._jdf.queryExecution().executedPlan().toString()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW part AS SELECT * REPLACE (coalesce(p_type, '') AS p_type) FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLE_SQL['papers_classified']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 300
+    assert {r[1] for r in want} == {"Possibly", "Unlikely"} and len({r[-1] for r in want}) >= 4
+
+
 def test_triples_of_one_pass_equal_the_sql(spark, tmp_path):
     from reweave.plans import bindings
 
